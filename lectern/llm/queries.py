@@ -3,10 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language_id, quality, tokens
+from lectern.llm import fingerprints, language_id, packing, quality, tokens
 from lectern.llm._shared import table
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), quality.good_labels(table(spark, sf_dir, "labels")))
 
@@ -15,6 +19,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -23,5 +31,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_resampling, op4_token_counts, op6_bpe_round_trip, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_quality_resampling, op4_token_counts, op5_packing, op6_bpe_round_trip, op8_language_id)}
 ORACLE_SQL: dict[str, str] = {}
