@@ -6,8 +6,9 @@ documents.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import language_id, packing, quality
+from lectern.llm import language_id, minhash_dedup, packing, quality, secret_scan
 from lectern.llm._shared import save, table
 
 
@@ -21,12 +22,22 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return language_id.keep_identified(docs)
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group the document of the smallest id stays."""
+    return minhash_dedup.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: the spans found are masked, and n_chars follows the text."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of the texts' tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("quality", keep_good), ("language", keep_identified), ("packing", pack)]
+STAGES = [("quality", keep_good), ("language", keep_identified), ("near-dedup", keep_one), ("secrets", mask_secrets), ("packing", pack)]
 
 #: No stage but the secret scan can be written in SQL: the whole is tested against a brute-force version.
 ORACLE_SQL = None

@@ -1,12 +1,15 @@
 """The thin queries opN_<name> over the given tables, and their SQL where there is any."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lectern.llm import fingerprints, language_id, packing, quality, tokens
+from lectern.llm import embedding_dedup, fingerprints, language_id, licenses, minhash_dedup, packing, quality, secret_scan, tokens
 from lectern.llm._shared import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -27,9 +30,35 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_quality_resampling, op4_token_counts, op5_packing, op6_bpe_round_trip, op8_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_fingerprints,
+        op3_quality_resampling,
+        op4_token_counts,
+        op5_packing,
+        op6_bpe_round_trip,
+        op7_license_scan,
+        op8_language_id,
+        op9_minhash_dedup,
+        op10_embedding_dedup,
+    )
+}
+ORACLE_SQL = {"op1_secret_scan": secret_scan.oracle_sql()}
