@@ -1,0 +1,4 @@
+"""All registered queries. Importing this registers them."""
+
+from lectern.plans import learning  # noqa: F401
+from lectern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
