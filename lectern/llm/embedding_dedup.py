@@ -95,6 +95,8 @@ def close_pairs(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.
         i, j = p.rows[i], q.rows[j]
         if same and p is q:
             i, j = i[i < j], j[i < j]
+        elif same:
+            i, j = np.minimum(i, j), np.maximum(i, j)
         left.append(i)
         right.append(j)
     return np.concatenate(left), np.concatenate(right)

@@ -113,28 +113,24 @@ def _hits(index: Index, hashes: np.ndarray, least: float, band: int) -> list[tup
     grams = _text.gram_hashes(hashes, GRAM)
     places = winnow(grams)
     places = places[np.isin(grams[places], index.keys)]
-    diagonals: dict[int, list[int]] = defaultdict(list)
+    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for at in places.tolist():
         for t, where in index.postings[int(grams[at])]:
-            diagonals[t].append(at - where)
+            seeds[t].append((at, where))
     found = []
-    for t, ds in diagonals.items():
-        at = None
-        for d in sorted(ds):
-            if at is not None and d - at <= band:
-                continue  # within the band of the last one
-            at = d
-            low = max(0, d - band)
-            template = index.words[t]
-            part = hashes[low : d + len(template) + band + 1]
-            n, first, last = align(template, part, d - low, band)
+    for t, pairs in seeds.items():
+        template, end, tried = index.words[t], 0, set()
+        for at, where in pairs:
+            d = at - where
+            if at < end or (d, end) in tried:  # inside the last hit, or on a diagonal that has been aligned
+                continue
+            tried.add((d, end))
+            low = max(0, d - band, end)
+            n, first, last = align(template, hashes[low : d + len(template) + band + 1], d - low, band)
             if n >= least * len(template):
                 found.append((t, low + first, low + last, n / len(template)))
-    kept: list[tuple[int, int, int, float]] = []
-    for hit in sorted(found, key=lambda h: (h[0], -h[3], h[1])):  # of a template's overlapping hits the best
-        if not any(k[0] == hit[0] and k[1] < hit[2] and hit[1] < k[2] for k in kept[-64:]):
-            kept.append(hit)
-    return sorted(kept, key=lambda h: (h[1], h[0]))
+                end = low + last
+    return sorted(found, key=lambda h: (h[1], h[0]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.75, band: int = BAND) -> DataFrame:

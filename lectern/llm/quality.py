@@ -74,7 +74,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     raw[counts.b] += counts.raw
     raw /= raw.sum()
     target[counts.b] += counts.target
-    target = (target + buckets * raw) / (target.sum() + buckets)  # so many grams of the raw text as a prior: a bucket rarely seen says little
+    prior = min(buckets, target.sum() / 10)  # so many grams of the raw text as a prior: a bucket rarely seen says little
+    target = (target + prior * raw) / (target.sum() + prior) if prior else raw
     return Model(np.rint(np.log(target / raw) * UNIT).astype(np.int64))
 
 
