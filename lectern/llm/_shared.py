@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,11 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage is cut, and a lost executor loses nothing."""
+def save(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: the lineage is cut, and a lost executor loses nothing.
+
+    With rows_per_file, for what may be small: df is first held on the executors'
+    disks and counted, so that it is not written as a file for each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if rows_per_file:
+        held = df.persist(StorageLevel.DISK_ONLY)
+        held.coalesce(-(-held.count() // rows_per_file) or 1).write.parquet(path)
+        held.unpersist()
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

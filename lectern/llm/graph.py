@@ -1,31 +1,34 @@
 """Connected components by joins: alternating large and small stars."""
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import save
 
+EDGES_PER_FILE = 1 << 20
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each end of an edge reaches. Nodes without edges are not in the result.
 
     Each step hangs a node's neighbours on their smallest one. The smallest
-    neighbours are written before they are joined, so that both sides of a join are
+    neighbours are held before they are joined, so that both sides of a join are
     plain shuffles and Spark can split a hub. Null ends and loops are ignored.
     """
     x, y = F.col(a), F.col(b)
-    known = save(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
+    known = save(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges", EDGES_PER_FILE)
     before = None
     for _ in range(rounds):
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = save(large, "large-star")
-        low = save(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        joined = large.join(low, "u")
-        small = joined.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
-        known = save(small, "small-star")
-        now = known.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist(StorageLevel.DISK_ONLY)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().persist(StorageLevel.DISK_ONLY)
+        lower = large.groupBy("u").agg(F.min("v").alias("m")).persist(StorageLevel.DISK_ONLY)
+        small = large.join(lower, "u").select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
+        known = save(small, "stars", EDGES_PER_FILE)
+        for held in (lower, large, low):
+            held.unpersist()
+        now = known.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now

@@ -13,8 +13,9 @@ error at .75 is .033 and the margin .2, six of them.
 Members of a bucket are not all paired. They are first compared with one pivot,
 then, where the bucket still spans several components, with pivots that differ
 from bucket to bucket, and last, block by block, with every member that is in
-another component. So no link that joins two components is missed, and only
-pairs that pass the estimate leave a task.
+another component. There the sets come along, links are confirmed within the
+task, and only what joins the members leaves it. So no link that joins two
+components is missed, and no task emits the pairs of a group.
 """
 
 import hashlib
@@ -31,6 +32,7 @@ from lectern.llm.graph import components
 
 BANDS, ROWS, BITS = 50, 5, 2
 HASHES, WORDS = BANDS * ROWS, 8
+ROWS_PER_FILE = 1 << 18
 _rng = np.random.default_rng(20_240_501)
 _A = (_rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)[:, None]
@@ -107,7 +109,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int, group: int = 32)
     A pivot's set goes to each group of about `group` of its members; a task holds
     one pivot's set and reads the members' one by one.
     """
-    members = save(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")), "pivots")
+    members = save(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")), "pivots", ROWS_PER_FILE)
     asked = pairs.join(members, "pivot").select(F.col("node").alias("id"), "pivot", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("member"))
     pivots = members.select(F.col("pivot").alias("id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("member"))
     work = asked.unionByName(pivots).join(full, "id").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member")
@@ -134,99 +136,148 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int, group: int = 32)
     return work.select("id", "pivot", "part", "member", "set").mapInArrow(run, "a bigint, b bigint")
 
 
-def _with_components(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return buckets.withColumn("component", F.col("node"))
-    return buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _blocks(rows: DataFrame, least: float, block: int) -> DataFrame:
-    """(node, pivot): pairs of (bucket, n, node, component, signature) in one bucket, of different components, by estimate.
-
-    A bucket of n members is cut into n / block blocks; a task compares two blocks at a time.
+def _shared(sets_: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of the sets at left with those at right, as a matrix; only values on both sides are counted out."""
+    sides = []
+    for side in (left, right):
+        sides.append((np.concatenate([sets_[k] for k in side]), np.repeat(np.arange(len(side)), [len(sets_[k]) for k in side])))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), 4096):
+        part, halves = common[at : at + 4096], []
+        for (values, owner), side in zip(sides, (left, right), strict=True):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[place] == values
+            m = np.zeros((len(side), len(part)), np.float32)
+            m[owner[hit], place[hit]] = 1
+            halves.append(m)
+        out += halves[0] @ halves[1].T
+    return out
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n points the smallest index that it reaches over the pairs."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _blocks(rows: DataFrame, least: float, percent: int, block: int) -> DataFrame:
+    """(a, b, sure) of (bucket, n, node, component, signature, set): what joins the members of a bucket across components.
+
+    A bucket of n members is cut into n / block blocks; a task compares two blocks
+    at a time, by estimate and then on the sets. A long text comes without its set;
+    pairs with one are not sure yet.
     """
     count = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(3)), count).cast("int")
     j = F.col("j")
-    units = rows.withColumns({"k": mine, "j": F.explode(F.sequence(F.lit(0), count - 1))}).select("bucket", F.least("k", j).alias("i"), F.greatest("k", j).alias("j"), (F.col("k") > j).alias("second"), "node", "component", "signature")
+    units = rows.withColumns({"k": mine, "j": F.explode(F.sequence(F.lit(0), count - 1))}).select("bucket", F.least("k", j).alias("i"), F.greatest("k", j).alias("j"), (F.col("k") > j).alias("second"), "node", "component", "signature", "set")
     dealt = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def pairs(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        node, part = np.array([u[0] for u in unit]), np.array([u[1] for u in unit])
-        s, second = unpack([u[2] for u in unit]), np.array([u[3] for u in unit])
+    def joins(unit: list[tuple]) -> list[tuple[int, int, bool]]:
+        node, part = np.array([u[1] for u in unit]), np.array([u[2] for u in unit])
+        s, second = unpack([u[3] for u in unit]), np.array([u[0] for u in unit])
+        sets_ = [None if u[4] is None else np.frombuffer(u[4], np.uint64) for u in unit]
         left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(unit)),) * 2
-        if not len(left):
-            return node[:0], node[:0]
-        near = (estimate(s[left][:, None], s[right][None]) >= least) & (part[left][:, None] != part[right][None])
-        a, b = np.nonzero(near)
-        a, b = node[left[a]], node[right[b]]
-        return np.maximum(a, b), np.minimum(a, b)
+        if not len(left) or part[0] == part.min() == part.max():
+            return []
+        near = np.concatenate([estimate(s[left[k : k + 64]][:, None], s[right][None]) >= least for k in range(0, len(left), 64)]) & (part[left][:, None] != part[right][None])
+        long = np.array([x is None for x in sets_])
+        open_ = near & (long[left][:, None] | long[right][None])
+        out = [(int(node[left[p]]), int(node[right[q]]), False) for p, q in np.argwhere(open_) if node[left[p]] != node[right[q]]]
+        near &= ~open_
+        p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if len(p):
+            l, r = left[p], right[q]
+            both = _shared(sets_, l, r)
+            size = np.array([0 if x is None else len(x) for x in sets_])
+            linked = near[np.ix_(p, q)] & (100 * both >= percent * (size[l][:, None] + size[r][None] - both))
+            i, k = np.nonzero(linked)
+            label = roots(len(unit), l[i], r[k])
+            out += [(int(node[x]), int(node[label[x]]), True) for x in np.flatnonzero(label != np.arange(len(unit)))]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, unit = None, []
 
         def done() -> pa.RecordBatch:
-            a, b = pairs(unit)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["node", "pivot"])
-
-        for batch in batches:
-            for bucket, i, j, second, node, part, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, i, j) != at:
-                    if len(unit) > 1:
-                        yield done()
-                    at, unit = (bucket, i, j), []
-                unit.append((node, part, s, second))
+            found = joins(unit)
+            a, b, sure = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                for bucket, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (bucket, i, j) != at:
+                        if len(unit) > 1:
+                            yield done()
+                        at, unit = (bucket, i, j), []
+                    unit.append(tuple(rest))
         if len(unit) > 1:
             yield done()
 
-    return dealt.mapInArrow(run, "node bigint, pivot bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
+
 
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, n, node, component, pivot, pivot_component): the members of buckets that are in several components.
 
-def _open(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(members with components, open buckets): a bucket is open while its members are in several components."""
-    rows = save(_with_components(buckets, labels), "members")
+    Of buckets of the same members, by count and hash, one is kept.
+    """
+    rows = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     x = F.xxhash64("node", "bucket")
-    found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(x.alias("x"), "node", "component")).alias("p")).where("low < high")
-    return rows, save(found.select("bucket", "n", F.col("p.node").alias("pivot"), F.col("p.component").alias("pivot_component")), "open")
+    found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min(F.struct(x.alias("x"), "node", "component")).alias("p")).where("low < high")
+    one = found.groupBy("n", "members").agg(F.min(F.struct("bucket", "p")).alias("b")).select("b.bucket", "n", F.col("b.p.node").alias("pivot"), F.col("b.p.component").alias("pivot_component"))
+    return save(rows.join(save(one, "open", ROWS_PER_FILE), "bucket"), "members", ROWS_PER_FILE)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, margin: float = 0.2, block: int = 512, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, margin: float = 0.2, block: int = 512, star_rounds: int = 1, long: int = 2048) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs; see the module for the method.
 
     Texts without words (null, empty, blank) have 0 shingles and link with nothing.
     Rows that share an id are each placed by their own text. A row with a null id
     is its own component, null, and is kept. An empty table gives an empty one.
+    A text of more than `long` shingles is confirmed pair by pair, not in blocks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = save(features(rows), "features")
-    unique = save(found.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node")), "unique")
-    nodes = save(found.join(unique.withColumnRenamed("node", "id"), ["digest", "id"]).select(F.col("id").alias("node"), "digest", "signature", "bands").dropDuplicates(["node", "digest"]), "nodes")
+    unique = save(found.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node")), "unique", ROWS_PER_FILE)
+    nodes = save(found.join(unique.withColumnRenamed("node", "id"), ["digest", "id"]).select(F.col("id").alias("node"), "digest", "signature", "bands").dropDuplicates(["node", "digest"]), "nodes", ROWS_PER_FILE)
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = save(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot < high").select("bucket", "pivot"), "shared")
-    buckets = save(banded.join(shared, "bucket").distinct(), "buckets")
-    full = save(sets(rows.join(buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi")).where(F.octet_length("set") > 0), "sets")
+    shared = save(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot < high").select("bucket", "pivot"), "shared", ROWS_PER_FILE)
+    buckets = save(banded.join(shared, "bucket").distinct(), "buckets", ROWS_PER_FILE)
+    full = save(sets(rows.join(buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi")).where(F.octet_length("set") > 0), "sets", ROWS_PER_FILE)
     least = percent / 100 - margin
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return save(confirmed(save(pairs, "pairs"), full, percent), "links")
+        return confirmed(save(pairs, "pairs", ROWS_PER_FILE), full, percent)
 
-    links = linked(likely(buckets.where("node <> pivot").select("node", "pivot").distinct(), nodes, least))
-    labels = save(components(links), "labels")
+    links = save(linked(likely(buckets.where("node <> pivot").select("node", "pivot").distinct(), nodes, least)), "links", ROWS_PER_FILE)
+    labels = save(components(links), "labels", ROWS_PER_FILE)
     members = buckets.select("bucket", "node")
     for k in range(star_rounds + 1):
-        rows_now, still = _open(members, labels)
-        if still.isEmpty():
+        of = _open(members, labels)
+        if of.isEmpty():
             break
-        of = rows_now.join(still, "bucket")
         if k < star_rounds:
-            pairs = likely(of.where(F.col("component") != F.col("pivot_component")).select("node", "pivot").distinct(), nodes, least)
+            more = linked(likely(of.where(F.col("component") != F.col("pivot_component")).select("node", "pivot").distinct(), nodes, least))
         else:
-            pairs = _blocks(of.join(nodes.select("node", "signature"), "node").select("bucket", "n", "node", "component", "signature"), least, block)
-        more = linked(pairs)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        labels = save(components(links), "labels")
+            carried = full.where(F.octet_length("set") <= 8 * long).withColumnRenamed("id", "node")
+            sided = of.join(nodes.select("node", "signature"), "node").join(carried, "node", "left").select("bucket", "n", "node", "component", "signature", "set")
+            held = save(_blocks(sided, least, percent, block), "joins", ROWS_PER_FILE)
+            more = held.where("sure").select("a", "b").unionByName(linked(held.where("not sure").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("pivot")).distinct()))
+        more = save(more, "links", ROWS_PER_FILE)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = save(components(links), "labels", ROWS_PER_FILE)
     placed = found.select("id", "n_shingles", "digest").join(unique, "digest", "left").join(labels, "node", "left")
     component: Column = F.coalesce("component", "node", "id")
     return placed.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
