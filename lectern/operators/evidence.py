@@ -21,7 +21,7 @@ def followups(turns: DataFrame, words: str = "it|this|that|they|these|those", fe
     prev = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w)
     c = turns.withColumn("prev", prev).where("role = 'user'")
     short = F.size(F.split(T.strip(F.col("text")), r"\s+")) <= few
-    back = F.col("prev").isNotNull() & (F.lower("text").rlike(rf"\b({words})\b") | short)
+    back = F.col("prev").isNotNull() & (F.lower("text").rlike(T.whole(words)) | short)
     return c.select("conv_id", "turn", F.when(back, F.concat_ws(": ", "prev", "text")).otherwise(F.col("text")).alias("rewritten"))
 
 

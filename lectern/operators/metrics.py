@@ -60,3 +60,44 @@ def repeated_ngram_rate(rows: DataFrame, key: str, tokens: Column, n: int = 3) -
 
     g = rows.select(key, ngrams(tokens, n).alias("g"))
     return g.select(key, F.when(F.size("g") == 0, 0.0).otherwise(F.round(1 - F.size(F.array_distinct("g")) / F.size("g"), 6)).alias("rate"))
+
+
+def bleu_counts(rows: DataFrame, key: str, a: Column, b: Column, orders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """(size, clipped, total) over all rows: the n-grams of a, and how many of them are matched in b, each as often as it is there."""
+    from lectern.functions.text import ngrams
+
+    side = lambda t, s: rows.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("size"), ngrams(t, n).alias("g")) for n in orders))).alias("x"), F.lit(s).alias("side")).select(key, "x.size", F.explode("x.g").alias("g"), "side")
+    per = side(a, 1).unionByName(side(b, 2)).groupBy(key, "size", "g").agg(F.count_if(F.col("side") == 1).alias("x"), F.count_if(F.col("side") == 2).alias("y"))
+    return per.groupBy("size").agg(F.sum(F.least("x", "y")).alias("clipped"), F.sum("x").alias("total"))
+
+
+def unigram_perplexity(counts: DataFrame, key: str) -> DataFrame:
+    """(key, perplexity) of (key, term, tf) under the corpus' unigram model, each count plus one."""
+    c = counts.groupBy("term").agg(F.sum("tf").alias("c"))
+    total = c.agg((F.sum("c") + F.count("*")).alias("total"))
+    p = counts.join(c, "term").crossJoin(F.broadcast(total))  # one row
+    mean = F.sum(F.col("tf") * F.log((F.col("c") + 1) / F.col("total"))) / F.sum("tf")
+    return p.groupBy(key).agg(F.round(F.exp(-mean), 4).alias("perplexity"))
+
+
+def rouge_l(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, rouge_l): F1 of the longest common subsequence of words."""
+    import pandas as pd
+
+    words = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z0-9]+"), F.lit(0))
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p: list[str], q: list[str]) -> float:
+            row = [0] * (len(q) + 1)
+            for w in p:
+                left = 0
+                for j, v in enumerate(q, 1):
+                    old = row[j]
+                    row[j] = left + 1 if w == v else max(row[j], row[j - 1])
+                    left = old
+            return 2 * row[-1] / (len(p) + len(q)) if len(p) + len(q) else 0.0
+
+        return pd.Series([one(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return rows.select(*keys, F.round(score(words(a), words(b)), 6).alias("rouge_l"))

@@ -114,8 +114,8 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", e.alias("estimate"), (e > 1000).alias("over_budget"))
 
 
-@query("""WITH c AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM conversations)
-SELECT conv_id, turn, CASE WHEN prev IS NOT NULL AND (regexp_matches(lower(text), '\\b(it|this|that|they|these|those)\\b') OR len(regexp_split_to_array(trim(text), '\\s+')) <= 4) THEN prev || ': ' || text ELSE text END AS rewritten FROM c WHERE role = 'user'""")
+@query(f"""WITH c AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM conversations)
+SELECT conv_id, turn, CASE WHEN prev IS NOT NULL AND (regexp_matches(lower(text), '{T.whole("it|this|that|they|these|those")}') OR len(regexp_split_to_array(trim(text), '\\s+')) <= 4) THEN prev || ': ' || text ELSE text END AS rewritten FROM c WHERE role = 'user'""")
 def followup_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.operators.evidence import followups
 
@@ -141,11 +141,18 @@ def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.sections(text.headings(read(spark, sf_dir, "pages")))
 
 
-@query(r"""WITH ts AS (SELECT page_id, regexp_extract_all(html, '(?is)<table.*?</table>') AS t FROM pages), tp AS (SELECT page_id, unnest(range(1, len(t) + 1)) AS table_no, unnest(t) AS t FROM ts),
+ROWS_SQL = r"""raw AS (SELECT doc_id AS page_id, '<p>x</p><table class="t"><tr><td>' || replace(replace(text, ' | ', '</td><td>'), chr(10), '</td></tr><tr><td> ') || '</td></tr><tr><td> </td></tr></table>' AS html FROM documents WHERE contains(text, ' | '))"""
+
+
+@query("WITH " + ROWS_SQL + r""", ts AS (SELECT page_id, regexp_extract_all(html, '(?is)<table.*?</table>') AS t FROM raw), tp AS (SELECT page_id, unnest(range(1, len(t) + 1)) AS table_no, unnest(t) AS t FROM ts),
 l AS (SELECT page_id, table_no, list_filter(list_transform(regexp_extract_all(t, '(?is)<tr.*?</tr>'), lambda r: coalesce(list_aggregate(list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>.*?</t[dh]>'), lambda c: trim(regexp_replace(regexp_replace(c, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), 'string_agg', ' | '), '')), lambda x: regexp_matches(x, '[^\s|]')) AS l FROM tp)
 SELECT page_id, table_no, '[Table ' || table_no || ']' || chr(10) || coalesce(list_aggregate(l, 'string_agg', chr(10)), '') AS text FROM l""")
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.tables(read(spark, sf_dir, "pages"))
+    """Tables of pages made from the documents' lines with bars; the given pages hold none."""
+    cells = F.replace(F.replace("text", F.lit(" | "), F.lit("</td><td>")), F.lit("\n"), F.lit("</td></tr><tr><td> "))
+    html = F.concat(F.lit('<p>x</p><table class="t"><tr><td>'), cells, F.lit("</td></tr><tr><td> </td></tr></table>"))
+    made = docs(spark, sf_dir).where(F.contains("text", F.lit(" | "))).select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return text.tables(made)
 
 
 @query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),

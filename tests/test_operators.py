@@ -161,3 +161,58 @@ def test_confusion(spark):
     m = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 1, 2), (2, 1, 1)], "truth int, predicted int, n long")
     got = {r.label: (r.precision, r.recall) for r in metrics.per_class(m).collect()}
     assert got == {0: (1, 0.75), 1: (0.5, 1), 2: (0, 0)}
+
+
+def test_porter():
+    from lectern.operators.models import porter
+
+    for word, stem in {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "hoping": "hope", "falling": "fall", "happy": "happi", "relational": "relat", "conditional": "condit", "rationalize": "ration", "digitizer": "digit", "hopefulness": "hope", "electrical": "electr", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controlling": "control", "is": "is", "naïve": "naïve"}.items():
+        assert porter(word) == stem, word
+
+
+def test_word_vectors(spark):
+    from lectern.operators import models
+
+    docs = spark.createDataFrame([(k, "red apple sweet fruit " * 5 if k % 2 else "fast car road engine " * 5) for k in range(20)], "doc_id long, text string")
+    v = models.embed(models.word_vectors(docs, "text", size=8, passes=2), docs, "doc_id", "text")
+    assert v.count() == 20 and len(v.first().embedding) == 8
+    assert models.project(v, "vec_id", "embedding").select("cluster").distinct().count() >= 2
+
+
+def test_files(spark, tmp_path):
+    import json
+
+    from lectern.sources import files
+
+    good = [{"document": "d", "questions": [{"question": "q?", "question_type": "keyword", "relevant_chunk_ids": [1]}, {"question": "r?", "relevant_pages": [2]}]}]
+    (tmp_path / "good.json").write_text(json.dumps(good))
+    assert files.read_questions(spark, str(tmp_path / "good.json")).count() == 2
+    (tmp_path / "bad.json").write_text(json.dumps([{"document": "d", "questions": [{"question": " ", "relevant_pages": [2]}]}]))
+    with pytest.raises(Exception, match="bad question"):
+        files.read_questions(spark, str(tmp_path / "bad.json")).collect()
+    files.write_flashcards(spark.createDataFrame([(2, "b", "B", None), (1, "a", "A", 3)], "id long, front string, back string, page int"), str(tmp_path / "cards"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "cards"), header=True).collect()] == [("a", "A", "3"), ("b", "B", None)]
+    with pytest.raises(ValueError):
+        files.read_store(spark, str(tmp_path) + "/../x")
+    assert files.read_store(spark, str(tmp_path), "*.json").count() == 2
+    out = str(tmp_path / "parts")
+    files.overwrite_keys(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), out, "k")
+    files.overwrite_keys(spark.createDataFrame([(2, "c")], "k long, v string"), out, "k")
+    assert {(r.k, r.v) for r in spark.read.parquet(out).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_syllabus(spark):
+    from lectern.operators.study import parse_syllabus, syllabi
+
+    outline = "Unit I: Basics, cells; tissue\n1.1 Mitosis\n  - Phases\n1.2 Meiosis\n\nUnit II: Ecology"
+    assert [(o, p, d, t) for o, p, d, t, _ in parse_syllabus(outline)] == [(0, None, 0, "Basics"), (1, 0, 1, "Mitosis"), (2, 1, 2, "Phases"), (3, 0, 1, "Meiosis"), (4, None, 0, "Ecology")]
+    assert parse_syllabus(outline)[0][4] == ["cells", "tissue"]
+    rows = syllabi(spark.createDataFrame([(1, outline), (2, None)], "doc_id long, text string"), "doc_id", "text").collect()
+    assert len(rows) == 5 and rows[0].parent_order is None
+
+
+def test_stem_reasons(spark):
+    from lectern.operators.study import stem_reason
+
+    rows = spark.createDataFrame([("Why", "x"), ("What divides a living cell?", "mitosis"), ("What does Mitosis  divide in cells?", "mitosis"), ("It is a kind of cell", "x y z"), ("a → b c d", "q")], "s string, a string")
+    assert [r.r for r in rows.select(stem_reason(F.col("s"), F.col("a")).alias("r")).collect()] == ["too_short", None, "answer_leak", "pronoun_start", "symbols"]
