@@ -32,7 +32,8 @@ from lectern.llm.graph import components
 
 BANDS, ROWS, BITS = 50, 5, 2
 HASHES, WORDS = BANDS * ROWS, 8
-ROWS_PER_FILE = 1 << 18
+#: Written tables have files of so many rows, by the rows' size.
+ROWS_PER_FILE, NODES_PER_FILE, SETS_PER_FILE = 1 << 18, 1 << 15, 1 << 12
 _rng = np.random.default_rng(20_240_501)
 _A = (_rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)[:, None]
@@ -236,7 +237,7 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     x = F.xxhash64("node", "bucket")
     found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min(F.struct(x.alias("x"), "node", "component")).alias("p")).where("low < high")
     one = found.groupBy("n", "members").agg(F.min(F.struct("bucket", "p")).alias("b")).select("b.bucket", "n", F.col("b.p.node").alias("pivot"), F.col("b.p.component").alias("pivot_component"))
-    return save(rows.join(save(one, "open", ROWS_PER_FILE), "bucket"), "members", ROWS_PER_FILE)
+    return save(rows.join(save(one, "open", ROWS_PER_FILE), "bucket"), "members", NODES_PER_FILE)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, margin: float = 0.2, block: int = 512, star_rounds: int = 1, long: int = 2048) -> DataFrame:
@@ -250,11 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = save(features(rows), "features")
     unique = save(found.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node")), "unique", ROWS_PER_FILE)
-    nodes = save(found.join(unique.withColumnRenamed("node", "id"), ["digest", "id"]).select(F.col("id").alias("node"), "digest", "signature", "bands").dropDuplicates(["node", "digest"]), "nodes", ROWS_PER_FILE)
+    nodes = save(found.join(unique.withColumnRenamed("node", "id"), ["digest", "id"]).select(F.col("id").alias("node"), "digest", "signature", "bands").dropDuplicates(["node", "digest"]), "nodes", NODES_PER_FILE)
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = save(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot < high").select("bucket", "pivot"), "shared", ROWS_PER_FILE)
     buckets = save(banded.join(shared, "bucket").distinct(), "buckets", ROWS_PER_FILE)
-    full = save(sets(rows.join(buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi")).where(F.octet_length("set") > 0), "sets", ROWS_PER_FILE)
+    full = save(sets(rows.join(buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi")).where(F.octet_length("set") > 0), "sets", SETS_PER_FILE)
     least = percent / 100 - margin
 
     def linked(pairs: DataFrame) -> DataFrame:
