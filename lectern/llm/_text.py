@@ -58,10 +58,9 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, bounds): the words' byte positions; row i has the words bounds[i] to bounds[i + 1]."""
-    solid = ~_BLANK[data]
-    edge = np.zeros(len(data) + 1, bool)
+def spans_of(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, bounds) of the runs of solid bytes, none across rows; row i has the runs bounds[i] to bounds[i + 1]."""
+    edge = np.zeros(len(solid) + 1, bool)
     edge[offsets] = True
     before, after = solid.copy(), solid.copy()
     before[1:] &= ~solid[:-1] | edge[1:-1]
@@ -82,7 +81,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, bounds of each row's words)."""
-    start, end, bounds = word_spans(data, offsets)
+    start, end, bounds = spans_of(~_BLANK[data], offsets)
     return span_hashes(data, start, end), bounds
 
 
@@ -113,6 +112,11 @@ _CLASS[_BLANK] = 0
 _CLASS[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is a letter, a digit, an underscore or beyond ASCII."""
+    return _CLASS[data] == 1
+
+
 def piece_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Like word_hashes, for runs of word characters and runs of punctuation."""
     kind = _CLASS[data]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import save
-from lectern.llm.graph import components
+from lectern.llm.graph import components, roots
 
 #: Added to distances, for rounding.
 SLACK = 1e-9
@@ -102,19 +102,6 @@ def close_pairs(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n points the smallest index that it reaches over the pairs."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, digest, vector): the vector scaled to length 1 as bytes of doubles; null if it is null, zero or holds null or non-finite parts."""
 
@@ -221,7 +208,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         else:
             i = j = np.zeros(0, int)
         links = np.bincount(i, copies[j], len(unit)) + np.bincount(j, copies[i], len(unit))
-        root = node[_labels(len(unit), i, j)]
+        root = node[roots(len(unit), i, j)]
         linked = links > 0
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(links[linked].astype(np.int64)), pa.array(root[linked])], ["node", "links", "root"])
 

@@ -149,4 +149,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return with_next_text(docs, id_col, text_col).mapInArrow(run, f"{'id'} {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+    return with_next_text(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)

@@ -1,5 +1,6 @@
 """Connected components by joins: alternating large and small stars."""
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,19 @@ from lectern.llm._shared import save
 EDGES_PER_FILE = 1 << 20
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n points, all in one task, the smallest index that it reaches over the pairs (i, j)."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each end of an edge reaches. Nodes without edges are not in the result.
 
@@ -34,5 +48,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         before = now
     else:
         raise RuntimeError("components did not settle")
-    roots = known.select("v").distinct()
-    return known.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    stems = known.select("v").distinct()
+    return known.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stems.select(F.col("v").alias("node"), F.col("v").alias("component")))

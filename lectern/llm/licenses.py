@@ -39,15 +39,8 @@ MOST_TEMPLATE_BYTES = 8 << 20
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, bounds) of the words of a batch of texts."""
-    kind = (_text._CLASS[data] == 1).astype(np.int8)
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before, after = kind > 0, kind > 0
-    before, after = before.copy(), after.copy()
-    before[1:] &= (kind[:-1] == 0) | edge[1:-1]
-    after[:-1] &= (kind[1:] == 0) | edge[1:-1]
-    start, end = np.flatnonzero(before), np.flatnonzero(after) + 1
-    return _text.span_hashes(data, start, end), start, end, np.searchsorted(start, offsets)
+    start, end, bounds = _text.spans_of(_text.is_word(data), offsets)
+    return _text.span_hashes(data, start, end), start, end, bounds
 
 
 def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import _text
 from lectern.llm._shared import save
-from lectern.llm.graph import components
+from lectern.llm.graph import components, roots
 
 BANDS, ROWS, BITS = 50, 5, 2
 HASHES, WORDS = BANDS * ROWS, 8
@@ -156,19 +156,6 @@ def _shared(sets_: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n points the smallest index that it reaches over the pairs."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _blocks(rows: DataFrame, least: float, percent: int, block: int) -> DataFrame:
     """(a, b, sure) of (bucket, n, node, component, signature, set): what joins the members of a bucket across components.
 
