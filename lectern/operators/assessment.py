@@ -12,8 +12,8 @@ def grade(rows: DataFrame, kind: str, answer: str, expected: str, least: float =
     """is_correct: objective kinds need the same normalised answer, open ones a token F1 of at least the mark. A null answer is wrong."""
     given, want = T.normalize_term(F.coalesce(answer, F.lit(""))), T.normalize_term(F.col(expected))
     words = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
-    f1 = token_f1(words(given), words(want))
-    return rows.withColumn("f1", F.round(f1, 6)).withColumn("is_correct", F.when(F.col(kind) == "open", F.col("f1") >= least).otherwise(given == want))
+    f1 = token_f1(F.col("__a"), F.col("__b"))
+    return rows.withColumns({"__a": words(given), "__b": words(want)}).withColumn("f1", F.round(f1, 6)).withColumn("is_correct", F.when(F.col(kind) == "open", F.col("f1") >= least).otherwise(given == want)).drop("__a", "__b")
 
 
 def cloze(sentences: DataFrame, sentence: str, term: str) -> DataFrame:

@@ -58,7 +58,7 @@ def repeated_ngram_rate(rows: DataFrame, key: str, tokens: Column, n: int = 3) -
     """(key, rate): the share of runs of n tokens that came before; 0 without any."""
     from lectern.functions.text import ngrams
 
-    g = rows.select(key, ngrams(tokens, n).alias("g"))
+    g = rows.select(key, tokens.alias("t")).select(key, ngrams(F.col("t"), n).alias("g"))
     return g.select(key, F.when(F.size("g") == 0, 0.0).otherwise(F.round(1 - F.size(F.array_distinct("g")) / F.size("g"), 6)).alias("rate"))
 
 
@@ -66,7 +66,7 @@ def bleu_counts(rows: DataFrame, key: str, a: Column, b: Column, orders: tuple[i
     """(size, clipped, total) over all rows: the n-grams of a, and how many of them are matched in b, each as often as it is there."""
     from lectern.functions.text import ngrams
 
-    side = lambda t, s: rows.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("size"), ngrams(t, n).alias("g")) for n in orders))).alias("x"), F.lit(s).alias("side")).select(key, "x.size", F.explode("x.g").alias("g"), "side")
+    side = lambda t, s: rows.select(key, t.alias("t")).select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("size"), ngrams(F.col("t"), n).alias("g")) for n in orders))).alias("x"), F.lit(s).alias("side")).select(key, "x.size", F.explode("x.g").alias("g"), "side")
     per = side(a, 1).unionByName(side(b, 2)).groupBy(key, "size", "g").agg(F.count_if(F.col("side") == 1).alias("x"), F.count_if(F.col("side") == 2).alias("y"))
     return per.groupBy("size").agg(F.sum(F.least("x", "y")).alias("clipped"), F.sum("x").alias("total"))
 

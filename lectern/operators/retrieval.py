@@ -119,7 +119,7 @@ def rrf(dense: DataFrame, lexical: DataFrame, weight: float = 0.5, k: int = 60)
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of two token arrays as multisets, within the row."""
+    """F1 of two token arrays as multisets, within the row. Give columns: an expression would be worked out anew for each token."""
     both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(2.0 * both / (F.size(a) + F.size(b)))
 

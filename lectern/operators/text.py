@@ -10,7 +10,8 @@ from lectern.functions import text as T
 
 
 def ngram_counts(docs: DataFrame, text: Column, n: int) -> DataFrame:
-    return docs.select(F.explode(T.ngrams(T.terms(text), n)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+    # the terms are a column of their own: within the lambda of ngrams() they would be found anew for each place
+    return docs.select(T.terms(text).alias("t")).select(F.explode(T.ngrams(F.col("t"), n)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,7 +75,7 @@ def difficulty(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     flesch = 206.835 - 1.015 * F.col("n") / F.col("n_sentences") - 84.6 * F.col("y") / F.col("n")
     length = F.col("n") / F.col("n_sentences")
     score = F.greatest(F.lit(0.0), (100 - flesch) / 100) + F.col("rarity") + length / 40 + 3 * F.col("technical")
-    return per.select(id_col, F.round(flesch, 4).alias("flesch"), F.round("rarity", 6).alias("rarity"), F.round(length, 4).alias("sentence_length"), F.round("technical", 6).alias("technical"), F.round(score, 4).alias("score"))
+    return per.select(id_col, F.round(flesch, 4).alias("flesch"), F.round("rarity", 6).alias("rarity"), F.round(length, 4).alias("sentence_length"), F.round(F.col("technical") + 1e-9, 6).alias("technical"), F.round(score, 4).alias("score"))
 
 
 def terciles(scored: DataFrame, group: str, id_col: str) -> DataFrame:

@@ -62,9 +62,9 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = docs(spark, sf_dir), questions(spark, sf_dir)
     few = retrieval.top_k(retrieval.bm25(d, q), 10).drop("score")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    joined = few.join(q.select("query_id", F.col("text").alias("question")), "query_id").join(d.select("doc_id", "text"), "doc_id")
-    f1 = F.round(retrieval.token_f1(words(F.col("question")), words(F.col("text"))), 6)
-    return retrieval.rerank(joined, f1, 5, most=10).drop("question", "text")
+    joined = few.join(q.select("query_id", words(F.col("text")).alias("question")), "query_id").join(d.select("doc_id", words(F.col("text")).alias("words")), "doc_id")
+    f1 = F.round(retrieval.token_f1(F.col("question"), F.col("words")), 6)
+    return retrieval.rerank(joined, f1, 5, most=10).drop("question", "words")
 
 
 DENSE_SQL = """q AS (SELECT vec_id AS query_id, embedding AS e, label AS q_label FROM embeddings WHERE vec_id % 50 = 0),

@@ -98,7 +98,7 @@ df AS (SELECT word, count(DISTINCT doc_id) AS df FROM wd GROUP BY word), sy AS (
 y AS (SELECT *, greatest(1, g - CASE WHEN regexp_matches(word, 'e$') AND g > 1 THEN 1 ELSE 0 END) AS y FROM sy),
 per AS (SELECT doc_id, source, ns, count(*) AS n, sum(y)::BIGINT AS y, avg(1 / df) AS rarity, avg(CASE WHEN y >= 3 THEN 1 ELSE 0 END) AS technical FROM y GROUP BY ALL),
 f AS (SELECT *, 206.835::DOUBLE - 1.015::DOUBLE * n / ns - 84.6::DOUBLE * y / n AS flesch, n / ns AS len FROM per),
-difficulty AS (SELECT doc_id, source, round(flesch, 4) AS flesch, round(rarity, 6) AS rarity, round(len, 4) AS sentence_length, round(technical, 6) AS technical, round(greatest(0.0::DOUBLE, (100 - flesch) / 100) + rarity + len / 40 + 3 * technical, 4) AS score FROM f)"""
+difficulty AS (SELECT doc_id, source, round(flesch, 4) AS flesch, round(rarity, 6) AS rarity, round(len, 4) AS sentence_length, round(technical + 1e-9, 6) AS technical, round(greatest(0.0::DOUBLE, (100 - flesch) / 100) + rarity + len / 40 + 3 * technical, 4) AS score FROM f)"""
 
 
 @query(f"""WITH {DIFFICULTY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score, doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM difficulty)
