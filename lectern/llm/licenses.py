@@ -1,15 +1,14 @@
-"""License scans: winnowed fingerprints of templates, an inverted index, banded alignment.
+"""License scans: rare words of templates in an inverted index, counts of shared words, local alignment.
 
 Templates and texts are sequences of lower-cased words (runs of letters, digits
-and underscores). Winnowing keeps the smallest of each WINDOW hashes of GRAM
-words, so that any shared run of WINDOW + GRAM - 1 words shares a fingerprint.
-The templates' fingerprints form an inverted index (fingerprint -> template,
-place); a text's hits in it, grouped by template and diagonal, are the
-candidates. Each candidate is aligned with its template in a band around the
-diagonal, which reports the share of the template's words that match and the
-span in the text.
+and underscores). A text that holds all but m of a template's words holds one of
+any m + 1 of them: each template's m + 1 rarest are its keys, and only texts with
+a key of it are looked at. Where a stretch of a text shares enough words with the
+template, the two are aligned, which reports the share of the template's words
+that match and the span in the text. No step loses an alignment of enough words.
 """
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,8 +32,12 @@ TEMPLATES = {
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
 }
+#: Words of any text; a template's other words are its first keys.
+COMMON = frozenset("a all also an and any are as at be by can do each either for from has have if in into is it its may must no not of on one only or other out shall so such that the their then there these they this to under up use used was when where which who will with within you your".split())
 #: The templates travel to every task.
 MOST_TEMPLATE_BYTES = 8 << 20
+#: An aligned stretch is up to six times as long; its places and scores share 64 bits.
+MOST_TEMPLATE_WORDS = (1 << 20) // 6
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,87 +56,131 @@ def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class Index:
-    """The templates' words and their fingerprints' postings."""
+    """The templates' words, how many of them a hit needs, and the templates of each key word."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], least: float = 0.75) -> None:
         if sum(len(t.encode()) for t in templates.values()) > MOST_TEMPLATE_BYTES:
             raise ValueError("the templates are too large to send to every task")
-        self.names, self.words, self.postings = [], [], defaultdict(list)
+        self.names, self.words, spelled = list(templates), [], []
         for name, text in templates.items():
             raw = np.frombuffer(text.encode(), np.uint8)
-            hashes, *_ = words(raw, np.array([0, len(raw)]))
+            hashes, start, end, _ = words(raw, np.array([0, len(raw)]))
             if len(hashes) < GRAM:
                 raise ValueError(f"template {name} has fewer than {GRAM} words")
-            grams = _text.gram_hashes(hashes, GRAM)
-            for at in winnow(grams):
-                self.postings[int(grams[at])].append((len(self.names), int(at)))
-            self.names.append(name)
+            if len(hashes) > MOST_TEMPLATE_WORDS:
+                raise ValueError(f"template {name} has more than {MOST_TEMPLATE_WORDS} words")
             self.words.append(hashes)
-        self.keys = np.array(sorted(self.postings), np.uint64)
-
-
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, last + 1 of them in the text): the best local alignment within the band around the diagonal.
-
-    A match scores 2, a mismatch and a gap -1 each. Row i of the band holds the text places i + diagonal - band to i + diagonal + band.
+            spelled.append({int(h): raw[s:e].tobytes().decode().lower() for h, s, e in zip(hashes, start, end, strict=True)})
+        self.need = [max(1, math.ceil(least * len(w) - 1e-9)) for w in self.words]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
+        self.vocabulary = np.unique(np.concatenate(self.words))
+        self.bags = [(np.searchsorted(self.vocabulary, w), n) for w, n in self.bags]
+        within = np.bincount(np.concatenate([w for w, _ in self.bags]), minlength=len(self.vocabulary))
+        keys: dict[int, list[int]] = defaultdict(list)
+        for t, (ids, counts) in enumerate(self.bags):
+            names = [spelled[t][int(self.vocabulary[i])] for i in ids]
+            order = sorted(range(len(ids)), key=lambda k: (names[k] in COMMON or names[k].isdigit(), within[ids[k]] / len(self.names) > 0.5, -len(names[k]), names[k]))
+            left = len(self.words[t]) - self.need[t] + 1
+            for k in order:
+                if left <= 0:
+                    break
+                keys[int(ids[k])].append(t)
+                left -= counts[k]
+        self.key = np.zeros(len(self.vocabulary), bool)
+        self.key[list(keys)] = True
+        self.of_key = dict(keys)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's place in the vocabulary, or -1."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, -1)
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        return np.bincount(ids[ids >= 0], minlength=len(self.vocabulary))
+
+    def shared(self, t: int, counts: np.ndarray) -> int:
+        """How many of template t's words are among those counted, each as often as it is in both."""
+        mine, n = self.bags[t]
+        return int(np.minimum(counts[mine], n).sum())
+
+
+def align(template: np.ndarray, text: np.ndarray, diagonal: int | None = None, band: int = BAND, need: int = 0) -> tuple[int, int, int]:
+    """(matched words, first, last + 1 of them in the text): the best local alignment, of those of `need` matches or more.
+
+    A match scores 2, a mismatch and a gap -1 each; of equal scores the one of more
+    matches, then of the later start, then of the earlier end. With a diagonal, row i
+    holds the text places i + diagonal - band to i + diagonal + band only.
     """
-    width = 2 * band + 1
-    row = [(0, 0, -1, -1)] * (width + 2)  # score, matches, first, last + 1; a column of nothing at either side
-    best = (0, 0, -1, -1)
+    n, places = len(text), np.arange(len(text), dtype=np.int64)
+    one, match, low = np.int64(1 << 42), np.int64(1 << 21), np.int64((1 << 21) - 1)
+    if n > 6 * MOST_TEMPLATE_WORDS or len(template) > MOST_TEMPLATE_WORDS:
+        raise ValueError("too long to align")
+    row, best, end = np.zeros(n + 1, np.int64), 0, 0  # a cell is its score, its matches and its first place, from the highest bits on; 0 is nothing
     for i, w in enumerate(template.tolist()):
-        new = [(0, 0, -1, -1)] * (width + 2)
-        for k in range(width):
-            j = i + diagonal - band + k
-            if not 0 <= j < len(text):
-                continue
-            score, n, first, last = row[k + 1]
-            if text[j] == w:
-                cell = (score + 2, n + 1, j if first < 0 else first, j + 1)
-            else:
-                cell = (score - 1, n, first, last)
-            for other in (row[k + 2], new[k]):
-                if other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, *other[1:])
-            new[k + 1] = cell if cell[0] > 0 else (0, 0, -1, -1)
-            if cell[0] > best[0]:
-                best = cell
-        row = new
-    return best[1:]
-
-
-def _hits(index: Index, hashes: np.ndarray, least: float, band: int) -> list[tuple[int, int, int, float]]:
+        hit = row[:-1] + np.where(text == np.uint64(w), 2 * one + match, -one)
+        hit += np.where((row[:-1] == 0) & (text == np.uint64(w)), places, 0)
+        cell = np.maximum(hit, row[1:] - one)
+        cell[cell < one] = 0
+        if diagonal is not None:
+            cell[np.abs(places - i - diagonal) > band] = 0
+        cell = np.maximum.accumulate(cell + places * one) - places * one  # gaps in the template
+        cell[cell < one] = 0
+        if diagonal is not None:
+            cell[np.abs(places - i - diagonal) > band] = 0
+        good = np.where((cell >> np.int64(21)) & low >= need, cell, 0) if need else cell
+        if n and good.max() > best:
+            at = int(good.argmax())
+            best, end = int(good[at]), at + 1
+        row[1:] = cell
+    return ((best >> 21) & int(low), best & int(low), end) if best else (0, -1, -1)
+
+
+def _places(index: Index, t: int, hashes: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(template, first word, last word + 1, coverage) of template t's hits, which do not overlap.
+
+    An alignment's score is above 0, so it spans at most three times as many words as the template has.
+    """
+    template, need = index.words[t], index.need[t]
+    reach, member = 3 * len(template), np.zeros(len(index.vocabulary) + 1, bool)
+    member[index.bags[t][0]] = True
+    mine = np.flatnonzero(member[ids])
+    starts = mine[: len(mine) - need + 1]
+    starts = starts[mine[need - 1 :] - starts < reach]
+    todo = [(0, len(hashes))]
+    while todo:
+        low, high = todo.pop()
+        k = np.searchsorted(starts, low)
+        if k == len(starts) or starts[k] > high - need:
+            continue
+        low = int(starts[k])
+        stop = min(high, low + 2 * reach)
+        n, first, last = align(template, hashes[low:stop], need=need) if index.shared(t, index.counts(ids[low:stop])) >= need else (0, -1, -1)
+        if not n:
+            if stop < high:
+                todo.append((low + reach, high))
+        elif first >= reach and stop < high:  # it may go on behind the stretch
+            todo += [(low + first, high), (low, low + first)]
+        else:
+            yield t, low + first, low + last, n / len(template)
+            todo += [(low + last, high), (low, low + first)]
+
+
+def _hits(index: Index, hashes: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(template, first word, last word + 1, coverage) in one text's words."""
-    grams = _text.gram_hashes(hashes, GRAM)
-    places = winnow(grams)
-    places = places[np.isin(grams[places], index.keys)]
-    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for at in places.tolist():
-        for t, where in index.postings[int(grams[at])]:
-            seeds[t].append((at, where))
-    found = []
-    for t, pairs in seeds.items():
-        template, end, tried = index.words[t], 0, set()
-        for at, where in pairs:
-            d = at - where
-            if at < end or (d, end) in tried:  # inside the last hit, or on a diagonal that has been aligned
-                continue
-            tried.add((d, end))
-            low = max(0, d - band, end)
-            n, first, last = align(template, hashes[low : d + len(template) + band + 1], d - low, band)
-            if n >= least * len(template):
-                found.append((t, low + first, low + last, n / len(template)))
-                end = low + last
+    counts = index.counts(ids)
+    candidates = {t for k in np.flatnonzero(index.key & (counts > 0)).tolist() for t in index.of_key[k]}
+    found = [h for t in sorted(candidates) if index.shared(t, counts) >= index.need[t] for h in _places(index, t, hashes, ids)]
     return sorted(found, key=lambda h: (h[1], h[0]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.75, band: int = BAND) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:
     """(id, license, coverage, start, end, matched): a row for each place where a text holds at least that share of a template's words.
 
     start and end are code points, end exclusive. Null and empty texts give no rows;
     repeated rows and null ids each give their own. One narrow pass; the templates,
     at most MOST_TEMPLATE_BYTES, are broadcast.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES))
+    index = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = index.value
@@ -141,11 +188,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             rows, out = [], []
             for first, last, data, offsets in _text.slices(batch.column(1)):
                 hashes, start, end, bounds = words(data, offsets)
-                grams = _text.gram_hashes(hashes, GRAM)
-                near = np.concatenate([[0], np.cumsum(np.isin(grams, of.keys))])
-                for i in np.flatnonzero(near[np.minimum(bounds[1:], len(grams))] > near[np.minimum(bounds[:-1], len(grams))]).tolist():
+                ids = of.find(hashes)
+                near = np.concatenate([[0], np.cumsum((ids >= 0) & of.key[ids])])
+                for i in np.flatnonzero(near[bounds[1:]] > near[bounds[:-1]]).tolist():
                     a, b = bounds[i], bounds[i + 1]
-                    for t, p, q, coverage in _hits(of, hashes[a:b], least, band):
+                    for t, p, q, coverage in _hits(of, hashes[a:b], ids[a:b]):
                         base, s, e = offsets[i], start[a + p], end[a + q - 1]
                         at = len(data[base:s].tobytes().decode())
                         rows.append(first + i)

@@ -47,3 +47,45 @@ def test_align():
     t = np.array([1, 2, 3, 4, 5], np.uint64)
     assert licenses.align(t, np.array([9, 1, 2, 8, 3, 4, 5, 9], np.uint64), 1) == (5, 1, 7)
     assert licenses.align(t, np.array([7, 8], np.uint64), 0)[0] == 0
+
+
+def test_any_text_with_the_share_of_words_is_found(spark):
+    """Notices with words changed, inserted or dropped, against alignment with every stretch of the text."""
+    r = np.random.default_rng(1)
+    texts = ["Released under an MIT License"]
+    for line in licenses.TEMPLATES.values():
+        for _ in range(12):
+            words = line.split()
+            for _ in range(r.integers(1, 1 + max(1, len(words) // 4))):
+                at = r.integers(0, len(words))
+                words[at : at + 1] = [[], ["thing"], [words[at], "thing"]][r.integers(0, 3)]
+            texts.append(" ".join(["the of", *words, "and under the"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(x.license, x.coverage) for x in licenses.scan(docs.where("doc_id = 0")).collect()] == [("MIT-notice", 0.8)]
+
+    def hashes(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return licenses.words(raw, np.array([0, len(raw)]))[0].tolist()
+
+    def matched(template, text, need):
+        """The matches of the best cell of a plain local alignment table."""
+        row, best = [(0, 0, 0)] * (len(text) + 1), (0, 0, 0)
+        for w in template:
+            new = [(0, 0, 0)]
+            for j, x in enumerate(text):
+                s, n, f = row[j]
+                hit = (s + 2, n + 1, f if s else j) if x == w else (s - 1, n, f)
+                new.append(max(hit, (row[j + 1][0] - 1, *row[j + 1][1:]), (new[j][0] - 1, *new[j][1:])))
+                if new[-1][0] <= 0:
+                    new[-1] = (0, 0, 0)
+                elif new[-1][1] >= need:
+                    best = max(best, new[-1])
+            row = new
+        return best[1]
+
+    split = [hashes(t) for t in texts]
+    for name, line in licenses.TEMPLATES.items():
+        template = hashes(line)
+        need = -(-3 * len(template) // 4)
+        got = {x.doc_id: x.matched for x in licenses.scan(docs, templates={name: line}).orderBy("matched").collect()}
+        assert got == {i: n for i, text in enumerate(split) if (n := matched(template, text, need))}
