@@ -1,4 +1,4 @@
-"""License scans: rare words of templates in an inverted index, counts of shared words, local alignment.
+"""License scans: rare words of templates as keys, counts of shared words, local alignment.
 
 Templates and texts are sequences of lower-cased words (runs of letters, digits
 and underscores). A text that holds all but m of a template's words holds one of
@@ -8,9 +8,12 @@ template, the two are aligned, which reports the share of the template's words
 that match and the span in the text. No step loses an alignment of enough words.
 """
 
+import bisect
+import heapq
 import math
-from collections import defaultdict
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,49 @@ TEMPLATES = {
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
 }
+#: Licenses by SPDX name, as notices call them.
+CALLED = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License", "Apache License, Version 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+    "BSD": ["BSD License"],
+    "ISC": ["ISC License"],
+    "0BSD": ["Zero-Clause BSD License", "BSD Zero Clause License"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License"],
+    "PSF-2.0": ["Python Software Foundation License", "PSF License"],
+    "Unlicense": ["Unlicense"],
+    "WTFPL": ["WTFPL"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1"],
+    "Artistic-1.0": ["Artistic License", "Artistic License 1.0"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    **{f"{a}GPL-{v}": [f"GNU {b}General Public License, version {v.removesuffix('.0')}", f"GNU {b}General Public License v{v}", f"GNU {b}General Public License v{v.removesuffix('.0')}", f"GNU {b}GPL version {v.removesuffix('.0')}", f"{a}GPL v{v.removesuffix('.0')}", f"{a}GPLv{v.removesuffix('.0')}", f"{a}GPL-{v}", f"GNU {b}General Public License, version {v.removesuffix('.0')} or later"] for a, b, versions in (("", "", ("1.0", "2.0", "3.0")), ("L", "Lesser ", ("2.1", "3.0")), ("A", "Affero ", ("3.0",))) for v in versions},
+    "GPL": ["GNU General Public License", "GPL"],
+    "LGPL": ["GNU Lesser General Public License", "LGPL"],
+    "AGPL": ["GNU Affero General Public License", "AGPL"],
+    "LGPL-2.0": ["GNU Library General Public License, version 2"],
+    "GFDL-1.2": ["GNU Free Documentation License, Version 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, Version 1.3"],
+    **{f"MPL-{v}": [f"Mozilla Public License, version {v}", f"Mozilla Public License {v}", f"MPL {v}"] for v in ("1.1", "2.0")},
+    **{f"EPL-{v}": [f"Eclipse Public License, version {v}", f"Eclipse Public License {v}", f"EPL {v}"] for v in ("1.0", "2.0")},
+    "EUPL-1.2": ["European Union Public License 1.2", "EUPL 1.2"],
+    "CDDL-1.0": ["Common Development and Distribution License 1.0", "CDDL 1.0"],
+    "ODbL-1.0": ["Open Database License", "Open Data Commons Open Database License"],
+    "CC0-1.0": ["CC0 1.0", "CC0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License"],
+    **{f"CC-{k}-{v}": [f"CC {k} {v}", f"Creative Commons {name} {v} {port} License", f"Creative Commons {name} {v} License"] for k, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v, port in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))},
+}
+FORMS = ("Released under the {}", "Licensed under the {}", "Licensed under {}", "Distributed under the {}", "Available under the {}", "This work is licensed under a {}", "This work is licensed under the {}", "This project is licensed under the {}", "This software is licensed under the {}")
+_GNU = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{version}"
+#: The usual headers of source files.
+HEADERS = {
+    **{f"{x}{'-or-later' if later else '-only'}-header": _GNU.format(what=what, mark=":" if v in ("3", "2.1") else ";", name=name, version=f"; either version {v} of the License, or (at your option) any later version." if later else f", version {v} of the License.") for x, what, name, v in (("GPL-1.0", "program", "General Public License", "1"), ("GPL-2.0", "program", "General Public License", "2"), ("GPL-3.0", "program", "General Public License", "3"), ("LGPL-2.0", "library", "Library General Public License", "2"), ("LGPL-2.1", "library", "Lesser General Public License", "2.1"), ("LGPL-3.0", "library", "Lesser General Public License", "3"), ("AGPL-3.0", "program", "Affero General Public License", "3")) for later in (True, False) if (x, later) != ("GPL-3.0", True)},
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSL-1.0-header": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSD-header": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "MIT-header": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+}
 #: Words of any text; a template's other words are its first keys.
 COMMON = frozenset("a all also an and any are as at be by can do each either for from has have if in into is it its may must no not of on one only or other out shall so such that the their then there these they this to under up use used was when where which who will with within you your".split())
 #: The templates travel to every task.
@@ -55,8 +101,22 @@ def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + n - 1 - views[:, ::-1].argmin(axis=1))
 
 
+def known() -> dict[str, str]:
+    """TEMPLATES, HEADERS, a notice of each form for each name of CALLED, and the whole texts of license_texts by their SPDX names; those of fewer than GRAM words and repeated ones are left out."""
+    out = TEMPLATES | HEADERS
+    size = lambda t: len(re.findall(r"\w+", t))
+    seen = {" ".join(re.findall(r"\w+", t.lower())) for t in out.values()}
+    for spdx, names in CALLED.items():
+        for k, line in enumerate(form.format(name) for name in names for form in FORMS):
+            key = " ".join(re.findall(r"\w+", line.lower()))
+            if size(line) > GRAM and key not in seen:
+                seen.add(key)
+                out[f"{spdx}-notice-{k}"] = line
+    return out | {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 class Index:
-    """The templates' words, how many of them a hit needs, and the templates of each key word."""
+    """The templates' words, how many of them a hit needs, and whether a word is a key."""
 
     def __init__(self, templates: dict[str, str], least: float = 0.75) -> None:
         if sum(len(t.encode()) for t in templates.values()) > MOST_TEMPLATE_BYTES:
@@ -71,12 +131,14 @@ class Index:
                 raise ValueError(f"template {name} has more than {MOST_TEMPLATE_WORDS} words")
             self.words.append(hashes)
             spelled.append({int(h): raw[s:e].tobytes().decode().lower() for h, s, e in zip(hashes, start, end, strict=True)})
-        self.need = [max(1, math.ceil(least * len(w) - 1e-9)) for w in self.words]
+        self.lengths = [len(w) for w in self.words]
+        self.need = np.array([max(1, math.ceil(least * n - 1e-9)) for n in self.lengths])
         self.bags = [np.unique(w, return_counts=True) for w in self.words]
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.bags = [(np.searchsorted(self.vocabulary, w), n) for w, n in self.bags]
+        self.flat = np.concatenate([w for w, _ in self.bags]), np.concatenate([n for _, n in self.bags]), np.cumsum([0, *(len(w) for w, _ in self.bags[:-1])])
         within = np.bincount(np.concatenate([w for w, _ in self.bags]), minlength=len(self.vocabulary))
-        keys: dict[int, list[int]] = defaultdict(list)
+        self.key = np.zeros(len(self.vocabulary), bool)
         for t, (ids, counts) in enumerate(self.bags):
             names = [spelled[t][int(self.vocabulary[i])] for i in ids]
             order = sorted(range(len(ids)), key=lambda k: (names[k] in COMMON or names[k].isdigit(), within[ids[k]] / len(self.names) > 0.5, -len(names[k]), names[k]))
@@ -84,11 +146,8 @@ class Index:
             for k in order:
                 if left <= 0:
                     break
-                keys[int(ids[k])].append(t)
+                self.key[ids[k]] = True
                 left -= counts[k]
-        self.key = np.zeros(len(self.vocabulary), bool)
-        self.key[list(keys)] = True
-        self.of_key = dict(keys)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's place in the vocabulary, or -1."""
@@ -98,6 +157,11 @@ class Index:
     def counts(self, ids: np.ndarray) -> np.ndarray:
         return np.bincount(ids[ids >= 0], minlength=len(self.vocabulary))
 
+    def all_shared(self, counts: np.ndarray) -> np.ndarray:
+        """How many of each template's words are among those counted."""
+        ids, n, first = self.flat
+        return np.add.reduceat(np.minimum(counts[ids], n), first)
+
     def shared(self, t: int, counts: np.ndarray) -> int:
         """How many of template t's words are among those counted, each as often as it is in both."""
         mine, n = self.bags[t]
@@ -135,8 +199,8 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int | None = None, b
     return ((best >> 21) & int(low), best & int(low), end) if best else (0, -1, -1)
 
 
-def _places(index: Index, t: int, hashes: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-    """(template, first word, last word + 1, coverage) of template t's hits, which do not overlap.
+def _places(index: Index, t: int, hashes: np.ndarray, ids: np.ndarray, gaps: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, float]]:
+    """(template, first word, last word + 1, coverage) of template t's hits within these runs of words, which do not overlap.
 
     An alignment's score is above 0, so it spans at most three times as many words as the template has.
     """
@@ -146,7 +210,7 @@ def _places(index: Index, t: int, hashes: np.ndarray, ids: np.ndarray) -> Iterat
     mine = np.flatnonzero(member[ids])
     starts = mine[: len(mine) - need + 1]
     starts = starts[mine[need - 1 :] - starts < reach]
-    todo = [(0, len(hashes))]
+    todo = gaps
     while todo:
         low, high = todo.pop()
         k = np.searchsorted(starts, low)
@@ -166,21 +230,42 @@ def _places(index: Index, t: int, hashes: np.ndarray, ids: np.ndarray) -> Iterat
 
 
 def _hits(index: Index, hashes: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(template, first word, last word + 1, coverage) in one text's words."""
+    """(template, first word, last word + 1, coverage) in one text's words: of overlapping ones the best.
+
+    Templates are searched for from the highest bound of matched less missing words
+    on, and only between the places that no later one can better.
+    """
+    best: list[tuple[int, int, int, float]] = []  # do not overlap, in the text's order
     counts = index.counts(ids)
-    candidates = {t for k in np.flatnonzero(index.key & (counts > 0)).tolist() for t in index.of_key[k]}
-    found = [h for t in sorted(candidates) if index.shared(t, counts) >= index.need[t] for h in _places(index, t, hashes, ids)]
-    return sorted(found, key=lambda h: (h[1], h[0]))
+    shared = index.all_shared(counts)
+    todo = [(index.lengths[t] - 2 * int(shared[t]), -2.0, 0, t, None) for t in np.flatnonzero(shared >= index.need).tolist()]
+    heapq.heapify(todo)
+    while todo:
+        *_, t, h = heapq.heappop(todo)
+        if h is None:
+            if best and index.shared(t, counts) < index.need[t]:
+                continue
+            gaps = list(zip([0, *(k[2] for k in best)], [*(k[1] for k in best), len(ids)], strict=True))
+            for h in _places(index, t, hashes, ids, gaps):
+                heapq.heappush(todo, (index.lengths[t] - 2 * round(h[3] * index.lengths[t]), -h[3], h[1], t, h))
+        else:
+            at = bisect.bisect(best, h[1], key=lambda k: k[1])
+            if (not at or best[at - 1][2] <= h[1]) and (at == len(best) or h[2] <= best[at][1]):
+                best.insert(at, h)
+                counts = counts - index.counts(ids[h[1] : h[2]])
+    return best
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:
     """(id, license, coverage, start, end, matched): a row for each place where a text holds at least that share of a template's words.
 
+    Of overlapping places the one stands with the most matched words less those
+    missing, then of the best coverage; templates are those of known() unless given.
     start and end are code points, end exclusive. Null and empty texts give no rows;
     repeated rows and null ids each give their own. One narrow pass; the templates,
     at most MOST_TEMPLATE_BYTES, are broadcast.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES, least))
+    index = docs.sparkSession.sparkContext.broadcast(Index(known() if templates is None else templates, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = index.value

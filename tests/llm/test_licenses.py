@@ -89,3 +89,20 @@ def test_any_text_with_the_share_of_words_is_found(spark):
         need = -(-3 * len(template) // 4)
         got = {x.doc_id: x.matched for x in licenses.scan(docs, templates={name: line}).orderBy("matched").collect()}
         assert got == {i: n for i, text in enumerate(split) if (n := matched(template, text, need))}
+
+
+def test_whole_licenses_and_the_right_sibling(spark):
+    known = licenses.known()
+    bodies = [n for n in known if n not in licenses.TEMPLATES | licenses.HEADERS and "-notice-" not in n]
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"} <= set(bodies)
+    lines = {"Licensed under CC BY 4.0.": "CC-BY-4.0", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "Licensed under the BSD 3-Clause License": "BSD-3-Clause", "Released under the Mozilla Public License 2.0": "MPL-2.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Released under the MIT License.": "MIT"}
+    texts = [(n, "the first words " + known[n].replace("copyright", "", 1) + " and the last") for n in bodies] + [(n, line) for line, n in lines.items()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, (name, text) in enumerate(texts):
+        widest = max(got[i], key=lambda r: r.matched)
+        assert widest.license.split("-notice")[0] == name and (widest.coverage > 0.97), (name, widest)
+        spans = sorted((r.start, r.end) for r in got[i])
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
