@@ -59,24 +59,27 @@ def sentence_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sums.select(id_col, "pos", score.alias("score"))
 
 
-def summary(docs: DataFrame, id_col: str, text_col: str, target: int = 5, pool: int = 40, most_alike: float = 0.55) -> DataFrame:
+def summary(docs: DataFrame, id_col: str, text_col: str, target: int = 5, most_alike: float = 0.55) -> DataFrame:
     """(id, pos, sentence): greedily the best sentences that are not too alike (by Jaccard of terms), in the text's order.
 
-    Only the `pool` best of each document, or ten times the target, are weighed against each other.
+    All scored sentences of a document are weighed until there are `target`; a document of no more candidates keeps them all.
     """
-    best = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "pos"))
-    top = sentence_scores(docs, id_col, text_col).withColumn("rank", best).where(F.col("rank") <= max(pool, 10 * target))
-    rows = top.join(sentence_rows(docs, id_col, text_col).select(id_col, "pos", "sentence"), [id_col, "pos"]).select(F.col(id_col).alias("id"), "pos", "rank", "sentence", T.terms(F.col("sentence")).alias("t"))
+    sentences = sentence_rows(docs, id_col, text_col)
+    few = sentences.where(F.col("n") <= target).select(id_col, "pos", "sentence")
+    many = sentence_scores(docs, id_col, text_col).join(sentences.where(F.col("n") > target).select(id_col, "pos", "sentence"), [id_col, "pos"])
+    rows = many.select(F.col(id_col).alias("id"), "pos", "score", "sentence", T.terms(F.col("sentence")).alias("t"))
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple] = []
-        for r in frame.sort_values("rank").itertuples():
+        for r in frame.sort_values(["score", "pos"], ascending=[False, True]).itertuples():
+            if len(kept) == target:
+                break
             t = set(r.t)
-            if len(kept) < target and all(len(t & k[2]) <= most_alike * len(t | k[2]) for k in kept):
+            if all(len(t & k[2]) <= most_alike * len(t | k[2]) for k in kept):
                 kept.append((r.pos, r.sentence, t))
         return pd.DataFrame([(frame.id.iloc[0], p, s) for p, s, _ in sorted(kept, key=lambda k: k[0])], columns=["id", "pos", "sentence"])
 
-    return rows.groupBy("id").applyInPandas(pick, f"id {docs.schema[id_col].dataType.simpleString()}, pos long, sentence string").withColumnRenamed("id", id_col)
+    return rows.groupBy("id").applyInPandas(pick, f"id {docs.schema[id_col].dataType.simpleString()}, pos long, sentence string").withColumnRenamed("id", id_col).unionByName(few)
 
 
 def cooccurrence(sentences: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:

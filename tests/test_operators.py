@@ -138,6 +138,31 @@ def test_summary_keeps_order_and_drops_the_alike(spark):
     assert [r.pos for r in got] == sorted(r.pos for r in got) and len({r.sentence for r in got}) == len(got) == 3
 
 
+def test_summary_weighs_all_sentences(spark):
+    """Sixty like lines that outrank the rest, and too few candidates to choose from."""
+    like = " ".join(f"Alpha beta gamma delta epsilon zeta number{k}." for k in range(60))
+    rest = "Rivers carve deep valleys over time. Markets trade bonds every single day. Gardens bloom after long spring rain. Engines burn fuel under high pressure."
+    same = "Quiet lakes mirror tall mountains. " * 4
+    docs = spark.createDataFrame([(1, f"{like} {rest}"), (2, same), (3, "It is on the of. " + "Too short.")], "doc_id long, text string")
+    got = {}
+    for r in evidence.summary(docs, "doc_id", "text").collect():
+        got.setdefault(r.doc_id, []).append(r.pos)
+
+    scores, terms = evidence.sentence_scores(docs, "doc_id", "text").toPandas(), {}
+    for r in evidence.sentence_rows(docs, "doc_id", "text").withColumn("t", T.terms(F.col("sentence"))).collect():
+        terms.setdefault(r.doc_id, {})[r.pos] = set(r.t)
+    want = {}
+    for i, by_pos in terms.items():
+        kept = sorted(by_pos) if len(by_pos) <= 5 else []
+        if not kept:
+            for p in scores[scores.doc_id == i].sort_values(["score", "pos"], ascending=[False, True]).pos:
+                if len(kept) < 5 and all(len(by_pos[p] & by_pos[k]) <= 0.55 * len(by_pos[p] | by_pos[k]) for k in kept):
+                    kept.append(p)
+        want[i] = sorted(kept)
+    assert {i: sorted(p) for i, p in got.items()} == want
+    assert len(want[1]) == 5 and want[2] == [0, 1, 2, 3] and want[3] == [0]
+
+
 def test_plan_fits(spark):
     topics = spark.createDataFrame([(1, f"t{k}", 45, 2.0 - k / 10) for k in range(5)] + [(1, "huge", 10_000, 9.0)], "u long, topic string, minutes int, importance double")
     rows = assessment.study_plan(topics, "u", 7, 60).collect()
