@@ -26,7 +26,7 @@ _LETTERS[128:] = range(128, 256)
 
 @dataclass(frozen=True)
 class Model:
-    """languages, the most frequent first; slots: uint64 masks, a column per 64 languages; rates: each filter's false-positive rate."""
+    """languages, those with the most training text first; slots: uint64 masks, a column per 64 languages; rates: each filter's false-positive rate."""
 
     languages: list[str]
     slots: np.ndarray
@@ -52,15 +52,22 @@ def _slots(grams: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 20_000, rarest: int = 30_000, bits: int = 20, max_languages: int = 512) -> Model:
-    """Learn from rows with a language, at most about max_docs of them (those of the smallest id hashes, all if there are fewer).
+    """Learn from rows with a language, at most about max_docs of them: an even share of each language, those of the smallest id hashes, and all rows of a language that has fewer.
 
     A language's filter holds the n-grams that make up 1/rarest of its n-grams or
     more: at most `rarest` n-grams each, which bounds what reaches the driver.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.where(F.shiftrightunsigned("h", 11) < int((1 << 53) * max_docs / n))
+    sizes = rows.groupBy("lang").count().orderBy("count", "lang").limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if sum(r["count"] for r in sizes) > max_docs:
+        below, left = [], max_docs
+        for k, r in enumerate(sizes):  # what the smaller ones leave is the larger ones'
+            share = min(r["count"], left // (len(sizes) - k))
+            left -= share
+            below.append((r.lang, int((1 << 53) * share / r["count"])))
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below bigint")), "lang").where(F.shiftrightunsigned("h", 11) < F.col("below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,9 +78,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 yield pa.RecordBatch.from_arrays([pa.array(langs[(pairs >> np.uint64(32)).astype(int)], pa.string()), pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
     found = rows.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    totals = found.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(max_languages + 1).collect()
-    if len(totals) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    totals = found.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").collect()
     kept = found.join(F.broadcast(docs.sparkSession.createDataFrame([(r.lang, r.total) for r in totals], "lang string, total bigint")), "lang").where(F.col("n") * rarest >= F.col("total")).select("lang", "gram").toPandas()
     found.unpersist()
     languages = [r.lang for r in totals]

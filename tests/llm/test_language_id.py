@@ -42,3 +42,13 @@ def test_many_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language_id.predict(docs, language_id.fit(docs)).selectExpr("row.lang", "lang_pred").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.98
+
+
+def test_rare_languages_are_learned_at_any_size(spark):
+    common = spark.range(4_000).selectExpr("id AS doc_id", "'the quick brown fox jumps over the lazy dog' AS text", "'en' AS lang")
+    rare = spark.createDataFrame([(10_000 + i, "щука и карась плывут по реке", "ru") for i in range(3)], common.schema)
+    docs = common.unionByName(rare)
+    model = language_id.fit(docs, max_docs=100)
+    assert model.languages == ["en", "ru"]
+    got = language_id.predict(rare, model).collect()
+    assert all(r.lang_pred == "ru" and r.score > 0.9 for r in got)
