@@ -9,6 +9,7 @@ its place by its rank among the pieces of its length.
 """
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -90,9 +91,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or public_tokenizers.path(tokens.COUNT_VOCABULARY)
 
     def cut(text: str) -> Iterator[tuple[int, int, int, int]]:
-        ids = [i for part in tokens.library_ids(text, path) for i in part]
-        ids.append(end_id)
-        raw, n, start, k = np.array(ids, "<u4").tobytes(), len(ids), 0, 0
+        held = array("I")  # four bytes an id, no more than the text
+        for part in tokens.library_ids(text, path):
+            held.extend(part)
+        held.append(end_id)
+        raw, n, start, k = memoryview(np.frombuffer(held, np.uint32).astype("<u4", copy=False)).cast("B"), len(held), 0, 0
         while start < n:
             end = n - (n - start - 1) // capacity * capacity
             yield k, start, end - start, zlib.crc32(raw[4 * start : 4 * end])

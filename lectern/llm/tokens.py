@@ -44,25 +44,45 @@ def token_lengths(path: str) -> np.ndarray:
     return out
 
 
-def _stable(data: bytes, places: np.ndarray) -> np.ndarray:
-    """Those places that lie between a printable ASCII character and white space.
+#: Places where the split pattern always parts, whatever stands around: no match of it holds a non-blank followed by a
+#: blank, or one of these letters followed by punctuation, and the pattern looks ahead but never back.
+_SAFE = re.compile(r"(?<=[!-~])(?=[ \n])|(?<=[A-Za-z\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3])(?=[!-/:-@\[-`{-~\u3000-\u3003\uff01\uff0c\uff0e\uff1a\uff1b\uff1f])")
+#: Long runs of the characters that the pattern's \s stands for.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 
-    No match of the split pattern holds a non-blank followed by a blank, and the
-    pattern looks ahead but never back. So such a place is a border of the whole
-    text's tokens, whatever stands before or after the chunk.
+
+def blanks_apart(text: str) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is one match): long runs of white space are taken out.
+
+    Such a run is a single match but for its last character, which may go with what
+    follows. The regex would hold a place to go back to for each of its characters.
     """
-    bytes_ = np.frombuffer(data, np.uint8)
-    places = places[(places > 0) & (places < len(bytes_))]
-    left, right = bytes_[places - 1], bytes_[places]
-    return places[(left > 32) & (left < 127) & ((right == 32) | (right == 10))]
+    at = 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        if m.start() > at:
+            yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
+def _places(text: str) -> np.ndarray:
+    """The safe places in the text, in bytes."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    ends = np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64))
+    return ends[[m.start() - 1 for m in _SAFE.finditer(text)]]
 
 
 def spliced(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[int]]:
     """The ids of a text of any length, in parts.
 
     Chunks are encoded with an overlap; the two encodings are spliced at the last
-    border that both have and that is proven stable. Where the overlap holds none,
-    it is widened, in the end to more than the chunk, which then grows too.
+    border that both have and that is safe. Where the overlap holds none, it is
+    widened, in the end to more than the chunk, which then grows too. A single
+    match, such as a word of a million letters, is encoded whole, as its tokens
+    depend on all of it.
     """
     encode, lengths, at = encoding(path).encode_ordinary, token_lengths(path), 0
     size = chunk
@@ -72,17 +92,16 @@ def spliced(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
         if end >= len(text):
             yield ids
             return
-        left = text[at:end].encode()
         ends, width, cut = np.cumsum(lengths[ids]), overlap, 0
         while not cut and width < 2 * size:
             begin = max(at, end - width)
             shift = len(text[at:begin].encode())
             right = np.cumsum(lengths[encode(text[begin : end + overlap])]) + shift
-            common = _stable(left, np.intersect1d(ends, right, assume_unique=True))
+            common = np.intersect1d(np.intersect1d(ends, right, assume_unique=True), _places(text[begin:end]) + shift, assume_unique=True)
             cut, width = int(common[-1]) if len(common) else 0, 2 * width
         if cut:
             yield ids[: int(np.searchsorted(ends, cut)) + 1]
-            at += len(left[:cut].decode())
+            at += len(text[at:end].encode()[:cut].decode())
             size = chunk
         else:
             size *= 2
@@ -90,13 +109,17 @@ def spliced(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
 
 def library_ids(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[int]]:
     """Ids as the tokenizers library gives them, in parts: the special string is one id, all else is encoded between."""
-    for k, part in enumerate(text.split(SPECIAL)):
+    e = encoding(path)
+    for k, section in enumerate(text.split(SPECIAL)):
         if k:
             yield [SPECIAL_ID]
-        if len(part) > chunk:
-            yield from spliced(part, path, chunk, overlap)
-        elif part:
-            yield encoding(path).encode_ordinary(part)
+        for part, one in blanks_apart(section):
+            if one:
+                yield e._encode_single_piece(part)
+            elif len(part) > chunk:
+                yield from spliced(part, path, chunk, overlap)
+            else:
+                yield e.encode_ordinary(part)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -119,9 +142,6 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id.key").alias(id_col), "id.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-_SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
-
-
 def safe_parts(text: str, most: int = CHUNK) -> Iterator[str]:
     """Parts of about so many characters, cut only where the split pattern always splits; a stretch without such a place stays whole."""
     at = 0
@@ -131,15 +151,29 @@ def safe_parts(text: str, most: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
+def codec_ids(text: str, path: str, most: int = CHUNK) -> Iterator[list[int]]:
+    """Ids as the tiktoken library gives them, in parts."""
+    e = encoding(path)
+    for stretch, one in blanks_apart(text):
+        if one:
+            yield e._encode_single_piece(stretch)
+        else:
+            yield from map(e.encode_ordinary, safe_parts(stretch, most))
+
+
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids array<int>): the ids of each whole text. Null texts are empty; every row of docs gives a row."""
     path = path or public_tokenizers.path(CODEC_VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
         for batch in batches:
-            ids = [[i for part in safe_parts(t.as_py() or "") for i in encode(part)] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+            flat, ends = array("i"), [0]
+            for t in batch.column(1):
+                for part in codec_ids(t.as_py() or "", path):
+                    flat.extend(part)
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -169,8 +203,7 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def digest(text: str) -> tuple[int, str, str]:
         e, n, ids_sha, bytes_sha = encoding(path), 0, hashlib.sha256(), hashlib.sha256()
-        for part in safe_parts(text):
-            ids = e.encode_ordinary(part)
+        for ids in codec_ids(text, path):
             n += len(ids)
             ids_sha.update(np.frombuffer(array("I", ids), np.uint32).astype("<u4", copy=False))
             bytes_sha.update(e.decode_bytes(ids))

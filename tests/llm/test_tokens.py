@@ -46,8 +46,41 @@ def test_any_text(text):
     assert flat(tokens.spliced(text, PATH, 16, 4)) == tokens.encoding(PATH).encode_ordinary(text)
 
 
+RUNS = {
+    "spaces": " " * 2_000_000,
+    "newlines": "\n" * 2_000_000,
+    "mixed": "".join(random.Random(1).choices(" \n\t\u3000\xa0", k=2_000_000)),
+    "between words": "x" + " " * 700_000 + "y" + "\n" * 300 + " z" + "\r" * 256 + "!" + "\t" * 500_000,
+    "no blanks": "日本、文字。" * 200_000,
+    "signs": "=" * 300_000,
+    "one word": "a" * 300_000,
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_very_long_runs(library, name):
+    """Against tokenizers, and against a plain reading of the split pattern for the other vocabulary."""
+    import regex
+
+    text = RUNS[name]
+    assert flat(tokens.library_ids(text, PATH)) == library.encode(text, add_special_tokens=False).ids
+    path = P.path(tokens.CODEC_VOCABULARY)
+    e = tokens.encoding(path)
+    want = [i for m in regex.findall(P.PATTERN, text) for i in e._encode_single_piece(m)]
+    assert flat(tokens.codec_ids(text, path)) == want and e.decode(want) == text
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", " ", "\n", "'s", "é", "日", "。", "1", "!", " " * 300, "\n" * 256, " \t" * 200, tokens.SPECIAL]), max_size=40))
+def test_runs_between_anything(pieces):
+    text, library = "".join(pieces), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert flat(tokens.library_ids(text, PATH, 64, 8)) == library.encode(text, add_special_tokens=False).ids
+    path = P.path(tokens.CODEC_VOCABULARY)
+    assert flat(tokens.codec_ids(text, path, 20)) == tokens.encoding(path).encode_ordinary(text)
+
+
 def test_overlap_widens_where_nothing_is_stable():
-    text = "x" * 5000 + " " * 3000 + "y z" * 100
+    text = "x" * 5000 + " " * 3000 + "y z" * 100 + "日本" * 400 + "。" + "文" * 300
     assert flat(tokens.spliced(text, PATH, 64, 8)) == tokens.encoding(PATH).encode_ordinary(text)
 
 
