@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import _text
@@ -95,31 +95,37 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are cut into ranges of about bucket_rows rows at ids that occur; a range's
     first rows also go to the range before, so that the texts are shuffled once and
-    no range needs another. Null ids come first; equal ids are ordered by text.
+    no range needs another. Null ids come first; equal ids are ordered by text. Ids
+    are whole numbers; the rows of one id, or without one, are in one range.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, nulls, low = rows.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.min("id")).first()
     buckets = min(max_buckets, -(-n // bucket_rows))
     cuts = np.zeros(0, np.int64)
-    if buckets > 1:
-        found = rows.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)], max(10_000, 10 * buckets))).first()[0] or []
-        cuts = np.unique(np.array([c for c in found if c > low], np.int64))
-    last = len(cuts)
 
-    @F.pandas_udf("int")
-    def bucket(ids):  # the ids alone go to Python
-        return ids.map(lambda x: 0 if x != x else int(np.searchsorted(cuts, int(x), "right"))) if ids.hasnans else ids.__class__(np.searchsorted(cuts, ids.to_numpy(), "right").astype(np.int32))
+    def bucket(cuts: np.ndarray) -> Column:
+        @F.arrow_udf("int")
+        def of(ids: pa.Array) -> pa.Array:  # the ids alone go to Python; a null is below all cuts
+            return pa.array(np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32))
+
+        return of("id")
 
-    @F.pandas_udf("boolean")
-    def is_cut(ids):
-        return ids.isin(cuts)
+    @F.arrow_udf("boolean")
+    def is_cut(ids: pa.Array) -> pa.Array:
+        return pa.array(np.isin(ids.fill_null(-(1 << 63)).to_numpy(), cuts) & ids.is_valid().to_numpy(zero_copy_only=False))
 
+    if buckets > 1:
+        near = rows.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)], max(10_000, 10 * buckets))).first()[0] or []
+        # rounded as doubles: the ranges' first ids that occur are the cuts
+        firsts = rows.where("id is not null").groupBy(bucket(np.unique(np.array(near, np.int64)))).agg(F.min("id").alias("id")).collect()
+        cuts = np.unique(np.array([r.id for r in firsts if r.id > low], np.int64))
+    last = len(cuts)
     b = F.col("bucket")
     first = F.col("id").isNull() if nulls else F.col("id") == low
     before = F.when(first, last).when(F.col("is_cut"), b - 1)
     own = F.struct(b.alias("bucket"), F.lit(False).alias("sentinel"))
     places = F.when(before.isNull(), F.array(own)).otherwise(F.array(own, F.struct(before.alias("bucket"), F.lit(True).alias("sentinel"))))
-    dealt = rows.withColumns({"bucket": bucket("id"), "is_cut": is_cut("id")}).select("id", "text", F.inline(places))
+    dealt = rows.withColumns({"bucket": bucket(cuts), "is_cut": is_cut("id")}).select("id", "text", F.inline(places))
     order = Window.partitionBy("bucket").orderBy("sentinel", F.asc_nulls_first("id"), "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("not sentinel").select("id", "text", "next_text").withColumnRenamed("id", id_col)
 
