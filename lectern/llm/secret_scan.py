@@ -7,9 +7,16 @@ third of all texts hold is still many short lists. A rule's postings are united
 and intersected block by block; the documents that are left are candidates, and
 only on them does the regex run. A rule without a mandatory trigram, such as a
 run of hex digits, is run on every text.
+
+Of a mandatory string only the rarest trigrams are looked up. A text that has no
+posting of any string's rarest trigram cannot be a candidate: it is scanned where
+it is read, and only the other texts are shuffled to their rules.
+Places are summed up in blocks, so that a text's work grows with its length and
+its matches, not with their product.
 """
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -40,6 +47,11 @@ RULES = (
 )
 #: How many strings one place of a regex may stand for before it is taken as anything.
 MOST = 24
+#: So many of a string's trigrams are looked up: those of the rarest characters, which stand last here; others count as rarer.
+TRIGRAMS, COMMON_FIRST = 2, " etaoinshrdlucmwfgypbvk"
+#: Places are summed up, and texts cut, in blocks of so many.
+STEP, PIECE = 256, 4096
+SPANS = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
 
 
 def _strings(items: list) -> set[str] | None:
@@ -69,14 +81,19 @@ def _strings(items: list) -> set[str] | None:
     return found
 
 
+def _rarity(trigram: str) -> tuple[int, str]:
+    """Sorts the trigrams of rare characters last."""
+    return sum(k if (k := COMMON_FIRST.find(c)) >= 0 else len(COMMON_FIRST) for c in trigram), trigram
+
+
 def trigram_query(pattern: str) -> list[list[list[str]]]:
-    """The Boolean query: all of [any of [all of [trigrams]]]. Empty: the regex has no mandatory trigram."""
+    """The Boolean query: all of [any of [all of [trigrams]]], at most TRIGRAMS of a string. Empty: the regex has no mandatory trigram."""
     query, run = [], {""}
 
     def close() -> None:
         nonlocal run
         if all(len(s) >= 3 for s in run):
-            query.append(sorted(sorted({s[i : i + 3] for i in range(len(s) - 2)}) for s in run))
+            query.append(sorted(sorted(sorted({s[i : i + 3] for i in range(len(s) - 2)}, key=_rarity)[-TRIGRAMS:]) for s in run))
         run = {""}
 
     for item in re._parser.parse(pattern):
@@ -129,25 +146,45 @@ def candidates(index: DataFrame, queries: dict[int, list]) -> DataFrame:
     return index.groupBy("block").agg(postings).select(F.inline(hits)).groupBy("id").agg(F.bit_or("bit").alias("rules"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of the bigint values the result over those before it, from 0. Lists are only appended to within blocks."""
+
+    def along(values: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(values, begin, lambda d, x: F.struct(add(d["at"], x).alias("at"), F.array_append(d["out"], d["at"]).alias("out")))["out"]
+
+    def blocked(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda k: F.slice(v, k * STEP + 1, F.lit(STEP)))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, along(F.transform(b, lambda one: F.aggregate(one, F.lit(0).cast("bigint"), add)), F.lit(0).cast("bigint")), along)))
+
+    return F.when(F.size(values) > 0, _let(values, blocked)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
 def _found(text: Column, rule: Rule, order: int) -> Column:
-    """The rule's spans in the text: array<struct<start, kind order, kind, end>>, in code points.
+    """The rule's spans in the text, in code points.
 
     The parts between the matches and the matches themselves are summed up in turn.
     """
+    size = lambda strings: F.transform(strings, lambda x: F.char_length(x).cast("bigint"))
+    add = lambda a, b: a + b
     pattern = F.lit(rule.pattern)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    steps = F.zip_with(F.split(text, rule.pattern, -1), hits, lambda part, hit: F.struct(F.char_length(part).alias("gap"), hit.alias("hit")))
-    start = F.expr("cast(array() as array<struct<start:int,kind_order:int,kind:string,end:int,hit:string>>)")
+    hit, held = size(F.regexp_extract_all(text, pattern, F.lit(0))), size(F.regexp_extract_all(text, pattern, F.lit(rule.group)))
+    gap = size(F.split(text, rule.pattern, -1))
 
-    def step(done: Column, x: Column) -> Column:
-        at = done["at"] + x["gap"]
-        end = at + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(done["out"], F.struct(at.alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"))).alias("out"))
+    def spans(gap: Column, hit: Column) -> Column:
+        steps = F.zip_with(F.slice(gap, F.lit(1), F.size(hit)), hit, add)
+        starts = F.zip_with(F.zip_with(_running(steps, add), F.slice(gap, F.lit(1), F.size(hit)), add), hit, lambda s, n: F.struct(s.alias("s"), n.alias("n")))
+        every = F.zip_with(starts, held if rule.group else hit, lambda x, n: F.struct(x["s"].cast("int").alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), (x["s"] + x["n"]).cast("int").alias("end"), n.alias("held")))
+        kept = F.filter(every, lambda x: x["held"] >= rule.least) if rule.least else every
+        return kept.cast(f"{SPANS[:-2]},held:bigint>>")
 
-    every = F.aggregate(F.filter(steps, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), start.alias("out")), step)["out"]
-    if rule.least:
-        every = F.filter(every, lambda x: F.char_length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least)
-    return F.when(text.rlike(rule.pattern), every).otherwise(start)
+    whole = _let(gap, lambda g: _let(hit, lambda h: spans(g, h)))
+    return F.when(text.rlike(rule.pattern), F.transform(whole, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "kind_order", "kind", "end"))))).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -158,16 +195,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     """
     queries = {n: q for n, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     wanted = sorted({t for q in queries.values() for any_ in q for all_ in any_ for t in all_})
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if queries:
-        chosen = candidates(trigram_index(docs, wanted, id_col, text_col), queries).withColumnRenamed("id", "candidate")
-        rows = rows.join(chosen, F.col("id").eqNullSafe(F.col("candidate")), "left")
-    else:
-        rows = rows.withColumn("rules", F.lit(0))
-    bits = F.coalesce("rules", F.lit(0))
-    none = F.expr("cast(array() as array<struct<start:int,kind_order:int,kind:string,end:int,hit:string>>)")
-    each = [F.when(bits.bitwiseAND(1 << n) != 0, _found(F.col("text"), r, n)).otherwise(none) if n in queries else _found(F.col("text"), r, n) for n, r in enumerate(rules)]
-    return rows.select("row", *(e.alias(f"s{n}") for n, e in enumerate(each))).select("row", F.array_sort(F.concat(*(f"s{n}" for n in range(len(rules))))).alias("found"))
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def scanned(rows: DataFrame, bits: Column | None) -> DataFrame:
+        none = F.expr(f"cast(array() as {SPANS})")
+        one = lambda n, r: _found(text, r, n) if n not in queries else none if bits is None else F.when(bits.bitwiseAND(1 << n) != 0, _found(text, r, n)).otherwise(none)
+        held = rows.select("row", *(one(n, r).alias(f"s{n}") for n, r in enumerate(rules)))
+        return held.select("row", F.array_sort(F.concat(*(f"s{n}" for n in range(len(rules))))).alias("found"))
+
+    if not queries:
+        return scanned(rows, None)
+    # of each rule's shortest clause the rarest trigram of each string: without any of them a text meets no query
+    posted = _posted(F.lower(text), sorted({max(all_, key=_rarity) for q in queries.values() for all_ in min(q, key=len)}))
+    chosen = candidates(trigram_index(docs, wanted, id_col, text_col), queries).withColumnRenamed("id", "candidate")
+    looked_up = rows.where(posted).join(chosen, F.col(f"row.`{id_col}`").eqNullSafe(F.col("candidate")), "left")
+    return scanned(rows.where(~posted), None).unionByName(scanned(looked_up, F.coalesce("rules", F.lit(0))))
+
+
+def _posted(low: Column, trigrams: list[str]) -> Column:
+    """Whether a text has a posting of one of these."""
+    return reduce(Column.__or__, (F.contains(low, F.lit(t)) for t in trigrams))
 
 
 def joined(spans: Column) -> Column:
@@ -185,17 +233,38 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return found.select(F.col(f"row.`{id_col}`").alias(id_col), *map(count, base), F.sha2(joined(F.filter("found", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs, all columns, with each span of its text masked; spans that overlap are masked as one. A null text stays null."""
+def _masked(text: Column, found: Column, mask: str) -> Column:
+    """The text with the spans, in the order of their starts, masked; those that overlap as one.
+
+    The text is cut into pieces once; what stays between two spans is put together
+    from the pieces that it touches.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def step(done: Column, x: Column) -> Column:
-        text = F.concat(done["text"], F.when(x["start"] >= done["at"], F.concat(F.substring(done["of"], done["at"] + 1, x["start"] - done["at"]), F.lit(mask))).otherwise(""))
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), text.alias("text"), done["of"].alias("of"))
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        """Code points a to b, b exclusive."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        head = F.substring(F.get(pieces, first), (a - first * PIECE + 1).cast("int"), (F.least(b, (first.cast("bigint") + 1) * PIECE) - a).cast("int"))
+        rest = F.when(last > first, F.concat(F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.substring(F.get(pieces, last), F.lit(1), (b - last * PIECE).cast("int")))).otherwise("")
+        return F.when(a < b, F.concat(head, rest)).otherwise("")
 
+    ends = F.transform(found, lambda x: x["end"].cast("bigint"))
+    upto = _running(ends, lambda a, b: F.greatest(a, b))
+    # a span that begins before another's end belongs to the same mask
+    heads = F.filter(F.zip_with(found, upto, lambda x, u: F.struct(u.alias("a"), x["start"].cast("bigint").alias("b"))), lambda x: (x["b"] >= x["a"]))
+
+    def put(pieces: Column) -> Column:
+        rest = between(pieces, F.array_max(ends), F.char_length(text).cast("bigint"))
+        return F.concat(F.array_join(F.transform(heads, lambda x: F.concat(between(pieces, x["a"], x["b"]), F.lit(mask))), ""), rest)
+
+    return _let(pieces, put)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
+    """docs, all columns, with each span of its text masked; spans that overlap are masked as one. A null text stays null."""
     found = scan(docs, id_col, text_col, rules)
     text = F.col(f"row.`{text_col}`")
-    masked = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), text.alias("of")), step, lambda d: F.concat(d["text"], F.substring(d["of"], d["at"] + 1, F.char_length(d["of"]))))
-    columns = [F.when(F.size("found") > 0, masked).otherwise(text).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    columns = [F.when(F.size("found") > 0, _masked(text, F.col("found"), mask)).otherwise(text).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return found.select(*columns)
 
 
