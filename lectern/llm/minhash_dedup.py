@@ -14,8 +14,10 @@ Members of a bucket are not all paired. They are first compared with one pivot,
 then, where the bucket still spans several components, with pivots that differ
 from bucket to bucket, and last, block by block, with every member that is in
 another component. There the sets come along, links are confirmed within the
-task, and only what joins the members leaves it. So no link that joins two
-components is missed, and no task emits the pairs of a group.
+task, and only what joins the members leaves it. The longer the sets, the fewer
+members a block has, and sets whose sizes are too far apart to link never meet.
+So no link that joins two components is missed, no task emits the pairs of a
+group, and a task holds two blocks of bounded size, or two texts' sets.
 """
 
 import hashlib
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _text
-from lectern.llm._shared import save
+from lectern.llm._shared import discard, save
 from lectern.llm.graph import components, roots
 
 BANDS, ROWS, BITS = 50, 5, 2
@@ -156,63 +158,80 @@ def _shared(sets_: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def _blocks(rows: DataFrame, least: float, percent: int, block: int) -> DataFrame:
-    """(a, b, sure) of (bucket, n, node, component, signature, set): what joins the members of a bucket across components.
+def _blocks(rows: DataFrame, least: float, percent: int, block: int, short: int) -> DataFrame:
+    """(a, b) of (bucket, n, node, component, signature, n_shingles, set): what joins the members of a bucket across components.
 
-    A bucket of n members is cut into n / block blocks; a task compares two blocks
-    at a time, by estimate and then on the sets. A long text comes without its set;
-    pairs with one are not sure yet.
+    Members are of level 0 with fewer than 2 * short shingles, of level k with
+    short * 2**k to twice as many. A level is cut into blocks of block / 2**k
+    members. A task compares two blocks of one level or of neighbouring ones, by
+    estimate and then on the sets; sets two levels apart differ in size by more
+    than any percentage of 50 or more allows.
     """
-    count = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(3)), count).cast("int")
-    j = F.col("j")
-    units = rows.withColumns({"k": mine, "j": F.explode(F.sequence(F.lit(0), count - 1))}).select("bucket", F.least("k", j).alias("i"), F.greatest("k", j).alias("j"), (F.col("k") > j).alias("second"), "node", "component", "signature", "set")
-    dealt = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.col("n_shingles") / short))).cast("int")
+    leveled = rows.withColumn("level", level)
+    sizes = save(leveled.groupBy("bucket", "level").agg(F.count("*").alias("m")), "levels", ROWS_PER_FILE)
+    many = sizes.select("bucket", "level", F.ceil(F.col("m") / F.greatest(F.lit(1), F.lit(block) / F.pow(F.lit(2.0), F.col("level")))).cast("int").alias("blocks"))
+    above = many.select("bucket", (F.col("level") - 1).alias("level"), F.col("blocks").alias("blocks_above"))
+    below = many.select("bucket", (F.col("level") + 1).alias("level"), F.col("blocks").alias("blocks_below"))
+    counts = many.join(above, ["bucket", "level"], "left").join(below, ["bucket", "level"], "left").select("bucket", "level", "blocks", F.coalesce("blocks_above", F.lit(0)).alias("blocks_above"), F.coalesce("blocks_below", F.lit(0)).alias("blocks_below"))
+    placed = leveled.join(counts, ["bucket", "level"]).withColumn("k", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int"))
+
+    def units(n: str, other_level: int) -> Column:
+        """The units with the n blocks of that level: struct(level and block of the one side, of the other, whether this row is on the other)."""
+        k, lv = F.col("k"), F.col("level")
+        some = F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        if other_level:
+            one = lambda j: F.struct(F.least(lv, lv + other_level).alias("p"), (k if other_level > 0 else j).alias("i"), F.greatest(lv, lv + other_level).alias("q"), (j if other_level > 0 else k).alias("j"), F.lit(other_level < 0).alias("second"))
+        else:
+            one = lambda j: F.struct(lv.alias("p"), F.least(k, j).alias("i"), lv.alias("q"), F.greatest(k, j).alias("j"), (k > j).alias("second"))
+        return F.transform(some, one)
+
+    unit = F.concat(units("blocks", 0), units("blocks_above", 1), units("blocks_below", -1))
+    dealt = placed.select("bucket", F.inline(unit), "node", "component", "signature", "set").repartition("bucket", "p", "i", "q", "j").sortWithinPartitions("bucket", "p", "i", "q", "j")
 
-    def joins(unit: list[tuple]) -> list[tuple[int, int, bool]]:
+    def joins(unit: list[tuple]) -> list[tuple[int, int]]:
         node, part = np.array([u[1] for u in unit]), np.array([u[2] for u in unit])
+        if part.min() == part.max():
+            return []
         s, second = unpack([u[3] for u in unit]), np.array([u[0] for u in unit])
-        sets_ = [None if u[4] is None else np.frombuffer(u[4], np.uint64) for u in unit]
+        sets_ = [np.frombuffer(u[4], np.uint64) for u in unit]
         left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(unit)),) * 2
-        if not len(left) or part[0] == part.min() == part.max():
+        if not len(left):
             return []
+        size = np.array([len(x) for x in sets_])
         near = np.concatenate([estimate(s[left[k : k + 64]][:, None], s[right][None]) >= least for k in range(0, len(left), 64)]) & (part[left][:, None] != part[right][None])
-        long = np.array([x is None for x in sets_])
-        open_ = near & (long[left][:, None] | long[right][None])
-        out = [(int(node[left[p]]), int(node[right[q]]), False) for p, q in np.argwhere(open_) if node[left[p]] != node[right[q]]]
-        near &= ~open_
+        near &= 100 * np.minimum(size[left][:, None], size[right][None]) >= percent * np.maximum(size[left][:, None], size[right][None])
         p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        if len(p):
-            l, r = left[p], right[q]
-            both = _shared(sets_, l, r)
-            size = np.array([0 if x is None else len(x) for x in sets_])
-            linked = near[np.ix_(p, q)] & (100 * both >= percent * (size[l][:, None] + size[r][None] - both))
-            i, k = np.nonzero(linked)
-            label = roots(len(unit), l[i], r[k])
-            out += [(int(node[x]), int(node[label[x]]), True) for x in np.flatnonzero(label != np.arange(len(unit)))]
-        return out
+        if not len(p):
+            return []
+        l, r = left[p], right[q]
+        both = _shared(sets_, l, r)
+        linked = near[np.ix_(p, q)] & (100 * both >= percent * (size[l][:, None] + size[r][None] - both))
+        i, k = np.nonzero(linked)
+        label = roots(len(unit), l[i], r[k])
+        return [(int(node[x]), int(node[label[x]])) for x in np.flatnonzero(label != np.arange(len(unit)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, unit = None, []
 
         def done() -> pa.RecordBatch:
             found = joins(unit)
-            a, b, sure = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                for bucket, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (bucket, i, j) != at:
+                for bucket, p, i, q, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (bucket, p, i, q, j) != at:
                         if len(unit) > 1:
                             yield done()
-                        at, unit = (bucket, i, j), []
+                        at, unit = (bucket, p, i, q, j), []
                     unit.append(tuple(rest))
         if len(unit) > 1:
             yield done()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,45 +246,53 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return save(rows.join(save(one, "open", ROWS_PER_FILE), "bucket"), "members", NODES_PER_FILE)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, margin: float = 0.2, block: int = 512, star_rounds: int = 1, long: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, margin: float = 0.2, block: int = 512, star_rounds: int = 1, short: int = 2048) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs; see the module for the method.
 
     Texts without words (null, empty, blank) have 0 shingles and link with nothing.
     Rows that share an id are each placed by their own text. A row with a null id
     is its own component, null, and is kept. An empty table gives an empty one.
-    A text of more than `long` shingles is confirmed pair by pair, not in blocks.
+    percent is at least 50. A block has `block` sets of at most 2 * short shingles,
+    and fewer longer ones.
     """
+    if percent < 50:
+        raise ValueError("the percentage must be 50 or more")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = save(features(rows), "features")
     unique = save(found.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node")), "unique", ROWS_PER_FILE)
-    nodes = save(found.join(unique.withColumnRenamed("node", "id"), ["digest", "id"]).select(F.col("id").alias("node"), "digest", "signature", "bands").dropDuplicates(["node", "digest"]), "nodes", NODES_PER_FILE)
+    nodes = save(found.join(unique.withColumnRenamed("node", "id"), ["digest", "id"]).select(F.col("id").alias("node"), "digest", "n_shingles", "signature", "bands").dropDuplicates(["node", "digest"]), "nodes", NODES_PER_FILE)
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = save(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot < high").select("bucket", "pivot"), "shared", ROWS_PER_FILE)
     buckets = save(banded.join(shared, "bucket").distinct(), "buckets", ROWS_PER_FILE)
     full = save(sets(rows.join(buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi")).where(F.octet_length("set") > 0), "sets", SETS_PER_FILE)
-    least = percent / 100 - margin
+    used, least = [nodes, shared, buckets, full], percent / 100 - margin
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(save(df, name, ROWS_PER_FILE))
+        return used[-1]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return confirmed(save(pairs, "pairs", ROWS_PER_FILE), full, percent)
+        return confirmed(kept(pairs, "pairs"), full, percent)
 
-    links = save(linked(likely(buckets.where("node <> pivot").select("node", "pivot").distinct(), nodes, least)), "links", ROWS_PER_FILE)
+    links = kept(linked(likely(buckets.where("node <> pivot").select("node", "pivot").distinct(), nodes, least)), "links")
     labels = save(components(links), "labels", ROWS_PER_FILE)
     members = buckets.select("bucket", "node")
     for k in range(star_rounds + 1):
         of = _open(members, labels)
+        used.append(of)
         if of.isEmpty():
             break
         if k < star_rounds:
             more = linked(likely(of.where(F.col("component") != F.col("pivot_component")).select("node", "pivot").distinct(), nodes, least))
         else:
-            carried = full.where(F.octet_length("set") <= 8 * long).withColumnRenamed("id", "node")
-            sided = of.join(nodes.select("node", "signature"), "node").join(carried, "node", "left").select("bucket", "n", "node", "component", "signature", "set")
-            held = save(_blocks(sided, least, percent, block), "joins", ROWS_PER_FILE)
-            more = held.where("sure").select("a", "b").unionByName(linked(held.where("not sure").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("pivot")).distinct()))
-        more = save(more, "links", ROWS_PER_FILE)
+            sided = of.join(nodes.select("node", "signature", "n_shingles"), "node").join(full.withColumnRenamed("id", "node"), "node").select("bucket", "n", "node", "component", "signature", "n_shingles", "set")
+            more = _blocks(sided, least, percent, block, short)
+        more = kept(more, "links")
         if not more.isEmpty():
             links = links.unionByName(more)
+            used.append(labels)
             labels = save(components(links), "labels", ROWS_PER_FILE)
+    discard(*used)
     placed = found.select("id", "n_shingles", "digest").join(unique, "digest", "left").join(labels, "node", "left")
     component: Column = F.coalesce("component", "node", "id")
     return placed.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
