@@ -1,105 +1,149 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
 Vectors are scaled to length 1, where cosine >= c means a distance of at most
-sqrt(2 - 2c). Equal vectors are one point with a count. A tree of nested levels
-with halving radii is fitted on a bounded sample; each point goes to the leaf
-that it descends to, and the leaves' true covering radii are then measured over
-all points. The tree is traversed against itself: a pair of nodes whose centres
-lie further apart than both radii and the distance is cut off. Each pair of
-leaves that is left is compared in blocks of bounded size, where each block
-again has a tree of its own. The result is exact whatever the sample; the sample
-only decides how much is cut off.
+sqrt(2 - 2c). Equal vectors are one point with a count. A cover tree has nested
+levels with halving radii: a level's centres lie further apart than its radius,
+cover their points within it, and are centres of all finer levels too. Two trees
+are traversed level by level: a pair of nodes whose centres lie further apart
+than both covering radii and the distance is cut off; of the rest the children
+are paired, in the end the points.
+
+A tree is first fitted on a bounded sample; its finest level of few enough
+centres cuts the space into leaves, whose true covering radii are measured over
+all points, and the traversal tells which pairs of leaves may hold links. Leaves
+are cut into blocks of bounded size, each block gets a tree of all its points,
+and tasks traverse the trees of two blocks at a time. The result is exact
+whatever the sample; the sample only decides how much is cut off between blocks.
 """
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import save
+from lectern.llm._shared import discard, save
 from lectern.llm.graph import components, roots
 
-#: Added to distances, for rounding.
-SLACK = 1e-9
+#: Added to distances, for the rounding of 2 - 2 cos.
+SLACK = 1e-6
+#: So many rows are multiplied at a time.
+TILE = 1024
 
 
 @dataclass
-class Node:
-    centre: np.ndarray
-    radius: float
-    rows: np.ndarray
-    children: list["Node"] = field(default_factory=list)
-    leaf: int = -1
-
-
-def _far(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x - centre) ** 2).sum(axis=1), 0))
-
+class Tree:
+    """x: points of length 1; centres: each point's centre at each level, as a row of x, row 0 at the first; radii: of the nodes whose centre a point is, by level."""
+
+    x: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+
+    def children(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level (children in the order of their parents, where each parent's begin); the last level's children are the points."""
+        out, n = [], len(self.x)
+        for k in range(self.centres.shape[1]):
+            below = np.unique(self.centres[:, k + 1]) if k + 1 < self.centres.shape[1] else np.arange(n)
+            parent = self.centres[below, k]
+            order = np.argsort(parent, kind="stable")
+            out.append((below[order], np.searchsorted(parent[order], np.arange(n + 1))))
+        return out
+
+
+def _distance(dots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * dots, 0))
+
+
+def _extended(x: np.ndarray, net: list[int], radius: float) -> list[int]:
+    """The net with each row of x in turn that lies further than the radius from all of it."""
+    net = list(net)
+    for at in range(0, len(x), TILE):
+        part = x[at : at + TILE]
+        open_ = np.flatnonzero(np.concatenate([_distance(part @ x[net[k : k + TILE]].T).min(axis=1)[None] for k in range(0, len(net), TILE)]).min(axis=0) > radius)
+        while len(open_):
+            new, open_ = open_[0], open_[1:]
+            net.append(at + int(new))
+            open_ = open_[_distance(part[open_] @ part[new]) > radius]
+    return net
+
+
+def _nearest(x: np.ndarray, of: np.ndarray, net: np.ndarray) -> np.ndarray:
+    """For each row of `of` the row of the net that is nearest to it."""
+    out = np.empty(len(of), np.int64)
+    for at in range(0, len(of), TILE):
+        out[at : at + TILE] = net[(x[of[at : at + TILE]] @ x[net].T).argmax(axis=1)]
+    return out
 
-def tree(x: np.ndarray, rows: np.ndarray | None = None, few: int = 64, most_children: int = 32) -> Node:
-    """A cover tree: a node's children are a net of half its radius, each holding the rows nearest to it.
 
-    A node of few rows, or whose net would have too many children to be of use, is a leaf.
+def tree(x: np.ndarray, low: float) -> Tree:
+    """The cover tree of points of length 1: radii 2, 1, 1/2, ... down to below `low`. Covering radii are measured."""
+    nets, radius = [[0]], 2.0
+    while radius > low and len(nets[-1]) < len(x):
+        radius /= 2
+        nets.append(_extended(x, nets[-1], radius))
+    rows = np.arange(len(x))
+    centres = np.zeros((len(x), len(nets)), np.int64)
+    parents = rows
+    for k in range(len(nets) - 1, -1, -1):
+        net = np.array(nets[k])
+        up = np.arange(len(x))
+        below = rows if k == len(nets) - 1 else np.array(nets[k + 1])
+        up[below] = _nearest(x, below, net)
+        up[net] = net
+        parents = up[parents]
+        centres[:, k] = parents
+    radii = np.zeros(centres.shape)
+    for k in range(len(nets)):
+        np.maximum.at(radii[:, k], centres[:, k], _distance((x * x[centres[:, k]]).sum(axis=1)))
+    return Tree(x, centres, radii)
+
+
+def close(a: Tree, b: Tree | None, cosine: float, levels: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows of a and b (without b: of a, i < j) of that cosine or more, and how many cosines were taken, by dual traversal.
+
+    With levels, the pairs of nodes at the level of that number that may hold such rows; without b, a node's pair with itself as well.
     """
-    rows = np.arange(len(x)) if rows is None else rows
-    centre = x[rows[0]]
-    far = _far(x[rows], centre)
-    node = Node(centre, float(far.max()), rows)
-    if len(rows) <= few or node.radius <= SLACK:
-        return node
-    net, nearest, which = [0], far.copy(), np.zeros(len(rows), int)
-    while nearest.max() > node.radius / 2 and len(net) <= most_children:
-        k = int(nearest.argmax())
-        net.append(k)
-        to = _far(x[rows], x[rows[k]])
-        closer = to < nearest
-        nearest[closer], which[closer] = to[closer], len(net) - 1
-    if len(net) <= most_children:
-        for k, c in enumerate(net):
-            mine = rows[which == k]
-            mine = np.concatenate([[rows[c]], mine[mine != rows[c]]])
-            node.children.append(tree(x, mine, few, most_children))
-    return node
-
-
-def leaf_pairs(a: Node, b: Node, reach: float, same: bool = False) -> Iterator[tuple[Node, Node]]:
-    """The pairs of leaves below a and b (with same, below a alone, each once) that may hold points within reach. By stack, not recursion."""
-    stack = [(a, b, same)]
-    while stack:
-        a, b, same = stack.pop()
-        if not same and np.sqrt(((a.centre - b.centre) ** 2).sum()) > a.radius + b.radius + reach + SLACK:
-            continue
-        if not a.children and not b.children:
-            yield a, b
-        elif same:
-            stack += [(p, q, p is q) for i, p in enumerate(a.children) for q in a.children[i:]]
-        elif a.children and (a.radius >= b.radius or not b.children):
-            stack += [(p, b, False) for p in a.children]
-        else:
-            stack += [(a, q, False) for q in b.children]
-
-
-def close_pairs(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x and y (without y: of x, i < j) with that cosine or more, by dual traversal of their trees."""
-    reach, same = float(np.sqrt(max(0.0, 2 - 2 * cosine))), y is None
-    a = tree(x)
-    b = a if same else tree(y)
-    other = x if same else y
-    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-    for p, q in leaf_pairs(a, b, reach, same):
-        i, j = np.nonzero(x[p.rows] @ other[q.rows].T >= cosine)
-        i, j = p.rows[i], q.rows[j]
-        if same and p is q:
-            i, j = i[i < j], j[i < j]
-        elif same:
-            i, j = np.minimum(i, j), np.maximum(i, j)
-        left.append(i)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+    same, b = b is None, b or a
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
+    depth = max(a.centres.shape[1], b.centres.shape[1]) if levels is None else levels
+    kids = [t.children() for t in ((a,) if same else (a, b))]
+    p = q = np.zeros(1, np.int64)
+    tested = 0
+    for k in range(depth):
+        last = levels is None and k + 1 == depth
+        sides = []
+        for t, c in zip((a, b), (kids[0], kids[-1]), strict=True):  # a shallower tree's points stay as they are
+            own = t.centres.shape[1]
+            sides.append((*(c[k] if k < own else (np.arange(len(t.x)), np.arange(len(t.x) + 1))), t.radii[:, k + 1] if k + 1 < own else np.zeros(len(t.x))))
+        (mine_all, mine_at, mine_radius), (their_all, their_at, their_radius) = sides
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        firsts = np.flatnonzero(np.diff(p, prepend=-1, append=-1))
+        found_p, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, end in zip(firsts[:-1], firsts[1:], strict=True):
+            u, vs = p[first], q[first:end]
+            mine = mine_all[mine_at[u] : mine_at[u + 1]]
+            theirs = np.concatenate([their_all[their_at[v] : their_at[v + 1]] for v in vs])
+            own = np.repeat(vs == u, their_at[vs + 1] - their_at[vs]) if same else None
+            for x in range(0, len(mine), TILE):
+                m = mine[x : x + TILE]
+                for y in range(0, len(theirs), 4 * TILE):
+                    t = theirs[y : y + 4 * TILE]
+                    dots = a.x[m] @ b.x[t].T
+                    tested += dots.size
+                    ok = dots >= cosine if last else _distance(dots) <= mine_radius[m][:, None] + their_radius[t][None] + reach
+                    if same:
+                        ok &= ~(own[y : y + 4 * TILE][None] & (m[:, None] >= t[None] if last else m[:, None] > t[None]))
+                    i, j = np.nonzero(ok)
+                    found_p.append(m[i])
+                    found_q.append(t[j])
+        p, q = np.concatenate(found_p), np.concatenate(found_q)
+    if same and levels is None:
+        p, q = np.minimum(p, q), np.maximum(p, q)
+    return p, q, tested
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -133,7 +177,7 @@ def _matrix(vectors: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, sample: int = 4096, max_leaves: int = 512, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, sample: int = 4096, max_leaves: int = 512, block: int = 8192, block_bytes: int = 16 << 20) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of vectors.
 
     n_links counts the other rows linked directly, copies included. Vectors that
@@ -143,92 +187,97 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     gives an empty one.
 
     The driver gets a sample of bounded size and one figure for each of at most
-    max_leaves leaves. A leaf of many points is cut into blocks by hash; a task
-    holds two blocks.
+    max_leaves leaves. A leaf of many points is cut into blocks by hash, of about
+    `block` points or block_bytes; a task holds two blocks and their trees.
     """
     spark = vectors.sparkSession
     rows = save(unit_vectors(vectors, id_col, vector_col), "unit")
-    unique = save(rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "unique")
+    unique = save(rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "unique", 1 << 18)
     first = rows.select(F.col("id").alias("node"), "digest", "vector").join(unique, ["digest", "node"]).dropDuplicates(["digest"]).select("digest", "node", "copies", "vector")
-    points = save(first, "points")
+    points = save(first, "points", 1 << 15)
     chosen = [r.vector for r in points.select("digest", "vector").orderBy("digest").limit(sample).collect()]
     width = (points.agg(F.max(F.octet_length("vector"))).first()[0] or 0) // 8
-    fitted = tree(_matrix(chosen, width), few=max(1, sample // max_leaves)) if chosen else None
-    leaves: list[Node] = []
-    stack = [fitted] if fitted else []
-    while stack:  # at most sample / few leaves are split; the rest of the net's nodes stay whole
-        node = stack.pop(0)
-        if node.children and len(leaves) + len(stack) + len(node.children) <= max_leaves:
-            stack += node.children
-        else:
-            node.children, node.leaf = [], len(leaves)
-            leaves.append(node)
-    centres = spark.sparkContext.broadcast(np.array([x.centre for x in leaves]).reshape(len(leaves), width))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    low = max(reach / 8, 1e-3)  # finer levels would cut off next to nothing
+    block = max(64, min(block, block_bytes // (8 * max(width, 1))))
+    fitted = tree(_matrix(chosen, width), low) if chosen else Tree(np.zeros((1, width)), np.zeros((1, 1), np.int64), np.zeros((1, 1)))
+    level = max(k for k in range(fitted.centres.shape[1]) if len(np.unique(fitted.centres[:, k])) <= max_leaves)
+    leaves = np.unique(fitted.centres[:, level])
+    centres = spark.sparkContext.broadcast(fitted.x[leaves])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centres.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = _matrix(part.column(3).to_pylist(), width)
-                dots = x @ c.T
-                leaf = dots.argmax(axis=1)
-                far = _far(x, c[leaf])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf.astype(np.int32)), pa.array(far)], [*part.schema.names, "leaf", "far"])
+            for at in range(0, batch.num_rows, TILE):
+                part = batch.slice(at, TILE)
+                dots = _matrix(part.column(3).to_pylist(), width) @ c.T
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(dots.argmax(axis=1).astype(np.int32)), pa.array(_distance(dots.max(axis=1)))], [*part.schema.names, "leaf", "far"])
 
     held = save(points.mapInArrow(assign, "digest binary, node bigint, copies bigint, vector binary, leaf int, far double"), "leaves")
     sizes = {r.leaf: (r.far, r.n) for r in held.groupBy("leaf").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
-
-    def measure(node: Node) -> float:
-        """The true radius: of a leaf over all its points, else from the children's."""
-        node.radius = max((_far(k.centre[None], node.centre)[0] + measure(k) for k in node.children), default=sizes.get(node.leaf, (0.0, 0))[0])
-        return node.radius
-
-    reach, pairs = float(np.sqrt(max(0.0, 2 - 2 * cosine))), []
-    if fitted:
-        measure(fitted)
-        pairs = [tuple(sorted((p.leaf, q.leaf))) for p, q in leaf_pairs(fitted, fitted, reach, True) if p.leaf in sizes and q.leaf in sizes]
+    radii = np.zeros(fitted.radii.shape)  # over all points: of a leaf as measured, above from the children's
+    radii[leaves, level] = [sizes.get(k, (0.0, 0))[0] for k in range(len(leaves))]
+    for k in range(level - 1, -1, -1):
+        below = np.unique(fitted.centres[:, k + 1])
+        up = fitted.centres[below, k]
+        np.maximum.at(radii[:, k], up, _distance((fitted.x[below] * fitted.x[up]).sum(axis=1)) + SLACK + radii[below, k + 1])
+    p, q, _ = close(Tree(fitted.x, fitted.centres, radii), None, cosine, level)
+    number = {int(c): k for k, c in enumerate(leaves)}
+    pairs = sorted({tuple(sorted((number[int(x)], number[int(y)]))) for x, y in zip(p, q, strict=True)})
     blocks = {k: -(-n // block) for k, (_, n) in sizes.items()}
+    counts = spark.createDataFrame(list(blocks.items()), "leaf int, blocks int")  # at most max_leaves rows
+    cut = held.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")).select("leaf", "block", "node", "copies", "vector").repartition("leaf", "block").sortWithinPartitions("leaf", "block")
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's points with the tree's levels."""
+        for key, block in _groups(batches, 2):
+            t = tree(_matrix(block.column(4).to_pylist(), width), low)
+            for at in range(0, block.num_rows, TILE):
+                part = block.slice(at, TILE)
+                lists = [pa.array(list(x[at : at + TILE]), pa.list_(kind)) for x, kind in ((t.centres.astype(np.int32), pa.int32()), (t.radii, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.arange(at, at + part.num_rows, dtype=np.int32)), *lists], [*part.schema.names, "pos", "centres", "radii"])
+
+    trees = save(cut.mapInArrow(grown, "leaf int, block int, node bigint, copies bigint, vector binary, pos int, centres array<int>, radii array<double>"), "trees")
     # at most max_leaves ** 2 / 2 pairs; their blocks are made by Spark
-    near = spark.createDataFrame([(p, q, blocks[p], blocks[q]) for p, q in pairs], "p int, q int, np int, nq int")
+    near = spark.createDataFrame([(x, y, blocks[x], blocks[y]) for x, y in pairs if x in blocks and y in blocks], "p int, q int, np int, nq int")
     near = near.select("p", "q", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("i"), "nq").select("p", "q", "i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j")).where("p <> q or i <= j")
     sides = near.withColumn("unit", F.struct("p", "i", "q", "j")).select("unit", F.inline(F.array(F.struct(F.col("p").alias("leaf"), F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("leaf"), F.col("j").alias("block"), F.lit(1).alias("side"))))).where("side = 0 or unit.p <> unit.q or unit.i <> unit.j")
-    counts = spark.createDataFrame(list(blocks.items()), "leaf int, blocks int")  # at most max_leaves rows
-    cut = held.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")).select("leaf", "block", "node", "copies", "vector")
-    dealt = cut.join(sides, ["leaf", "block"]).select("unit", "side", "node", "copies", "vector").repartition("unit").sortWithinPartitions("unit", "side")
-
-    def compare(unit: list[tuple]) -> pa.RecordBatch:
-        side, node, copies = (np.array([u[k] for u in unit]) for k in range(3))
-        x, split = _matrix([u[3] for u in unit], width), int((side == 0).sum())
-        if split == len(unit):
-            i, j = close_pairs(x, None, cosine)
-        elif split:
-            i, j = close_pairs(x[:split], x[split:], cosine)
-            j = j + split
-        else:
-            i = j = np.zeros(0, int)
-        links = np.bincount(i, copies[j], len(unit)) + np.bincount(j, copies[i], len(unit))
-        root = node[roots(len(unit), i, j)]
-        linked = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(links[linked].astype(np.int64)), pa.array(root[linked])], ["node", "links", "root"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, unit = None, []
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key, *rest in zip(map(str, keys), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if key != at:
-                    if unit:
-                        yield compare(unit)
-                    at, unit = key, []
-                unit.append(tuple(rest))
-        if unit:
-            yield compare(unit)
-
-    found = save(dealt.select(F.concat_ws(":", "unit.p", "unit.i", "unit.q", "unit.j").alias("unit"), "side", "node", "copies", "vector").mapInArrow(run, "node bigint, links bigint, root bigint"), "links")
+    dealt = trees.join(sides, ["leaf", "block"]).select(F.concat_ws(":", "unit.p", "unit.i", "unit.q", "unit.j").alias("unit"), "side", "node", "copies", "vector", "centres", "radii", "pos").repartition("unit").sortWithinPartitions("unit", "side", "pos")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, unit in _groups(batches, 1):
+            side, node, copies = (unit.column(k).to_numpy() for k in (1, 2, 3))
+            split = int((side == 0).sum())
+            t = [Tree(_matrix(part.column(4).to_pylist(), width), *(np.array(part.column(k).to_pylist()) for k in (5, 6))) for part in (unit.slice(0, split), unit.slice(split)) if part.num_rows]
+            i, j, _ = close(t[0], t[1] if len(t) > 1 else None, cosine)
+            j = j + split if len(t) > 1 else j
+            links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+            root, linked = node[roots(len(node), i, j)], links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(links[linked].astype(np.int64)), pa.array(root[linked])], ["node", "links", "root"])
+
+    found = save(dealt.mapInArrow(compared, "node bigint, links bigint, root bigint"), "links", 1 << 20)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    placed = save(unique.join(links, "node", "left").join(labels, "node", "left").select("digest", "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "placed")
+    placed = save(unique.join(links, "node", "left").join(labels, "node", "left").select("digest", "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "placed", 1 << 18)
+    discard(unique, points, held, trees, found)
     out = rows.select("id", "digest").join(placed, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) of runs of equal first columns in sorted batches; one run is held at a time."""
+    at, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = list(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True))
+        starts = [0, *(k for k in range(1, len(values)) if values[k] != values[k - 1])]
+        for first, end in zip(starts, [*starts[1:], len(values)], strict=True):
+            if values[first] != at:
+                if held:
+                    yield at, pa.concat_batches(held)
+                at, held = values[first], []
+            held.append(batch.slice(first, end - first))
+    if held:
+        yield at, pa.concat_batches(held)

@@ -54,7 +54,7 @@ def test_minhash_against_brute_force(spark, texts):
     links = [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = joined(len(texts), links)
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, component string")
-    for kw in ({}, {"block": 8, "star_rounds": 0}, {"star_rounds": 1}):
+    for kw in ({}, {"block": 8, "star_rounds": 0}, {"block": 8, "star_rounds": 0, "short": 8}):
         got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs, **kw).collect()}
         assert [got[k].component_id for k in range(len(texts))] == want, kw
     assert [got[k].n_shingles for k in range(len(texts))] == [len(s) for s in sets]
@@ -64,6 +64,35 @@ def test_minhash_against_brute_force(spark, texts):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(set(want))
 
 
+def test_minhash_clusters_of_long_texts(spark, monkeypatch):
+    """Long texts that are alike below the threshold, with a few links among them: nothing but what joins them leaves a task."""
+    r = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(3000)]
+    texts = []
+    for c in range(40):
+        own = [*base[:2300], *(f"c{c}x{k}" for k in range(700))]  # 2296 of about 3,700 shingles shared: 0.62
+        texts.append(" ".join(own))
+        if c % 8 == 0:  # near copies, one of them a link to a longer one
+            texts += [" ".join([*own[:-200], *(f"d{c}y{k}" for k in range(200))]), " ".join([*own, *(f"e{c}z{k}" for k in range(600))])]
+    texts = [texts[k] for k in r.permutation(len(texts))]
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want, seen = joined(len(texts), links), []
+    blocks = minhash_dedup._blocks
+
+    def counted(*args):
+        out = blocks(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "_blocks", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kw in ({"star_rounds": 0}, {"star_rounds": 0, "block": 16, "short": 100}, {}):
+        got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(docs, **kw).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+    assert seen and max(seen) <= len(texts)
+
+
 def test_minhash_edges(spark):
     schema = "doc_id long, text string"
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
@@ -129,14 +158,48 @@ def test_embedding_edges(spark):
     assert got == sorted([(None, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)], key=str)
 
 
-def test_tree_cuts_and_loses_nothing():
+def clustered(r, n, centres, width, spread):
+    x = np.concatenate([c + spread * r.normal(size=(n // centres, width)) for c in r.normal(size=(centres, width))])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.1, 10.0])
+def test_cover_tree(spread):
+    """Nested, covering, separated levels of halving radii; the traversal loses nothing, and cuts off most where there is structure."""
     r = np.random.default_rng(2)
-    centres = r.normal(size=(30, 8)) * 3
-    x = np.concatenate([c + 0.05 * r.normal(size=(80, 8)) for c in centres])
+    x = clustered(r, 3000, 40, 16, spread)
+    x = np.concatenate([x, x[:300] + 1e-4 * r.normal(size=(300, 16))])
+    x = x[r.permutation(len(x))] / np.linalg.norm(x, axis=1, keepdims=True)[0] * 1.0
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    i, j = embedding_dedup.close_pairs(x, None, 0.99)
+    t = embedding_dedup.tree(x, 0.05)
+    assert t.centres.shape[1] >= 5 and (t.centres[:, 0] == 0).all()
+    for k in range(t.centres.shape[1]):
+        net = np.unique(t.centres[:, k])
+        assert (t.centres[net, k] == net).all()
+        far = np.linalg.norm(x - x[t.centres[:, k]], axis=1)
+        assert all(abs(far[t.centres[:, k] == c].max() - t.radii[c, k]) < 1e-6 for c in net[:50])
+        gaps = np.sqrt(np.maximum(2 - 2 * x[net] @ x[net].T, 0)) + 9 * np.eye(len(net))
+        assert gaps.min() > 2.0 ** (1 - k) - 1e-6
+        if k:
+            assert set(np.unique(t.centres[:, k - 1])) <= set(net)
+            assert (t.centres[t.centres[:, k], k - 1] == t.centres[:, k - 1]).all()
+    i, j, tested = embedding_dedup.close(t, None, 0.99)
     want = np.argwhere(np.triu(x @ x.T >= 0.99, 1))
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
-    t = embedding_dedup.tree(x)
-    done = sum(len(p.rows) * len(q.rows) for p, q in embedding_dedup.leaf_pairs(t, t, float(np.sqrt(0.02)), True))
-    assert done < len(x) ** 2 / 10
+    a, b = embedding_dedup.tree(x[:1500], 0.05), embedding_dedup.tree(x[1500:2100], 0.3)
+    i, j, _ = embedding_dedup.close(a, b, 0.99)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, np.argwhere(x[:1500] @ x[1500:2100].T >= 0.99).tolist()))
+    if spread < 1:
+        assert tested < len(x) ** 2 / 4
+
+
+def test_embeddings_with_and_without_structure(spark):
+    r = np.random.default_rng(5)
+    for x in (clustered(r, 1200, 30, 12, 0.05), clustered(r, 900, 1, 64, 10.0), np.eye(8)[np.arange(40) % 8]):
+        vectors = [*x.tolist(), *(x[:60] + 1e-3).tolist()]
+        n, label = brute(vectors)
+        rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+        for kw in ({}, {"sample": 200, "max_leaves": 40, "block": 64}):
+            got = {q.vec_id: q for q in embedding_dedup.near_duplicates(rows, **kw).collect()}
+            assert [got[k].n_links for k in range(len(vectors))] == n and sum(n)
+            assert [got[k].component_id for k in range(len(vectors))] == label
