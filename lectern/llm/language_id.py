@@ -19,6 +19,10 @@ from lectern.llm import _text
 
 UNKNOWN = "und"
 GRAM, HASHES = 4, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+#: Slots of a filter for each n-gram in it, at least; a power of two of slots in all.
+SLOTS = 32
+#: Rows of a language that are learned from in any case.
+FEW = 32
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = [*range(97, 123)] * 2
 _LETTERS[128:] = range(128, 256)
@@ -51,20 +55,22 @@ def _slots(grams: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(grams * np.uint32(h)) >> np.uint32(32 - bits) for h in HASHES]
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 20_000, rarest: int = 30_000, bits: int = 20, max_languages: int = 512) -> Model:
-    """Learn from rows with a language, at most about max_docs of them: an even share of each language, those of the smallest id hashes, and all rows of a language that has fewer.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 20_000, rarest: int = 30_000, most_grams: int = 1 << 24) -> Model:
+    """Learn from rows with a language, at most about max_docs of them: an even share of each language, those of the smallest id hashes (about FEW at least), and all rows of a language that has fewer.
 
     A language's filter holds the n-grams that make up 1/rarest of its n-grams or
-    more: at most `rarest` n-grams each, which bounds what reaches the driver.
+    more: at most `rarest` n-grams each. With hundreds of languages the rarest are
+    fewer and the filters shorter, so that at most about most_grams n-grams and as
+    many bits by SLOTS reach the driver, however many languages there are.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    sizes = rows.groupBy("lang").count().orderBy("count", "lang").limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    sizes = rows.groupBy("lang").count().orderBy("count", "lang").collect()
+    rarest = max(1, min(rarest, most_grams // max(1, len(sizes))))
+    bits = (SLOTS * rarest - 1).bit_length()
     if sum(r["count"] for r in sizes) > max_docs:
         below, left = [], max_docs
         for k, r in enumerate(sizes):  # what the smaller ones leave is the larger ones'
-            share = min(r["count"], left // (len(sizes) - k))
+            share = min(r["count"], max(FEW, left // (len(sizes) - k)))
             left -= share
             below.append((r.lang, int((1 << 53) * share / r["count"])))
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below bigint")), "lang").where(F.shiftrightunsigned("h", 11) < F.col("below"))
@@ -94,7 +100,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(row struct of docs, lang_pred, score): one narrow pass over whole texts.
+    """(row struct of docs, lang_pred, score, n_grams): one narrow pass over whole texts.
 
     score is the winner's corrected share of the text's n-grams, 0 to 1. Null texts
     and texts without a letter are `und` with score 0, as is every text if no
@@ -108,25 +114,26 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = sent.value
         slots = m.slots[:, 0].astype(np.uint8 if len(m.languages) <= 8 else np.uint64)[:, None] if m.slots.shape[1] == 1 else m.slots
         for batch in batches:
-            best, share = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            best, share, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for first, last, data, offsets in _text.slices(batch.column(1)):
                 grams, bounds = _grams(data, offsets)
                 a, b, c = _slots(grams, bits)
                 masks = slots[a] & slots[b] & slots[c]
-                n = np.maximum(np.diff(bounds), 1)
+                total[first:last] = np.diff(bounds)
+                n = np.maximum(total[first:last], 1)
                 shares = np.zeros((last - first, len(m.languages)))
                 for k, rate in enumerate(m.rates):
                     hit = (masks[:, k // 64] >> masks.dtype.type(k % 64)) & masks.dtype.type(1)
                     hits = np.diff(np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])[bounds])
                     shares[:, k] = np.clip((hits / n - rate) / (1 - rate), 0, 1)
                 best[first:last], share[first:last] = shares.argmax(1), shares.max(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(m.languages, object)[best], pa.string()), pa.array(share)], ["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(m.languages, object)[best], pa.string()), pa.array(share), pa.array(total)], ["row", "lang_pred", "score", "n_grams"])
 
     given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters")).alias("row"), F.col(text_col).alias("text"))
     if not model.languages:
-        return given.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    out = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select("row", F.when(F.col("row.__letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("row.__letters"), F.col("score")).otherwise(0.0).alias("score"))
+        return given.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_grams"))
+    out = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_grams bigint")
+    return out.select("row", F.when(F.col("row.__letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("row.__letters"), F.col("score")).otherwise(0.0).alias("score"), "n_grams")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -140,11 +147,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.select(F.col("row.id").alias(id_col), "row.held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.05, short: int = 20) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has letters and at least that share of a language's n-grams.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.05) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has letters and enough of a language's n-grams.
 
-    Texts of fewer than `short` characters hold too few n-grams to be judged by the share; letters are enough there.
+    The share of known n-grams must reach min_score with one more counted in: of a
+    long text that is the share, while a few n-grams cannot speak against a text.
     """
     columns = docs.columns
     model = fit(docs.where(~(F.crc32(F.col(id_col).cast("string")) % 4 == 2)), text_col, lang_col, id_col)
-    return predict(docs, model, text_col).where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= min_score) | (F.length(F.col(f"row.`{text_col}`")) < short))).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+    enough = F.col("score") * F.col("n_grams") + 1 >= min_score * F.col("n_grams")
+    return predict(docs, model, text_col).where((F.col("lang_pred") != UNKNOWN) & enough).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))

@@ -1,5 +1,7 @@
 import zlib
+from collections import Counter
 
+import pytest
 from lectern.llm import language_id
 
 
@@ -27,6 +29,31 @@ def test_keep_identified(spark):
     assert len(ids) == docs.count() + 1
 
 
+def test_against_plain_counts(spark):
+    """Exact sets of n-grams instead of filters: the same languages, and shares within the filters' false positives."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+
+    def grams(text):
+        raw = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+        return [g for k in range(len(raw) - 3) if (g := raw[k : k + 4]) != b"    "]
+
+    counts = {}
+    for r in rows:
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    known = {lang: {g for g, n in c.items() if n * 30_000 >= total[lang]} for lang, c in counts.items()}
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    for r in rows:
+        g = grams(r.text)
+        share = {lang: sum(x in known[lang] for x in g) / max(1, len(g)) for lang in known}
+        best = max(share.values())
+        mine = got[r.doc_id]
+        assert mine.lang_pred == "und" or share[mine.lang_pred] >= best - 0.02
+        assert mine.lang_pred == "und" or abs(mine.score - share[mine.lang_pred]) < 0.02
+
+
 def test_nothing_learned(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.identify(empty).count() == 0
@@ -34,13 +61,16 @@ def test_nothing_learned(spark):
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)]
 
 
-def test_many_languages(spark):
-    """More than fit one mask word of 8 or 64 bits."""
+@pytest.mark.parametrize(("languages", "kw"), [(70, {}), (600, {"most_grams": 30_000, "max_docs": 600})])
+def test_many_languages(spark, languages, kw):
+    """More than fit one mask word of 8 or 64 bits, and more than the filters' size without them growing."""
     alphabet = "abcdefghijklmnopqrstuvwxyz"
-    words = [f"{alphabet[i % 26]}{alphabet[i // 26]}" * 4 + alphabet[(7 * i) % 26] * 3 for i in range(70)]
-    rows = [(i * 10 + k, " ".join([w] * 30), f"l{i:02}") for i, w in enumerate(words) for k in range(8)]
+    words = [f"{alphabet[i % 26]}{alphabet[i // 26]}" * 4 + alphabet[(7 * i) % 26] * 3 for i in range(languages)]
+    rows = [(i * 10 + k, " ".join([w] * 30), f"l{i:03}") for i, w in enumerate(words) for k in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = language_id.predict(docs, language_id.fit(docs)).selectExpr("row.lang", "lang_pred").toPandas()
+    model = language_id.fit(docs, **kw)
+    assert len(model.languages) == languages and (not kw or len(model.slots) <= 2 * language_id.SLOTS * 50)
+    got = language_id.predict(docs, model).selectExpr("row.lang", "lang_pred").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.98
 
 
