@@ -1,11 +1,14 @@
-"""License scans: rare words of templates as keys, counts of shared words, local alignment.
+"""License scans: winnowed fingerprints of templates in an inverted index, banded alignment of candidates.
 
 Templates and texts are sequences of lower-cased words (runs of letters, digits
-and underscores). A text that holds all but m of a template's words holds one of
-any m + 1 of them: each template's m + 1 rarest are its keys, and only texts with
-a key of it are looked at. Where a stretch of a text shares enough words with the
-template, the two are aligned, which reports the share of the template's words
-that match and the span in the text. No step loses an alignment of enough words.
+and underscores). A text that holds all but m of a template's n words holds one of
+any m + 1 of them. Winnowing takes the rarest word of each window of n / (m + 1)
+words, which gives at least m + 1 fingerprints; the rarest m + 1 of them are the
+template's postings in the index, and only texts with a posting are looked at.
+Where a stretch of a text shares enough words with a template, the two are
+aligned within a band about the diagonals of the shared fingerprints. The band is
+widened until nothing outside it can score as much. So no step loses an alignment
+of enough words; the best one gives the share of words that match and the span.
 """
 
 import bisect
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import _text
 
-GRAM, WINDOW, BAND = 3, 2, 8
+#: Templates have so many words at least; a band reaches so many places beyond the fingerprints' diagonals at first.
+LEAST_WORDS, BAND = 3, 8
 #: Notices as they stand in files and pages, by SPDX name where there is one; any other set can be given.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -92,31 +96,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _text.span_hashes(data, start, end), start, end, bounds
 
 
-def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The places of the smallest hash of each window, the last of equal ones; of a shorter sequence, of it all."""
-    if not len(grams):
+def winnow(order: np.ndarray, window: int) -> np.ndarray:
+    """The places of the smallest value of each window, the last of equal ones; of a shorter sequence, of it all."""
+    if not len(order):
         return np.zeros(0, np.int64)
-    n = min(window, len(grams))
-    views = np.lib.stride_tricks.sliding_window_view(grams, n)
+    n = min(window, len(order))
+    views = np.lib.stride_tricks.sliding_window_view(order, n)
     return np.unique(np.arange(len(views)) + n - 1 - views[:, ::-1].argmin(axis=1))
 
 
 def known() -> dict[str, str]:
-    """TEMPLATES, HEADERS, a notice of each form for each name of CALLED, and the whole texts of license_texts by their SPDX names; those of fewer than GRAM words and repeated ones are left out."""
+    """TEMPLATES, HEADERS, a notice of each form for each name of CALLED, and the whole texts of license_texts by their SPDX names; those of no more than LEAST_WORDS words and repeated ones are left out."""
     out = TEMPLATES | HEADERS
     size = lambda t: len(re.findall(r"\w+", t))
     seen = {" ".join(re.findall(r"\w+", t.lower())) for t in out.values()}
     for spdx, names in CALLED.items():
         for k, line in enumerate(form.format(name) for name in names for form in FORMS):
             key = " ".join(re.findall(r"\w+", line.lower()))
-            if size(line) > GRAM and key not in seen:
+            if size(line) > LEAST_WORDS and key not in seen:
                 seen.add(key)
                 out[f"{spdx}-notice-{k}"] = line
     return out | {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 class Index:
-    """The templates' words, how many of them a hit needs, and whether a word is a key."""
+    """The templates' words, how many of them a hit needs, and the postings of their fingerprints."""
 
     def __init__(self, templates: dict[str, str], least: float = 0.75) -> None:
         if sum(len(t.encode()) for t in templates.values()) > MOST_TEMPLATE_BYTES:
@@ -125,8 +129,8 @@ class Index:
         for name, text in templates.items():
             raw = np.frombuffer(text.encode(), np.uint8)
             hashes, start, end, _ = words(raw, np.array([0, len(raw)]))
-            if len(hashes) < GRAM:
-                raise ValueError(f"template {name} has fewer than {GRAM} words")
+            if len(hashes) < LEAST_WORDS:
+                raise ValueError(f"template {name} has fewer than {LEAST_WORDS} words")
             if len(hashes) > MOST_TEMPLATE_WORDS:
                 raise ValueError(f"template {name} has more than {MOST_TEMPLATE_WORDS} words")
             self.words.append(hashes)
@@ -138,16 +142,39 @@ class Index:
         self.bags = [(np.searchsorted(self.vocabulary, w), n) for w, n in self.bags]
         self.flat = np.concatenate([w for w, _ in self.bags]), np.concatenate([n for _, n in self.bags]), np.cumsum([0, *(len(w) for w, _ in self.bags[:-1])])
         within = np.bincount(np.concatenate([w for w, _ in self.bags]), minlength=len(self.vocabulary))
-        self.key = np.zeros(len(self.vocabulary), bool)
-        for t, (ids, counts) in enumerate(self.bags):
+        postings, self.seeds = [], []
+        for t, hashes in enumerate(self.words):
+            ids, places = np.unique(np.searchsorted(self.vocabulary, hashes), return_inverse=True)
             names = [spelled[t][int(self.vocabulary[i])] for i in ids]
             order = sorted(range(len(ids)), key=lambda k: (names[k] in COMMON or names[k].isdigit(), within[ids[k]] / len(self.names) > 0.5, -len(names[k]), names[k]))
-            left = len(self.words[t]) - self.need[t] + 1
-            for k in order:
-                if left <= 0:
-                    break
-                self.key[ids[k]] = True
-                left -= counts[k]
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids))
+            spare = self.lengths[t] - int(self.need[t])
+            prints = winnow(rank[places], self.lengths[t] // (spare + 1))
+            word, found = np.unique(places[prints], return_counts=True)
+            by_rank = np.argsort(rank[word])
+            word = word[by_rank][: np.searchsorted(np.cumsum(found[by_rank]), spare + 1) + 1]
+            word.sort()
+            at = [np.flatnonzero(places == w) for w in word]
+            self.seeds.append((ids[word], np.array([x[0] for x in at]), np.array([x[-1] for x in at])))
+            postings += [(int(i), t) for i in ids[word]]
+        self.posted = np.array(sorted(postings), np.int64).reshape(-1, 2)
+        self.posted_at = np.searchsorted(self.posted[:, 0], np.arange(len(self.vocabulary) + 1))
+        self.key = np.diff(self.posted_at) > 0
+
+    def candidates(self, counts: np.ndarray) -> np.ndarray:
+        """The templates with a posting under one of the words counted that share enough words with them."""
+        held = np.flatnonzero((counts > 0) & self.key)
+        some = np.unique(np.concatenate([self.posted[self.posted_at[i] : self.posted_at[i + 1], 1] for i in held])) if len(held) else np.zeros(0, np.int64)
+        n = np.array([self.shared(t, counts) for t in some], np.int64) if len(some) < 64 else self.all_shared(counts)[some]
+        return some[n >= self.need[some]]
+
+    def diagonals(self, t: int, ids: np.ndarray) -> tuple[int, int] | None:
+        """The least and the greatest text place less template place of template t's fingerprints in the text's words."""
+        word, first, last = self.seeds[t]
+        k = np.minimum(np.searchsorted(word, ids), len(word) - 1)
+        at = np.flatnonzero(word[k] == ids)
+        return (int((at - last[k[at]]).min()), int((at - first[k[at]]).max())) if len(at) else None
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's place in the vocabulary, or -1."""
@@ -168,12 +195,13 @@ class Index:
         return int(np.minimum(counts[mine], n).sum())
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int | None = None, band: int = BAND, need: int = 0) -> tuple[int, int, int]:
-    """(matched words, first, last + 1 of them in the text): the best local alignment, of those of `need` matches or more.
+def align(template: np.ndarray, text: np.ndarray, diagonals: tuple[int, int] | None = None, band: int = BAND, need: int = 0) -> tuple[int, int, int, int]:
+    """(matched words, first, last + 1 of them in the text, score): the best local alignment, of those of `need` matches or more.
 
     A match scores 2, a mismatch and a gap -1 each; of equal scores the one of more
-    matches, then of the later start, then of the earlier end. With a diagonal, row i
-    holds the text places i + diagonal - band to i + diagonal + band only.
+    matches, then of the later start, then of the earlier end. With diagonals, row i
+    holds the text places from i plus the least of them to i plus the greatest, and
+    `band` more on both sides.
     """
     n, places = len(text), np.arange(len(text), dtype=np.int64)
     one, match, low = np.int64(1 << 42), np.int64(1 << 21), np.int64((1 << 21) - 1)
@@ -181,22 +209,38 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int | None = None, b
         raise ValueError("too long to align")
     row, best, end = np.zeros(n + 1, np.int64), 0, 0  # a cell is its score, its matches and its first place, from the highest bits on; 0 is nothing
     for i, w in enumerate(template.tolist()):
-        hit = row[:-1] + np.where(text == np.uint64(w), 2 * one + match, -one)
-        hit += np.where((row[:-1] == 0) & (text == np.uint64(w)), places, 0)
-        cell = np.maximum(hit, row[1:] - one)
+        a, b = (0, n) if diagonals is None else (max(0, i + diagonals[0] - band), min(n, i + diagonals[1] + band + 1))
+        if a >= b:
+            continue
+        same, before, at = text[a:b] == np.uint64(w), row[a:b], places[a:b]
+        hit = before + np.where(same, 2 * one + match, -one)
+        hit += np.where((before == 0) & same, at, 0)
+        cell = np.maximum(hit, row[a + 1 : b + 1] - one)
         cell[cell < one] = 0
-        if diagonal is not None:
-            cell[np.abs(places - i - diagonal) > band] = 0
-        cell = np.maximum.accumulate(cell + places * one) - places * one  # gaps in the template
+        cell = np.maximum.accumulate(cell + at * one) - at * one  # gaps in the template
         cell[cell < one] = 0
-        if diagonal is not None:
-            cell[np.abs(places - i - diagonal) > band] = 0
         good = np.where((cell >> np.int64(21)) & low >= need, cell, 0) if need else cell
-        if n and good.max() > best:
-            at = int(good.argmax())
-            best, end = int(good[at]), at + 1
-        row[1:] = cell
-    return ((best >> 21) & int(low), best & int(low), end) if best else (0, -1, -1)
+        if good.max() > best:
+            k = int(good.argmax())
+            best, end = int(good[k]), a + k + 1
+        row[a + 1 : b + 1] = cell
+    return ((best >> 21) & int(low), best & int(low), end, best >> 42) if best else (0, -1, -1, 0)
+
+
+def _aligned(index: Index, t: int, hashes: np.ndarray, ids: np.ndarray) -> tuple[int, int, int, int]:
+    """align() of template t, which takes in a fingerprint of it, within a band that is wide enough.
+
+    What leaves the band has so many gaps, which its score lacks.
+    """
+    template, shared = index.words[t], index.shared(t, index.counts(ids))
+    ends, band = index.diagonals(t, ids), BAND
+    if shared < index.need[t] or ends is None:
+        return 0, -1, -1, 0
+    while True:
+        found = align(template, hashes, ends, band, index.need[t])
+        if found[3] > 2 * shared - band - 1 or band > 2 * shared:
+            return found
+        band *= 4
 
 
 def _places(index: Index, t: int, hashes: np.ndarray, ids: np.ndarray, gaps: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, float]]:
@@ -218,7 +262,7 @@ def _places(index: Index, t: int, hashes: np.ndarray, ids: np.ndarray, gaps: lis
             continue
         low = int(starts[k])
         stop = min(high, low + 2 * reach)
-        n, first, last = align(template, hashes[low:stop], need=need) if index.shared(t, index.counts(ids[low:stop])) >= need else (0, -1, -1)
+        n, first, last, _ = _aligned(index, t, hashes[low:stop], ids[low:stop])
         if not n:
             if stop < high:
                 todo.append((low + reach, high))
@@ -237,8 +281,7 @@ def _hits(index: Index, hashes: np.ndarray, ids: np.ndarray) -> list[tuple[int,
     """
     best: list[tuple[int, int, int, float]] = []  # do not overlap, in the text's order
     counts = index.counts(ids)
-    shared = index.all_shared(counts)
-    todo = [(index.lengths[t] - 2 * int(shared[t]), -2.0, 0, t, None) for t in np.flatnonzero(shared >= index.need).tolist()]
+    todo = [(index.lengths[t] - 2 * index.shared(t, counts), -2.0, 0, t, None) for t in index.candidates(counts).tolist()]
     heapq.heapify(todo)
     while todo:
         *_, t, h = heapq.heappop(todo)

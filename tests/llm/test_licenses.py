@@ -29,24 +29,41 @@ def test_altered_long_and_odd(spark):
 
 
 def test_winnowing_guarantee():
-    """Any shared run of WINDOW + GRAM - 1 words shares a fingerprint."""
+    """Whatever words are missing, as long as enough are left, one of the postings is left."""
     r = np.random.default_rng(0)
-    run = r.integers(0, 1 << 62, licenses.WINDOW + licenses.GRAM - 1).astype(np.uint64)
-    from lectern.llm import _text
-
-    for _ in range(50):
-        both = []
-        for _ in range(2):
-            words = np.concatenate([r.integers(0, 1 << 62, r.integers(0, 9)).astype(np.uint64), run, r.integers(0, 1 << 62, r.integers(0, 9)).astype(np.uint64)])
-            grams = _text.gram_hashes(words, licenses.GRAM)
-            both.append(set(grams[licenses.winnow(grams)].tolist()))
-        assert both[0] & both[1]
+    names = {n: t for n, t in licenses.known().items() if len(t) < 3000}
+    index = licenses.Index(names)
+    for t, words in enumerate(index.words):
+        ids, keep = index.find(words), int(index.need[t])
+        seeds = set(index.seeds[t][0].tolist())
+        assert sum(int(i) in seeds for i in ids) > len(words) - keep  # more places than may be missing
+        for _ in range(5):
+            left = ids[np.sort(r.permutation(len(words))[:keep])]
+            assert t in index.candidates(index.counts(left))
 
 
 def test_align():
     t = np.array([1, 2, 3, 4, 5], np.uint64)
-    assert licenses.align(t, np.array([9, 1, 2, 8, 3, 4, 5, 9], np.uint64), 1) == (5, 1, 7)
-    assert licenses.align(t, np.array([7, 8], np.uint64), 0)[0] == 0
+    assert licenses.align(t, np.array([9, 1, 2, 8, 3, 4, 5, 9], np.uint64), (1, 1)) == (5, 1, 7, 9)
+    assert licenses.align(t, np.array([9, 1, 2, 8, 3, 4, 5, 9], np.uint64), (1, 1), 0) == (2, 1, 3, 4)
+    assert licenses.align(t, np.array([7, 8], np.uint64), (0, 0))[0] == 0
+
+
+def test_the_band_loses_nothing():
+    """Against alignment without a band, over texts with words changed, inserted and dropped, also in long runs."""
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(r.integers(5, 80))
+        names = [f"word{k}" for k in r.permutation(n)]
+        index = licenses.Index({"t": " ".join(names)})
+        words = list(names)
+        for _ in range(int(r.integers(0, n // 4 + 2))):
+            at = int(r.integers(0, len(words)))
+            words[at : at + 1] = [[], ["x"], [words[at], *["y"] * int(r.integers(1, 20))]][int(r.integers(0, 3))]
+        text = " ".join(["a b", *words, "c", *words[: n // 3]])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        hashes = licenses.words(raw, np.array([0, len(raw)]))[0]
+        assert licenses._aligned(index, 0, hashes, index.find(hashes)) == licenses.align(index.words[0], hashes, need=int(index.need[0]))
 
 
 def test_any_text_with_the_share_of_words_is_found(spark):
