@@ -137,9 +137,12 @@ def kth_largest(values: DataFrame, col: str, k: int, bins: int = 4096, few: int
 def threshold(scored: DataFrame, slack: float = 4.0, k: int | None = None) -> float | None:
     """The key of the last row that Gumbel top-k takes.
 
-    Unless given, k is the number of rows whose log weight is at least -slack:
-    those that the target model explains nearly as well as the raw one. The slack
-    keeps the noise, a few units wide, from drawing away texts above 0.
+    A caller who wants a sample of a set size gives k. Without it k is the number
+    of rows whose log weight is at least -slack: those that the target model
+    explains nearly as well as the raw one. The raw model holds the good texts too,
+    so that a short good text may weigh a little less than 0, and Gumbel noise is
+    below -4 in one of 10**23 draws and above 4 in 2 % of them: a slack of 4 keeps
+    the noise from drawing away texts above 0.
     """
     if k is None:
         k = scored.where(F.col("log_weight") >= -slack).count()

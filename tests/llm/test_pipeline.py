@@ -29,7 +29,10 @@ def test_stage_by_stage(spark, sf):
 
     known = stages["language"](spark, good, sf)
     assert known.columns == docs.columns and set(rows(known)) <= set(rows(good))
-    assert all(any(c.isalpha() for c in r.text) for r in known.collect())
+    model = language_id.fit(good.where("crc32(cast(doc_id AS string)) % 4 <> 2"))
+    scored = {r.row.doc_id: r for r in language_id.predict(good, model).collect()}
+    stay = {i for i, r in scored.items() if any(c.isalpha() for c in r.row.text) and r.score * r.n_grams + 1 >= 0.05 * r.n_grams}
+    assert {r.doc_id for r in known.collect()} == stay
 
     one = stages["near-dedup"](spark, known, sf)
     before = sorted(known.collect())

@@ -46,6 +46,29 @@ def test_weights_are_log_ratios_of_the_two_models(spark, rows, labels):
         assert abs(want - weight) < 1e-6
 
 
+def test_models_against_plain_counts(spark):
+    """Both models counted again, gram by gram, over whole texts."""
+    from lectern.llm import _text
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (None, "a b c")], "doc_id long, text string"))
+    labels = quality.good_labels(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    good = {r.doc_id for r in labels.where("target").collect()}
+    raw, target = np.ones(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for r in docs.collect():
+        pieces = [m[0].encode().lower() for m in re.finditer(r"[0-9A-Za-z_\u0080-\U0010ffff]+|[^0-9A-Za-z_\u0080-\U0010ffff\x20\x09-\x0d]+", r.text or "")]
+        hashes = np.array([_text.span_hashes(np.frombuffer(p, np.uint8), np.array([0]), np.array([len(p)]))[0] for p in pieces], np.uint64)
+        for n in quality.ORDERS:
+            for k in range(len(hashes) - n + 1):
+                b = int(_text.gram_hashes(hashes[k : k + n], n)[0]) % quality.BUCKETS
+                raw[b] += 1
+                target[b] += r.doc_id in good
+    raw /= raw.sum()
+    prior = min(quality.BUCKETS, target.sum() / 10)
+    want = np.log((target + prior * raw) / (target.sum() + prior) / raw)
+    got = quality.fit(docs, labels).ratios / quality.UNIT
+    assert np.abs(got - want).max() < 1e-6
+
+
 def test_kth_largest(spark):
     r = np.random.default_rng(0)
     for values in (r.normal(size=500), np.repeat([1.0, 2.0, 3.0], 100), r.choice([1e-300, 1e300, 5.0], 200), np.array([4.0])):
