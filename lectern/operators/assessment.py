@@ -5,8 +5,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.ranks import ranked
 from lectern.operators.retrieval import token_f1
 
+#: Ids are whole numbers; groups are sorted in slices of so many.
+SLICE = 4096
+
 
 def grade(rows: DataFrame, kind: str, answer: str, expected: str, least: float = 0.78) -> DataFrame:
     """is_correct: objective kinds need the same normalised answer, open ones a token F1 of at least the mark. A null answer is wrong."""
@@ -71,63 +75,87 @@ def sm2_replay(reviews: DataFrame, *keys: str) -> DataFrame:
 
 
 def study_topics(sections: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """(topic, minutes, importance): minutes = max(15, round(10 pages x (1 + .75 weak))), x .9, 1 or 1.25 by difficulty; importance 1 + weak + .25 x. Topics without answers are not weak.
+    """sections with (weak, minutes, importance): minutes = max(15, round(10 pages x (1 + .75 weak))), x .9, 1 or 1.25 by difficulty; importance 1 + weak + .25 x. Topics without answers are not weak.
 
-    sections has (topic, pages, difficulty 0 to 2), accuracy (topic, accuracy %).
+    sections has (topic, pages, difficulty 0 to 2, ...), accuracy (topic, accuracy %); topics meet whatever their case.
     """
     x = F.element_at(F.array(F.lit(0.9), F.lit(1.0), F.lit(1.25)), F.col("difficulty") + 1)
     weak = 1 - F.coalesce("accuracy", F.lit(100.0)) / 100
     joined = sections.join(accuracy.select(F.lower("topic").alias("t"), "accuracy"), F.lower("topic") == F.col("t"), "left")
-    return joined.select("topic", F.greatest(F.lit(15), F.bround(10 * F.col("pages") * x * (1 + 0.75 * weak)).cast("long")).alias("minutes"), F.round(1 + weak + 0.25 * x, 6).alias("importance"))
+    return joined.select(*sections.columns, F.round(weak, 6).alias("weak"), F.greatest(F.lit(15), F.bround(10 * F.col("pages") * x * (1 + 0.75 * weak)).cast("long")).alias("minutes"), F.round(1 + weak + 0.25 * x, 6).alias("importance"))
 
 
-def type_quotas(total: int, kinds: list[str], spark) -> DataFrame:
-    """(kind, quota): total shared evenly, the first kinds get what is left over."""
-    n = len(kinds)
-    return spark.range(n).select(F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") + 1).cast("int")).alias("kind"), (F.lit(total // n) + (F.col("id") < total % n).cast("int")).cast("long").alias("quota"))
+def type_quotas(rows: DataFrame, kind: str) -> DataFrame:
+    """(kind, quota): the number of rows shared evenly among all kinds, the first ones get what is left over."""
+    total = rows.agg(F.count("*").alias("total"))
+    kinds = ranked(rows.select(F.col(kind).alias("kind")).distinct().withColumn("__all", F.lit(0)), ["__all"], F.substring("kind", 1, 2), [F.col("kind")], "i", "n")
+    return kinds.crossJoin(F.broadcast(total)).select("kind", (F.expr("total div n") + (F.col("i") <= F.col("total") % F.col("n")).cast("int")).cast("long").alias("quota"))  # total is one row
 
 
 def balance(rows: DataFrame, group: str, flag: str, id_col: str) -> DataFrame:
     """Of each group's true and false rows the larger class is cut to 7 // 3 of the other, so that neither share exceeds 70 %."""
     n = lambda v: F.count_if(F.col(flag) == v)
     counts = rows.groupBy(group).agg(n(True).alias("t"), n(False).alias("f"))
-    rank = F.row_number().over(Window.partitionBy(group, flag).orderBy(id_col))
+    placed = ranked(rows, [group, flag], F.floor(F.col(id_col) / SLICE), [F.col(id_col)], "r")
     most = F.when(F.col(flag), F.expr("7 * f div 3")).otherwise(F.expr("7 * t div 3"))
-    return rows.withColumn("r", rank).join(counts, group).where(F.col("r") <= most).drop("r", "t", "f")
+    return placed.join(counts, group).where(F.col("r") <= most).drop("r", "t", "f")
 
 
 def exam_paper(questions: DataFrame, section: str, id_col: str, options: Column, marks: Column) -> DataFrame:
     """(section, number, id, option_letter, option, marks, section_marks)."""
-    w = Window.partitionBy(section)
-    q = questions.select(section, id_col, options.alias("o"), marks.alias("marks")).withColumns({"number": F.row_number().over(w.orderBy(id_col)).cast("long"), "section_marks": F.sum("marks").over(w)})
+    q = questions.select(section, id_col, options.alias("o"), marks.alias("marks"))
+    q = ranked(q, [section], F.floor(F.col(id_col) / SLICE), [F.col(id_col)], "number").join(q.groupBy(section).agg(F.sum("marks").alias("section_marks")), section)
     rows = q.select(section, "number", id_col, "marks", "section_marks", F.posexplode("o").alias("p", "option"))
     return rows.select(section, "number", id_col, F.char(F.col("p") + 65).alias("option_letter"), "option", "marks", "section_marks")
 
 
-def study_plan(topics: DataFrame, key: str, days: int, daily_minutes: int, revisions: tuple[int, ...] = (1, 3, 7)) -> DataFrame:
-    """(key, day, topic, activity, minutes): topics by importance fill the days in turn; each is revised some days later if there is room; the last two days only revise.
+def study_plan(topics: DataFrame, key: str, days: int, daily_minutes: int) -> DataFrame:
+    """(key, day, seq, topic, activity, minutes) of (key, topic, weak, importance, minutes).
+
+    Topics go by weakness, importance and title. Those for which there is still time
+    before the last two days are taken, the others have a row `omitted` without a
+    day. Study fills day after day up to the daily minutes less those kept for
+    revision (15, if 45 or more are given); a topic's first day ends in a quiz of up
+    to 10 minutes. One, three and seven days on, 15 minutes of revision follow where
+    they fit. A last or next to last day with nothing to revise gets the weakest topic.
 
-    The order matters, so one learner's plan is made by one task; its rows are that learner's topics.
+    The order matters, so one learner's plan is made by one task; its rows are that
+    learner's topics.
     """
+    kind = topics.schema[key].dataType.simpleString()
+    a_revision, per_day = min(15, daily_minutes), daily_minutes - min(15, max(0, daily_minutes - 30))
+    last_study = days - 2 if days > 1 else 0
 
     def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        room, out, day = [daily_minutes] * days, [], 0
-        last = max(1, days - 2)
-        for r in frame.sort_values(["importance", "topic"], ascending=[False, True]).itertuples():
-            if r.minutes > sum(room[:last]):
-                continue
-            left, ended = int(r.minutes), day
-            while left and day < last:
-                n = min(left, room[day])
-                if n:
-                    out.append((day, r.topic, "study", n))
-                    room[day] -= n
-                    left, ended = left - n, day
-                day += room[day] == 0
-            for gap in revisions:
-                if ended + gap < days and room[ended + gap] >= 10:
-                    out.append((ended + gap, r.topic, "revision", 10))
-                    room[ended + gap] -= 10
-        return pd.DataFrame([(frame[key].iloc[0], *x) for x in sorted(out)], columns=[key, "day", "topic", "activity", "minutes"])
-
-    return topics.groupBy(key).applyInPandas(plan, f"{key} {topics.schema[key].dataType.simpleString()}, day int, topic string, activity string, minutes int")
+        todo = sorted(frame.itertuples(), key=lambda r: (-r.weak, -r.importance, r.topic.casefold()))
+        taken, omitted, left = [], [], last_study * per_day
+        for r in todo:
+            if r.minutes <= left:
+                taken.append(r)
+                left -= r.minutes
+            else:
+                omitted.append(r)
+        held: dict[int, list[tuple[str | None, str, int]]] = {d: [] for d in range(days)}
+        # the study minutes of all days are one line, which the topics cut in turn
+        began, at = {}, 0
+        for r in taken:
+            first = at // per_day - (at > 0 and at % per_day == 0)  # a day that the topic before filled still counts
+            began[r.Index], end = first, at + int(r.minutes)
+            while at < end:
+                day = at // per_day
+                n = min(end, (day + 1) * per_day) - at
+                quiz = min(10, n) if day == first else 0
+                held[day] += [(r.topic, kind, m) for kind, m in (("read_summary", n - quiz), ("take_quiz", quiz)) if m]
+                at += n
+        for r in taken:
+            for day in (began[r.Index] + gap for gap in (1, 3, 7)):
+                if day < days and sum(x[2] for x in held[day]) + a_revision <= daily_minutes:
+                    held[day].append((r.topic, "revise_weak_topic" if r.weak > 0 else "review_flashcards", a_revision))
+        weakest = next((r.topic for r in taken if r.weak > 0), taken[0].topic if taken else None)
+        for day in range(max(0, days - 2), days):
+            held[day] = [x for x in held[day] if x[1] in ("review_flashcards", "revise_weak_topic")] or [(weakest, "revise_weak_topic" if weakest else "review_flashcards", a_revision)]
+        rows = [(day, k, *x) for day in range(days) for k, x in enumerate(held[day])] + [(None, k, r.topic, "omitted", int(r.minutes)) for k, r in enumerate(omitted)]
+        out = pd.DataFrame([(frame[key].iloc[0], *r) for r in rows], columns=[key, "day", "seq", "topic", "activity", "minutes"])
+        return out.astype({"day": "Int32"})
+
+    return topics.groupBy(key).applyInPandas(plan, f"{key} {kind}, day int, seq int, topic string, activity string, minutes int")

@@ -1,8 +1,10 @@
 """Cohort ranking and statistics over test attempts."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranks import ranked
+
 #: Added before means are rounded, so that an exact half goes up whatever the order of the sum.
 TINY = 1e-9
 ORDER = (F.desc, "score"), (F.asc, "elapsed_seconds"), (F.asc, "completed_at"), (F.asc, "attempt_id")
@@ -18,13 +20,18 @@ def first_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.where("completed").groupBy("test_id", "user_id").agg(F.min(row).alias("r")).select("test_id", "user_id", "r.*")
 
 
+def by_rank(pool: DataFrame) -> DataFrame:
+    """pool with rank: the place within the test by score, time taken, completion and id; a test's attempts are sorted score by score."""
+    return ranked(pool, ["test_id"], -F.col("score"), _order())
+
+
 def leaderboard(pool: DataFrame, top: int = 20, caller: int | None = None) -> DataFrame:
     """(test_id, rank, user_id, score, elapsed_seconds): ranks count hidden learners, who are then left out. The caller is added if beyond the top."""
-    ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy("test_id").orderBy(*_order())).cast("long"))
+    placed = by_rank(pool)
     shown = F.col("rank") <= top
     if caller is not None:
-        return ranked.where((F.col("visible") & shown) | (F.col("user_id") == caller)).select("test_id", "rank", "user_id", "score", "elapsed_seconds")
-    return ranked.where(shown).where("visible").select("test_id", "rank", "user_id", "score", "elapsed_seconds")
+        return placed.where((F.col("visible") & shown) | (F.col("user_id") == caller)).select("test_id", "rank", "user_id", "score", "elapsed_seconds")
+    return placed.where(shown).where("visible").select("test_id", "rank", "user_id", "score", "elapsed_seconds")
 
 
 def midrank_percentiles(pool: DataFrame) -> DataFrame:
@@ -57,19 +64,37 @@ def item_accuracy(answers: DataFrame, pool: DataFrame) -> DataFrame:
     return graded.groupBy("question_id").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("is_correct", F.lit(False)).cast("int")), 6).alias("accuracy"))
 
 
-def accuracy_board(pool: DataFrame, least_tests: int = 3, least_pool: int = 10, top: int = 50) -> DataFrame:
-    """(user_id, tests, mean_percentile, rank) of learners with enough tests of large enough pools."""
+def accuracy_board(pool: DataFrame, handles: DataFrame, least_tests: int = 3, least_pool: int = 10, top: int = 50, caller: int | None = None, since: Column | None = None) -> DataFrame:
+    """(user_id, handle, tests, mean_percentile, rank) of learners with enough tests of large enough pools, ties by handle; the caller is added if beyond the top.
+
+    handles has (user_id, handle). With since only attempts completed from then on are looked at.
+    """
+    if since is not None:
+        pool = pool.where(F.col("completed_at") >= since)
     sizes = pool.groupBy("test_id").agg(F.count("*").alias("size")).where(F.col("size") >= least_pool)
     rows = midrank_percentiles(pool).join(sizes, "test_id").groupBy("user_id").agg(F.count("*").alias("tests"), F.round(F.avg("percentile") + TINY, 4).alias("mean_percentile")).where(F.col("tests") >= least_tests)
-    best = rows.orderBy(F.desc("mean_percentile"), "user_id").limit(top)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_percentile"), "user_id")).cast("long"))
+    named = rows.join(handles, "user_id").select("user_id", "handle", "tests", "mean_percentile").withColumn("__all", F.lit(0))
+    placed = ranked(named, ["__all"], F.floor(-F.col("mean_percentile") * 16), [F.desc("mean_percentile"), F.lower("handle"), F.col("user_id")]).drop("__all")
+    return placed.where((F.col("rank") <= top) | (F.col("user_id") == caller) if caller is not None else F.col("rank") <= top)
 
 
 def pool_summary(pool: DataFrame) -> DataFrame:
-    """(user_id, tests, mean_percentile, mean_margin): the margin is the score less the test's mean."""
+    """(user_id, tests, mean_rank, mean_percentile, mean_margin): the margin is the score less the test's mean."""
     means = pool.groupBy("test_id").agg(F.avg("score").alias("m"))
-    rows = midrank_percentiles(pool).join(means, "test_id")
-    return rows.groupBy("user_id").agg(F.count("*").alias("tests"), F.round(F.avg("percentile") + TINY, 4).alias("mean_percentile"), F.round(F.avg(F.col("score") - F.col("m")) + TINY, 4).alias("mean_margin"))
+    rows = midrank_percentiles(pool).join(means, "test_id").join(by_rank(pool).select("attempt_id", "rank"), "attempt_id")
+    return rows.groupBy("user_id").agg(F.count("*").alias("tests"), F.round(F.avg("rank") + TINY, 4).alias("mean_rank"), F.round(F.avg("percentile") + TINY, 4).alias("mean_percentile"), F.round(F.avg(F.col("score") - F.col("m")) + TINY, 4).alias("mean_margin"))
+
+
+def topic_against_pool(answers: DataFrame, pool: DataFrame) -> DataFrame:
+    """(test_id, user_id, topic, user_accuracy, pool_accuracy): a learner's share of right answers by topic, and the mean of the questions' shares among all of the test's pool; a missing grade is wrong.
+
+    answers has (attempt_id, question_id, topic, is_correct).
+    """
+    graded = answers.join(pool.select("attempt_id", "test_id", "user_id"), "attempt_id").select("test_id", "user_id", "question_id", "topic", F.coalesce("is_correct", F.lit(False)).cast("int").alias("ok"))
+    by_question = graded.groupBy("test_id", "topic", "question_id").agg(F.avg("ok").alias("p"))
+    of_pool = by_question.groupBy("test_id", "topic").agg(F.round(100 * F.avg("p") + TINY, 2).alias("pool_accuracy"))
+    mine = graded.groupBy("test_id", "user_id", "topic").agg(F.round(100 * F.avg("ok") + TINY, 2).alias("user_accuracy"))
+    return mine.join(of_pool, ["test_id", "topic"]).select("test_id", "user_id", "topic", "user_accuracy", "pool_accuracy")
 
 
 def moderation_queue(reports: DataFrame, hide_at: int = 3) -> DataFrame:

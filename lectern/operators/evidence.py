@@ -43,31 +43,36 @@ def grounding(turns: DataFrame, least: float = 0.65) -> DataFrame:
 
 
 def sentence_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, n, sentence): the sentences of five words or more that end in . ! or ?, with their number."""
-    ok = F.filter(T.sentences(F.col(text_col)), lambda s: s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) >= 5))
+    """(id, pos, n, sentence): the sentences of five words or more that end in . ! or ? and hold no placeholder, without a bullet, with their number."""
+    plain = F.transform(T.summary_sentences(F.col(text_col)), lambda s: T.strip(F.regexp_replace(s, "^[-*•] ", "")))
+    ok = F.filter(plain, lambda s: s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) >= 5) & ~s.rlike(T.PLACEHOLDER))
     return docs.select(id_col, ok.alias("s")).select(id_col, F.size("s").alias("n"), F.posexplode("s").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def sentence_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, sentence, score): over a sentence's terms the sum of tf (ln((n + 1) / (df + 1)) + 1), over length ** 0.8, times 1 + 0.4 (1 - pos / n)."""
-    rows = sentence_rows(docs, id_col, text_col)
-    t = rows.select(id_col, "pos", "n", F.explode(T.terms(F.col("sentence"))).alias("term"))
-    per = t.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.countDistinct("pos").alias("df"))
-    weight = F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    sums = t.join(per, [id_col, "term"]).groupBy(id_col, "pos", "n").agg(F.sum(weight).alias("w"), F.count("*").alias("len"))
+    """(id, pos, sentence, score): over a sentence's words the sum of tf (ln((n + 1) / (df + 1)) + 1), over length ** 0.8, times 1 + 0.4 (1 - pos / n).
+
+    tf is a word's count in the sentence, df the number of the text's sentences that
+    hold it. Texts are dealt by id once; all that follows stays within a document.
+    """
+    rows = sentence_rows(docs.select(id_col, text_col).repartition(id_col), id_col, text_col)
+    t = rows.select(id_col, "pos", "n", F.explode(T.summary_terms(F.col("sentence"))).alias("term")).groupBy(id_col, "pos", "n", "term").agg(F.count("*").alias("tf"))
+    df = F.count("*").over(Window.partitionBy(id_col, "term"))
+    weight = F.col("tf") * F.col("tf") * (F.log((F.col("n") + 1) / (df + 1)) + 1)
+    sums = t.withColumn("weight", weight).groupBy(id_col, "pos", "n").agg(F.sum("weight").alias("w"), F.sum("tf").alias("len"))
     score = F.round(F.col("w") / F.pow(F.col("len").cast("double"), F.lit(0.8)) * (1 + 0.4 * (1 - F.col("pos") / F.col("n"))), 6)
     return sums.select(id_col, "pos", score.alias("score"))
 
 
 def summary(docs: DataFrame, id_col: str, text_col: str, target: int = 5, most_alike: float = 0.55) -> DataFrame:
-    """(id, pos, sentence): greedily the best sentences that are not too alike (by Jaccard of terms), in the text's order.
+    """(id, pos, sentence): greedily the best sentences that are not too alike (by Jaccard of words), in the text's order.
 
     All scored sentences of a document are weighed until there are `target`; a document of no more candidates keeps them all.
     """
     sentences = sentence_rows(docs, id_col, text_col)
     few = sentences.where(F.col("n") <= target).select(id_col, "pos", "sentence")
     many = sentence_scores(docs, id_col, text_col).join(sentences.where(F.col("n") > target).select(id_col, "pos", "sentence"), [id_col, "pos"])
-    rows = many.select(F.col(id_col).alias("id"), "pos", "score", "sentence", T.terms(F.col("sentence")).alias("t"))
+    rows = many.select(F.col(id_col).alias("id"), "pos", "score", "sentence", T.summary_terms(F.col("sentence")).alias("t"))
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple] = []
@@ -82,6 +87,15 @@ def summary(docs: DataFrame, id_col: str, text_col: str, target: int = 5, most_a
     return rows.groupBy("id").applyInPandas(pick, f"id {docs.schema[id_col].dataType.simpleString()}, pos long, sentence string").withColumnRenamed("id", id_col).unionByName(few)
 
 
+def two_level_summary(sections: DataFrame, id_col: str, text_col: str, each: int = 3, whole: int = 4) -> DataFrame:
+    """(id, pos, sentence): `each` sentences of each section, and of all those put together the `whole` best. sections has (id, section, text); sections are in order."""
+    keyed = sections.select(F.struct(id_col, "section").alias("part"), F.col(text_col).alias("text"))
+    first = summary(keyed.withColumn("key", F.to_json("part")), "key", "text", each).select(F.from_json("key", keyed.schema["part"].dataType).alias("part"), "pos", "sentence")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("part.section", "pos", "sentence"))), lambda x: x["sentence"])
+    joined = first.groupBy(F.col(f"part.{id_col}").alias(id_col)).agg(F.array_join(lines, "\n").alias("text"))
+    return summary(joined, id_col, "text", whole)
+
+
 def cooccurrence(sentences: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
     """(id, a, b, weight): terms a < b of a document that share sentences, with how many. terms has (id, term), a few for each document."""
     t = sentences.select(id_col, "pos", F.explode(F.array_distinct(T.terms(F.col("sentence")))).alias("term")).join(terms.select(id_col, "term"), [id_col, "term"], "left_semi")
@@ -105,10 +119,17 @@ def compare(terms: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def coverage(mapped: DataFrame, topics: DataFrame) -> DataFrame:
-    """(topic, chunks, documents, status): none, partial below three chunks, or covered. mapped has (topic, doc_id, chunk)."""
+    """(topic, chunks, documents, pages, status, covered_percent): none, partial below three chunks, or covered; the share of covered topics stands in each row.
+
+    mapped has (topic, doc_id, chunk, first_page, last_page); pages counts the different pages of documents.
+    """
     per = mapped.groupBy("topic").agg(F.countDistinct("doc_id", "chunk").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+    page = mapped.select("topic", "doc_id", F.explode(F.sequence("first_page", "last_page")).alias("page")).distinct().groupBy("topic").agg(F.count("*").alias("pages"))
     n = F.coalesce("chunks", F.lit(0))
-    return topics.join(per, "topic", "left").select("topic", n.alias("chunks"), F.coalesce("documents", F.lit(0)).alias("documents"), F.when(n == 0, "none").when(n < 3, "partial").otherwise("covered").alias("status"))
+    out = topics.join(per, "topic", "left").join(page, "topic", "left")
+    out = out.select("topic", n.alias("chunks"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("pages", F.lit(0)).alias("pages"), F.when(n == 0, "none").when(n < 3, "partial").otherwise("covered").alias("status"))
+    share = out.agg(F.round(100 * F.count_if(F.col("status") == "covered") / F.count("*"), 2).alias("covered_percent"))
+    return out.crossJoin(F.broadcast(share))  # one row
 
 
 WEIGHTS = {"stored": 1.0, "ner": 0.95, "keyphrase": 0.9}

@@ -1,6 +1,6 @@
 """Retrieval: BM25, TF-IDF cosine, dense vectors, rank fusion, reranking, and a registry of modes."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.text import term_counts, tfidf
+from lectern.operators.ranks import ranked
+from lectern.operators.text import tfidf_parts
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 RETRIEVERS: dict[str, Scorer] = {}
-#: Bytes of query vectors that go to every task at a time.
-QUERY_BYTES = 16 << 20
 
 
 def retriever(name: str) -> Callable[[Scorer], Scorer]:
@@ -35,31 +34,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25. A negative idf is epsilon times the mean idf of all terms, made positive. Only documents that share a term appear.
 
-    The postings keep the queries' terms alone; the document frequencies cover all.
+    The postings keep the queries' terms alone; the document frequencies cover all and are counted with partial sums.
     """
-    tf = term_counts(docs, "doc_id", "text")
-    stats = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    corpus = docs.agg(F.count("*").alias("N")).crossJoin(stats.agg(F.sum("dl").alias("all")))  # a row each
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))
-    idf = df.select("term", "N", "all", (F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    t = docs.select("doc_id", T.terms(F.col("text")).alias("t"))
+    df = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    corpus = t.agg(F.count("*").alias("N"), F.sum(F.size("t")).alias("all"))  # a row
+    idf = df.crossJoin(F.broadcast(corpus)).select("term", "N", "all", (F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("term", (F.col("all") / F.col("N")).alias("avgdl"), F.when(F.col("raw") < 0, F.abs(epsilon * F.col("mean"))).otherwise(F.col("raw")).alias("idf"))
     q = query_terms(queries)
-    wanted = q.join(idf, "term")
-    found = tf.join(wanted, "term").join(stats, "doc_id")
+    wanted = idf.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", (F.col("all") / F.col("N")).alias("avgdl"), F.when(F.col("raw") < 0, F.abs(epsilon * F.col("mean"))).otherwise(F.col("raw")).alias("idf"))
+    tf = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    found = tf.join(q.join(wanted, "term"), "term")
     part = F.col("q") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return found.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 @retriever("tfidf")
 def tfidf_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of TF-IDF vectors; the query's uses the corpus' idf and terms."""
-    n = docs.agg(F.count("*").alias("N"))
-    df = term_counts(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
-    q = query_terms(queries).join(df, "term").crossJoin(F.broadcast(n)).select("query_id", "term", (F.col("q") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = q.join(norm, "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("wq"))
-    return tfidf(docs, "doc_id", "text").join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("wq")).alias("score"))
+    """Cosine of TF-IDF vectors; the query's uses the corpus' idf and terms. Norms take in all terms, weights only the queries'."""
+    w, df, n = tfidf_parts(docs, "doc_id", "text")
+    norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    q = query_terms(queries).join(df, "term").crossJoin(F.broadcast(n)).select("query_id", "term", (F.col("q") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("wq"))
+    q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
+    dots = w.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    return dots.join(norms, "doc_id").join(q_norm, "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("q_norm")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, query: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -71,11 +69,17 @@ def top_k(scores: DataFrame, k: int, query: str = "query_id", item: str = "doc_i
     return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dense_top_k(items: DataFrame, queries: DataFrame, k: int, first: int | None = None) -> DataFrame:
+def all_ranks(scores: DataFrame, query: str = "query_id", item: str = "doc_id") -> DataFrame:
+    """(query, item, score, rank) of all positive scores, to six places, ties by item; a query's items are sorted score range by score range."""
+    rounded = scores.withColumn("score", F.round("score", 6)).where("score > 0")
+    return ranked(rounded, [query], F.floor(-F.col("score") * 64), [F.desc("score"), F.col(item)])
+
+
+def dense_top_k(items: DataFrame, queries: DataFrame, k: int, first: int | None = None, query_rows: int = 4096, item_rows: int = 65_536) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine of (vec_id, embedding) with each query (query_id, embedding), other than itself.
 
-    The queries are sent in blocks of QUERY_BYTES; each batch of items gives its
-    own k best for each query, so k rows a batch and query are shuffled. first
+    Queries and items are cut into blocks by hash. A task compares one block of each
+    and gives its own k best for each query, which alone are shuffled on. first
     compares the first so many dimensions only.
     """
 
@@ -83,31 +87,28 @@ def dense_top_k(items: DataFrame, queries: DataFrame, k: int, first: int | None
         x = np.array([np.asarray(v, float)[:first] for v in vectors])
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    def best(ids: np.ndarray, q: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if not len(f):
-                    continue
-                s, mine = np.round(q @ unit(f.embedding).T, 6), f.vec_id.to_numpy()
-                s[ids[:, None] == mine[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(mine, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pd.DataFrame({"query_id": ids[rows], "doc_id": mine[order.ravel()], "score": s[rows, order.ravel()]})
-
-        return run
-
-    parts, held, size = [], [], 0
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        held.append(r)
-        size += 8 * len(r.embedding)
-        if size >= QUERY_BYTES:
-            parts, held, size = [*parts, held], [], 0
-    out = None
-    for block in [*parts, held] if held or not parts else parts:
-        ids, q = np.array([r.query_id for r in block], np.int64), unit(pd.Series([r.embedding for r in block]))
-        some = items.select("vec_id", "embedding").where("embedding IS NOT NULL").mapInPandas(best(ids, q), "query_id bigint, doc_id bigint, score double")
-        out = some if out is None else out.unionByName(some)
-    return top_k(out, k)
+    def best(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if not len(q) or not len(f):
+            return none
+        ids, vectors, out = q.query_id.to_numpy(), unit(q.embedding), []
+        for at in range(0, len(f), 2048):
+            mine, s = f.vec_id.to_numpy()[at : at + 2048], np.round(vectors @ unit(f.embedding[at : at + 2048]).T, 6)
+            s[ids[:, None] == mine[None]] = -np.inf
+            order = np.lexsort((np.broadcast_to(mine, s.shape), -s), axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(ids)), order.shape[1])
+            out.append(pd.DataFrame({"query_id": ids[rows], "doc_id": mine[order.ravel()], "score": s[rows, order.ravel()]}))
+        return pd.concat(out).sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k) if len(out) > 1 else out[0]
+
+    held = items.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    n = held.count()
+    q_blocks = max(1, -(-queries.count() // query_rows))
+    i_blocks = max(1, -(-n // item_rows), min(items.sparkSession.sparkContext.defaultParallelism, -(-n // 4096)))
+    cut = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q = cut(queries.select("query_id", "embedding"), "query_id", "qb", q_blocks, "ib", i_blocks)
+    i = cut(held, "vec_id", "ib", i_blocks, "qb", q_blocks)
+    near = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(best, "query_id bigint, doc_id bigint, score double")
+    return top_k(near, k)
 
 
 def rrf(dense: DataFrame, lexical: DataFrame, weight: float = 0.5, k: int = 60) -> DataFrame:

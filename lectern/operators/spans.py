@@ -4,9 +4,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def within(ranges: DataFrame, points: DataFrame, key: str, place: str, first: str, last: str) -> DataFrame:
-    """points joined with the ranges of their key that hold their place, both ends included."""
-    return points.join(ranges, key).where(F.col(place).between(F.col(first), F.col(last)))
+def within(ranges: DataFrame, points: DataFrame, key: str, place: str, first: str, last: str, width: int = 64) -> DataFrame:
+    """points joined with the ranges of their key that hold their place, both ends included.
+
+    Both are dealt to cells of the width, so a key's points meet only the ranges near them.
+    """
+    cells = ranges.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))))
+    return points.withColumn("__cell", F.floor(F.col(place) / width)).join(cells, [key, "__cell"]).where(F.col(place).between(F.col(first), F.col(last))).drop("__cell")
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: str, a_ends: tuple[str, str], b_ends: tuple[str, str], width: int = 1024) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,30 +62,57 @@ def important_sentences(docs: DataFrame, id_col: str, text_col: str, title_terms
     return per.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-_UNIT = re.compile(r"^\s*(?:unit|module|chapter)\s+([ivxlc]+|\d+)\s*[:.\-–]?\s*(.*)$", re.IGNORECASE)
-_DOTTED = re.compile(r"^\s*(\d+(?:\.\d+)*)[.)]?\s+(.*)$")
-_BULLET = re.compile(r"^(\s*)[-*•]\s+(.*)$")
+# What marks a unit, a number and a bullet, and what is cut off titles.
+_UNIT = re.compile(r"unit\s+([ivxlcdm]+)\s*[:.)-]?\s*(.*)", re.IGNORECASE)
+_NUMBER = re.compile(r"(\d+(?:\.\d+)*)[.)]?\s*(.*)")
+_BULLET = re.compile(r"[-*•▪◦]\s+(.+)")
+_ENDS = " .;:"
+
+
+@dataclass
+class _Open:
+    """A node that lines below may still belong to."""
+
+    order: int
+    depth: int
+    unit: bool
+    number: tuple[int, ...] | None
+
+    def takes(self, depth: int, unit: bool, number: tuple[int, ...] | None, indent: int) -> bool:
+        if number is None and not unit:  # a bullet or plain line goes under a numbered one, or under a less indented one
+            return self.unit or self.number is not None or indent > self.depth
+        if self.unit:
+            return not unit
+        return self.depth < depth and (self.number is None or number is None or self.number < number)
 
 
 def parse_syllabus(text: str) -> list[tuple[int, int | None, int, str, list[str]]]:
-    """(order, parent order, depth, title, sub-topics): units, dotted numbers, bullets and indents make the depth; `,` and `;` part sub-topics."""
-    out, stack = [], []
-    for line in text.splitlines():
-        if not line.strip():
+    """(order, parent order, depth, title, sub-topics): units, dotted numbers, bullets and indents make the tree; `,` and `;` part sub-topics.
+
+    A numbered line goes under the open unit or the open number that it is deeper
+    than and beyond; a new unit closes everything.
+    """
+    out, open_ = [], []
+    for raw in text.splitlines():
+        line = raw.strip()
+        if not line:
             continue
-        if m := _UNIT.match(line):
-            depth, title = 0, m[2] or m[0].strip()
-        elif m := _DOTTED.match(line):
-            depth, title = m[1].count(".") + 1, m[2]
-        elif m := _BULLET.match(line):
-            depth, title = 2 + len(m[1].expandtabs(4)) // 2, m[2]
+        unit, number = _UNIT.fullmatch(line), None
+        if not unit and (m := _NUMBER.fullmatch(line)):
+            number, title = tuple(map(int, m[1].split("."))), m[2].strip() or line
+        elif unit:
+            title = unit[2].strip() or line
         else:
-            depth, title = 1 + (len(line) - len(line.lstrip())) // 2, line.strip()
-        while stack and stack[-1][1] >= depth:
-            stack.pop()
-        head, *rest = [x.strip() for x in re.split("[,;]", title) if x.strip()] or [title.strip()]
-        out.append((len(out), stack[-1][0] if stack else None, len(stack), head, rest))
-        stack.append((len(out) - 1, depth))
+            title = m[1].strip() if (m := _BULLET.fullmatch(line)) else line
+        names = [x for x in (p.strip(_ENDS) for p in re.split("[,;]", title)) if x]
+        if not names:
+            continue
+        depth = 1 if unit else len(number) if number else open_[-1].depth + 1 if open_ else 1
+        indent = len(raw) - len(raw.lstrip(" \t"))
+        while open_ and not open_[-1].takes(depth, bool(unit), number, indent):
+            open_.pop()
+        out.append((len(out), open_[-1].order if open_ else None, len(open_), names[0], names[1:]))
+        open_.append(_Open(len(out) - 1, depth, bool(unit), number))
     return out
 
 

@@ -28,6 +28,5 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
 
 def tree(nodes: DataFrame, roots: str = "parent_id IS NULL") -> DataFrame:
     """(id, depth, path) of (id, parent_id): a recursive query."""
-    nodes.createOrReplaceTempView("lectern_tree_nodes")
-    return nodes.sparkSession.sql(f"""WITH RECURSIVE t(id, depth, path) AS (SELECT id, 0, CAST(id AS STRING) FROM lectern_tree_nodes WHERE {roots}
-        UNION ALL SELECT n.id, t.depth + 1, concat(t.path, '/', CAST(n.id AS STRING)) FROM lectern_tree_nodes n JOIN t ON n.parent_id = t.id) SELECT id, depth, path FROM t""")
+    return nodes.sparkSession.sql(f"""WITH RECURSIVE t(id, depth, path) AS (SELECT id, 0, CAST(id AS STRING) FROM {{nodes}} WHERE {roots}
+        UNION ALL SELECT n.id, t.depth + 1, concat(t.path, '/', CAST(n.id AS STRING)) FROM {{nodes}} n JOIN t ON n.parent_id = t.id) SELECT id, depth, path FROM t""", nodes=nodes)

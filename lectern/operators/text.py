@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.ranks import ranked
 
 
 def ngram_counts(docs: DataFrame, text: Column, n: int) -> DataFrame:
@@ -19,12 +20,17 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.explode(T.terms(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, weight): tf times the smooth idf ln((1 + N) / (1 + df)) + 1, scaled to length 1 for each document."""
+def tfidf_parts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, term, w) before scaling, (term, df), (N,) in one row)."""
     tf = term_counts(docs, id_col, text_col)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(T.terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("N"))
-    w = tf.join(df, "term").crossJoin(F.broadcast(n)).select(id_col, "term", (F.col("tf") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("w"))
+    return tf.join(df, "term").crossJoin(F.broadcast(n)).select(id_col, "term", (F.col("tf") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("w")), df, n
+
+
+def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, weight): tf times the smooth idf ln((1 + N) / (1 + df)) + 1, scaled to length 1 for each document."""
+    w, _, _ = tfidf_parts(docs, id_col, text_col)
     norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -68,10 +74,11 @@ def difficulty(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     s, w = T.sentences(F.col(text_col)), T.terms(F.col(text_col), [])
     base = docs.select(id_col, F.size(s).alias("n_sentences"), w.alias("words")).where((F.size("words") > 0) & (F.col("n_sentences") > 0))
-    words = base.select(id_col, "n_sentences", F.explode("words").alias("word"))
-    df = words.select(id_col, "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    y = T.syllables(F.col("word"))
-    per = words.join(df, "word").groupBy(id_col, "n_sentences").agg(F.count("*").alias("n"), F.sum(y).alias("y"), F.avg(1 / F.col("df")).alias("rarity"), F.avg((y >= 3).cast("int")).alias("technical"))
+    words = base.select(id_col, "n_sentences", F.explode("words").alias("word")).groupBy(id_col, "n_sentences", "word").agg(F.count("*").alias("c"))
+    df = words.groupBy("word").agg(F.count("*").alias("df")).withColumn("s", T.syllables(F.col("word")))
+    c, y = F.col("c"), F.col("s")
+    per = words.join(df, "word").groupBy(id_col, "n_sentences").agg(F.sum(c).alias("n"), F.sum(c * y).alias("y"), F.sum(c / F.col("df")).alias("rarity"), F.sum(F.when(y >= 3, c).otherwise(0)).alias("technical"))
+    per = per.withColumns({"rarity": F.col("rarity") / F.col("n"), "technical": F.col("technical") / F.col("n")})
     flesch = 206.835 - 1.015 * F.col("n") / F.col("n_sentences") - 84.6 * F.col("y") / F.col("n")
     length = F.col("n") / F.col("n_sentences")
     score = F.greatest(F.lit(0.0), (100 - flesch) / 100) + F.col("rarity") + length / 40 + 3 * F.col("technical")
@@ -80,9 +87,8 @@ def difficulty(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def terciles(scored: DataFrame, group: str, id_col: str) -> DataFrame:
     """label 0, 1 or 2 by rank within the group, cut at (n + 2) // 3 and (2n + 2) // 3."""
-    w = Window.partitionBy(group)
-    k, n = F.row_number().over(w.orderBy("score", id_col)) - 1, F.count("*").over(w)
-    return scored.withColumns({"k": k, "n": n}).withColumn("label", F.when(F.col("k") < F.expr("(n + 2) div 3"), 0).when(F.col("k") < F.expr("(2 * n + 2) div 3"), 1).otherwise(2)).drop("k", "n")
+    rows = ranked(scored, [group], F.floor(F.col("score") * 256), [F.col("score"), F.col(id_col)], "k", "n")
+    return rows.withColumn("label", F.when(F.col("k") <= F.expr("(n + 2) div 3"), 0).when(F.col("k") <= F.expr("(2 * n + 2) div 3"), 1).otherwise(2)).drop("k", "n")
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 200, overlap: int = 40) -> DataFrame:

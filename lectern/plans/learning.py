@@ -150,18 +150,43 @@ def item_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.item_accuracy(answers(spark, sf_dir), pool(spark, sf_dir))
 
 
-@query(f"""WITH {MIDRANK_SQL}, rows AS (SELECT user_id, count(*) AS tests, round(avg(percentile) + 1e-9, 4) AS mean_percentile FROM pct WHERE n >= 10 GROUP BY user_id HAVING count(*) >= 3)
-SELECT *, row_number() OVER (ORDER BY mean_percentile DESC, user_id) AS rank FROM rows QUALIFY rank <= 50""")
+BOARD_SQL = """rows AS (SELECT user_id, count(*) AS tests, round(avg(percentile) + 1e-9, 4) AS mean_percentile FROM pct WHERE n >= 10 GROUP BY user_id HAVING count(*) >= {least}),
+placed AS (SELECT user_id, c_name AS handle, tests, mean_percentile, row_number() OVER (ORDER BY mean_percentile DESC, lower(c_name), user_id) AS rank FROM rows JOIN customer ON c_custkey = user_id)"""
+
+
+def handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("handle"))
+
+
+@query(f"WITH {MIDRANK_SQL}, {BOARD_SQL.format(least=3)} SELECT * FROM placed WHERE rank <= 50 OR user_id = 7")
 def global_accuracy_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.accuracy_board(pool(spark, sf_dir))
+    return cohort.accuracy_board(pool(spark, sf_dir), handles(spark, sf_dir), caller=7)
+
 
+WEEK_SQL = MIDRANK_SQL.replace("ranked AS (SELECT *,", "recent AS (SELECT * FROM pool WHERE completed_at >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 400 DAY), ranked AS (SELECT *,").replace("FROM pool),", "FROM recent),")
 
-@query(f"""WITH {MIDRANK_SQL}, m AS (SELECT *, avg(score) OVER (PARTITION BY test_id) AS mean FROM pct)
-SELECT user_id, count(*) AS tests, round(avg(percentile) + 1e-9, 4) AS mean_percentile, round(avg(score - mean) + 1e-9, 4) AS mean_margin FROM m GROUP BY user_id""")
+
+@query(f"WITH {WEEK_SQL}, {BOARD_SQL.format(least=1)} SELECT * FROM placed WHERE rank <= 50 OR user_id = 7")
+def recent_accuracy_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board over a window up to the last attempt: 400 days, as the given learners take a test a year; the window is a parameter."""
+    last = read(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("last"))
+    recent = pool(spark, sf_dir).crossJoin(F.broadcast(last))  # one row
+    return cohort.accuracy_board(recent, handles(spark, sf_dir), least_tests=1, caller=7, since=F.col("last") - F.expr("INTERVAL 400 DAY"))
+
+
+@query(f"""WITH {MIDRANK_SQL}, m AS (SELECT *, avg(score) OVER (PARTITION BY test_id) AS mean, row_number() OVER (PARTITION BY test_id ORDER BY score DESC, elapsed_seconds, completed_at, attempt_id) AS rank FROM pct)
+SELECT user_id, count(*) AS tests, round(avg(rank) + 1e-9, 4) AS mean_rank, round(avg(percentile) + 1e-9, 4) AS mean_percentile, round(avg(score - mean) + 1e-9, 4) AS mean_margin FROM m GROUP BY user_id""")
 def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.pool_summary(pool(spark, sf_dir))
 
 
+@query(f"""WITH {POOL_SQL}, {ANSWERS_SQL}, g AS (SELECT test_id, user_id, question_id, topic, CASE WHEN coalesce(is_correct, false) THEN 1 ELSE 0 END AS ok FROM answers JOIN pool USING (attempt_id)),
+q AS (SELECT test_id, topic, question_id, avg(ok) AS p FROM g GROUP BY ALL), p AS (SELECT test_id, topic, round(100 * avg(p) + 1e-9, 2) AS pool_accuracy FROM q GROUP BY ALL)
+SELECT test_id, user_id, topic, round(100 * avg(ok) + 1e-9, 2) AS user_accuracy, any_value(pool_accuracy) AS pool_accuracy FROM g JOIN p USING (test_id, topic) GROUP BY test_id, user_id, topic""")
+def topic_against_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.topic_against_pool(answers(spark, sf_dir), pool(spark, sf_dir))
+
+
 @query("""SELECT event_id % 200 AS test_id, count(DISTINCT user_id) AS reporters, count(DISTINCT user_id) >= 3 AS hidden FROM events WHERE event_type = 'error' GROUP BY 1""")
 def moderation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = read(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("event_id % 200 AS test_id", "user_id AS reporter_id")

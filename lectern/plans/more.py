@@ -1,10 +1,10 @@
 """Queries of filters, range joins, spans and further metrics."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import metrics, models, spans, text
+from lectern.operators import metrics, models, ranks, spans, text
 from lectern.plans.registry import query
 from lectern.plans.texts import STOP_SQL, docs
 from lectern.sources.tables import read
@@ -110,10 +110,9 @@ def unigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) <= greatest(1, count(*) OVER (PARTITION BY lang) * 15 // 100) THEN 'test'
 WHEN row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) <= 2 * greatest(1, count(*) OVER (PARTITION BY lang) * 15 // 100) THEN 'val' ELSE 'train' END AS split FROM documents""")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("lang")
-    k = F.row_number().over(w.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")).cast("long")
     share = F.greatest(F.lit(1), F.expr("n * 15 div 100"))
-    d = docs(spark, sf_dir).select("doc_id", k.alias("k"), F.count("*").over(w).alias("n"))
+    d = docs(spark, sf_dir).select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("h"))
+    d = ranks.ranked(d, ["lang"], F.substring("h", 1, 3), [F.col("h"), F.col("doc_id")], "k", "n")
     return d.select("doc_id", "k", F.when(F.col("k") <= share, "test").when(F.col("k") <= 2 * share, "val").otherwise("train").alias("split"))
 
 

@@ -34,13 +34,13 @@ def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RRF_SQL = f"""{BM25_SQL}, {COSINE_SQL}, fused AS (SELECT query_id, doc_id, coalesce(0.5::DOUBLE / (60 + c.rank), 0.0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0.0) AS s
-FROM (SELECT * FROM cosine WHERE rank <= 30) c FULL JOIN (SELECT * FROM bm25 WHERE rank <= 30) b USING (query_id, doc_id)),
+FROM cosine c FULL JOIN bm25 b USING (query_id, doc_id)),
 rrf AS (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM fused)"""
 
 
 def fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     d, q = docs(spark, sf_dir), questions(spark, sf_dir)
-    legs = [retrieval.top_k(f(d, q), 30) for f in (retrieval.tfidf_cosine, retrieval.bm25)]
+    legs = [retrieval.all_ranks(f(d, q)) for f in (retrieval.tfidf_cosine, retrieval.bm25)]
     return retrieval.top_k(retrieval.rrf(*legs).select("query_id", "doc_id", "score"), k)
 
 
@@ -152,16 +152,16 @@ def repeated_trigram_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS b, c.vec_id AS c, list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE + c.embedding[i]::DOUBLE) AS e
-FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 100 = 0),
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS score FROM x, embeddings WHERE vec_id NOT IN (query_id, b, c))
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
 def analogy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors to a - b + c, none of the three included."""
     e = read(spark, sf_dir, "embeddings")
-    a = e.where("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("a"))
+    a = e.where("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("a"))
     shifted = lambda n, name: e.select((F.col("vec_id") - n).alias("vec_id"), F.col("embedding").alias(name))
     x = a.join(shifted(1, "b"), "vec_id").join(shifted(2, "c"), "vec_id")
     d = lambda v: v.cast("double")
     q = x.select(F.col("vec_id").alias("query_id"), F.transform(F.arrays_zip("a", "b", "c"), lambda v: d(v["a"]) - d(v["b"]) + d(v["c"])).alias("embedding"))
-    near = retrieval.dense_top_k(e, q, 8).where(F.col("doc_id") - F.col("query_id") > 2).unionByName(retrieval.dense_top_k(e, q, 8).where("doc_id < query_id"))
+    near = retrieval.dense_top_k(e, q, 8).where("doc_id - query_id NOT BETWEEN 0 AND 2")
     return retrieval.top_k(near.drop("rank"), 5)

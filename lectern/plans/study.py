@@ -4,8 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import analytics, assessment, evidence, tables, text
-from lectern.plans.learning import user_answers
+from lectern.operators import analytics, assessment, evidence, ranks, tables, text
 from lectern.plans.registry import query
 from lectern.plans.texts import SENTENCES_SQL, STOP_SQL, TFIDF_SQL, docs
 from lectern.sources.tables import ANSWERS_SQL, REVIEWS_SQL, answers, read, reviews
@@ -23,11 +22,17 @@ def grounding_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.grounding(read(spark, sf_dir, "conversations"))
 
 
-SROWS_SQL = rf"""so AS (SELECT doc_id, list_filter({SENTENCES_SQL}, lambda s: regexp_matches(s, '[.!?]$') AND len(regexp_split_to_array(s, '\s+')) >= 5) AS s FROM documents),
+_Q = lambda x: x.replace("'", "''")
+SUMMARY_SENTENCES_SQL = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{_Q(T.LINE_END)}', chr(1), 'g'), '{_Q(T.INITIALISM)}', '\1' || chr(2) || '\2', 'g'), '{_Q(T.SENTENCE_END)}', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(replace(x, chr(2), ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
+SROWS_SQL = rf"""sp AS (SELECT doc_id, list_transform({SUMMARY_SENTENCES_SQL}, lambda x: regexp_replace(regexp_replace(x, '^[-*•] ', ''), '^\s+|\s+$', '', 'g')) AS s FROM documents),
+so AS (SELECT doc_id, list_filter(s, lambda s: regexp_matches(s, '[.!?]$') AND len(regexp_split_to_array(s, '\s+')) >= 5 AND NOT regexp_matches(s, '{T.PLACEHOLDER}')) AS s FROM sp),
 sr AS (SELECT doc_id, len(s) AS n, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM so),
 st AS (SELECT doc_id, n, pos, unnest(list_filter(regexp_extract_all(lower(sentence), '{T.WORD}{{2,}}'), lambda x: NOT list_contains({STOP_SQL}, x))) AS term FROM sr)"""
-SCORES_SQL = f"""{SROWS_SQL}, pr AS (SELECT doc_id, term, count(*) AS tf, count(DISTINCT pos) AS df FROM st GROUP BY ALL), sm AS (SELECT doc_id, pos, n, sum(tf * (ln((n + 1) / (df + 1)) + 1)) AS w, count(*) AS len FROM st JOIN pr USING (doc_id, term) GROUP BY doc_id, pos, n),
-scores AS (SELECT doc_id, pos, round(w / pow(len, 0.8::DOUBLE) * (1 + 0.4::DOUBLE * (1 - pos / n)), 6) AS score FROM sm)"""
+SUMMARY_STOP_SQL = "[" + ", ".join(f"'{_Q(w)}'" for w in T.SUMMARY_STOP_WORDS) + "]"
+SCORES_SQL = f"""{SROWS_SQL}, ut AS (SELECT doc_id, n, pos, unnest(list_filter(regexp_extract_all(lower(sentence), '{T.WORD}+'), lambda x: regexp_matches(x, '^[a-z0-9_]{{2,}}$') AND NOT list_contains({SUMMARY_STOP_SQL}, x))) AS term FROM sr),
+pr AS (SELECT doc_id, term, count(DISTINCT pos) AS df FROM ut GROUP BY ALL), tc AS (SELECT doc_id, n, pos, term, count(*) AS tf FROM ut GROUP BY ALL),
+sm AS (SELECT doc_id, pos, n, sum(tf * tf * (ln((n + 1) / (df + 1)) + 1)) AS w, sum(tf) AS len FROM tc JOIN pr USING (doc_id, term) GROUP BY doc_id, pos, n),
+scores AS (SELECT doc_id, pos, round(w / pow(len::DOUBLE, 0.8::DOUBLE) * (1 + 0.4::DOUBLE * (1 - pos / n)), 6) AS score FROM sm)"""
 
 
 @query(f"WITH {SCORES_SQL} SELECT * FROM scores")
@@ -40,6 +45,14 @@ def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.summary(docs(spark, sf_dir), "doc_id", "text")
 
 
+@query()
+def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of ten lines, three sentences each, and four of those."""
+    lines = docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("l"))
+    section = lines.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("CAST((size(l) - 1) div 10 AS INT)"))).alias("section"), "l")
+    return evidence.two_level_summary(section.select("doc_id", "section", F.array_join(F.slice("l", F.col("section") * 10 + 1, F.lit(10)), "\n").alias("text")), "doc_id", "text")
+
+
 @query(rf"""WITH so AS (SELECT doc_id, {SENTENCES_SQL} AS s FROM documents), k AS (SELECT doc_id, list_filter(s, lambda x: regexp_matches(x, '[.!?]$') AND len(regexp_split_to_array(x, '\s+')) >= 7) AS s FROM so)
 SELECT doc_id, unnest(range(least(len(s), 3))) AS pos, unnest(s[1:3]) AS sentence FROM k""")
 def key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,19 +81,33 @@ def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.node_degrees(edges(spark, sf_dir), "doc_id")
 
 
-@query(f"""WITH {TOP_SQL}, p AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 2 = 0), s AS (SELECT a, b, term, 1 AS side FROM p JOIN top ON doc_id = a UNION ALL SELECT a, b, term, 2 FROM p JOIN top ON doc_id = b),
+@query(f"""WITH {TOP_SQL}, p AS (SELECT doc_id AS a, lead(doc_id) OVER (ORDER BY doc_id) AS b FROM documents QUALIFY b IS NOT NULL), s AS (SELECT a, b, term, 1 AS side FROM p JOIN top ON doc_id = a UNION ALL SELECT a, b, term, 2 FROM p JOIN top ON doc_id = b),
 t AS (SELECT a, b, term, sum(side) AS s FROM s GROUP BY ALL) SELECT a, b, count(*) FILTER (s = 3) AS shared, count(*) FILTER (s = 1) AS only_a, count(*) FILTER (s = 2) AS only_b FROM t GROUP BY a, b""")
 def doc_term_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     terms = text.top_terms(text.tfidf(d, "doc_id", "text"), "doc_id", 8).select("doc_id", "term")
-    return evidence.compare(terms, d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")))
+    return evidence.compare(terms, neighbours(d))
+
 
+def neighbours(d: DataFrame) -> DataFrame:
+    """(a, b): each document's id and the next one that there is, by joining ranks."""
+    placed = ranks.ranked(d.select("doc_id").withColumn("__all", F.lit(0)), ["__all"], F.floor(F.col("doc_id") / 4096), [F.col("doc_id")], "k")
+    return placed.select(F.col("doc_id").alias("a"), "k").join(placed.select(F.col("doc_id").alias("b"), (F.col("k") - 1).alias("k")), "k").select("a", "b")
 
-@query(f"""WITH {TFIDF_SQL}, topics AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{T.WORD}{{2,}}'), lambda x: NOT list_contains({STOP_SQL}, x)))) AS topic FROM benchmark), tt AS (SELECT DISTINCT topic FROM topics)
-SELECT topic, count(doc_id) AS chunks, count(doc_id) AS documents, CASE WHEN count(doc_id) = 0 THEN 'none' WHEN count(doc_id) < 3 THEN 'partial' ELSE 'covered' END AS status FROM tt LEFT JOIN tf ON term = topic GROUP BY topic""")
+
+@query(f"""WITH topics AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '{T.WORD}{{2,}}'), lambda x: NOT list_contains({STOP_SQL}, x))) AS topic FROM benchmark), ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+line AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM ls), mp AS (SELECT DISTINCT doc_id, pos // 5 AS chunk, unnest(list_filter(regexp_extract_all(lower(line), '{T.WORD}{{2,}}'), lambda x: NOT list_contains({STOP_SQL}, x))) AS topic FROM line),
+ch AS (SELECT doc_id, pos // 5 AS chunk, count(*) AS lines FROM line GROUP BY ALL), per AS (SELECT topic, count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(lines)::BIGINT AS pages FROM mp JOIN ch USING (doc_id, chunk) GROUP BY topic),
+c AS (SELECT topic, coalesce(chunks, 0) AS chunks, coalesce(documents, 0) AS documents, coalesce(pages, 0) AS pages, CASE WHEN coalesce(chunks, 0) = 0 THEN 'none' WHEN chunks < 3 THEN 'partial' ELSE 'covered' END AS status FROM topics LEFT JOIN per USING (topic))
+SELECT *, (SELECT round(100 * count(*) FILTER (status = 'covered') / count(*), 2) FROM c) AS covered_percent FROM c""")
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark as topics, five lines as a chunk, a line as a page."""
     topics = read(spark, sf_dir, "benchmark").select(F.explode(T.terms(F.col("text"))).alias("topic")).distinct()
-    mapped = text.term_counts(docs(spark, sf_dir), "doc_id", "text").select(F.col("term").alias("topic"), "doc_id", F.lit(0).alias("chunk"))
+    lines = docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("l"))
+    chunks = lines.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("CAST((size(l) - 1) div 5 AS INT)"))).alias("chunk"), "l")
+    last = F.least(F.col("chunk") * 5 + 5, F.size("l"))
+    words = chunks.select("doc_id", "chunk", (F.col("chunk") * 5).alias("first_page"), (last - 1).alias("last_page"), T.terms(F.array_join(F.slice("l", F.col("chunk") * 5 + 1, F.lit(5)), "\n")).alias("t"))
+    mapped = words.select("doc_id", "chunk", "first_page", "last_page", F.explode(F.array_distinct("t")).alias("topic")).join(topics, "topic", "left_semi")
     return evidence.coverage(mapped, topics)
 
 
@@ -152,23 +179,23 @@ def sm2_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.sm2_replay(reviews(spark, sf_dir), "user_id", "card_id")
 
 
-SECTION_SQL = f"""{ANSWERS_SQL}, acc AS (SELECT topic, CASE WHEN count(is_correct) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (is_correct) / count(is_correct), 2) ELSE 0 END AS accuracy FROM answers WHERE topic <> 'SMALL' GROUP BY topic),
-sec AS (SELECT p_brand, p_type AS topic, count(*) AS pages, CAST(max(p_size) % 3 AS INTEGER) AS difficulty FROM part GROUP BY ALL)"""
+@query(f"""WITH {ANSWERS_SQL}, acc AS (SELECT topic, CASE WHEN count(is_correct) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (is_correct) / count(is_correct), 2) ELSE 0 END AS accuracy FROM answers WHERE question_id % 5 <> 0 GROUP BY topic),
+sec AS (SELECT p_brand AS document, p_type AS topic, count(*) AS pages, CAST(max(p_size % 3) AS INTEGER) AS difficulty FROM part GROUP BY ALL), x AS (SELECT document, topic, pages, [0.9, 1.0, 1.25][difficulty + 1]::DOUBLE AS m, 1 - coalesce(accuracy, 100) / 100 AS weak FROM sec LEFT JOIN acc USING (topic))
+SELECT document, topic, round(weak, 6) AS weak, greatest(15, CAST(round_even(10 * pages * m * (1 + 0.75::DOUBLE * weak), 0) AS BIGINT)) AS minutes, round(1 + weak + 0.25::DOUBLE * m, 6) AS importance FROM x""")
+def study_topic_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as documents and types as their sections, whose title is met whatever its case; the questions' accuracy of a part of the answers."""
+    return study_sections(spark, sf_dir)
 
 
-@query(f"""WITH {SECTION_SQL}, x AS (SELECT p_brand, topic, pages, [0.9, 1.0, 1.25][difficulty + 1]::DOUBLE AS m, 1 - coalesce(accuracy, 100) / 100 AS weak FROM sec LEFT JOIN acc USING (topic))
-SELECT p_brand || '/' || topic AS topic, greatest(15, CAST(round_even(10 * pages * m, 0) AS BIGINT)) AS minutes, round(1 + 0.25 * m, 6) AS importance FROM x""")
-def study_topic_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes and importance of topics without answers: sections are brand and type."""
-    parts = read(spark, sf_dir, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("topic")).agg(F.count("*").alias("pages"), (F.max("p_size") % 3).alias("difficulty"))
-    return assessment.study_topics(parts, analytics.accuracy(answers(spark, sf_dir).where("topic <> 'SMALL'"), "topic"))
+def study_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("document"), F.col("p_type").alias("topic")).agg(F.count("*").alias("pages"), F.max(F.col("p_size") % 3).alias("difficulty"))
+    of = analytics.accuracy(answers(spark, sf_dir).where("question_id % 5 <> 0").withColumn("topic", F.lower("topic")), "topic")
+    return assessment.study_topics(parts, of).select("document", "topic", "weak", "minutes", "importance")
 
 
 @query("WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i, count(*) OVER () AS n, (SELECT count(*) FROM events) AS total FROM (SELECT DISTINCT event_type FROM events)) SELECT event_type AS kind, total // n + CASE WHEN i < total % n THEN 1 ELSE 0 END AS quota FROM k")
 def type_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    kinds = sorted(r[0] for r in e.select("event_type").distinct().limit(100).collect())
-    return assessment.type_quotas(e.count(), kinds, spark)
+    return assessment.type_quotas(read(spark, sf_dir, "events"), "event_type")
 
 
 @query("""WITH r AS (SELECT l_partkey % 50 AS g, l_orderkey * 10 + l_linenumber AS id, l_returnflag = 'A' AS flag FROM lineitem), c AS (SELECT g, count(*) FILTER (flag) AS t, count(*) FILTER (NOT flag) AS f FROM r GROUP BY g),
@@ -186,10 +213,8 @@ def exam_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def study_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two weeks' plans of all learners over their weak topics."""
-    weak = analytics.weak_topics(user_answers(spark, sf_dir), "user_id", "topic", below=101.0, least=1)
-    topics = weak.select("user_id", "topic", F.greatest(F.lit(15), (F.col("attempts") * 5)).cast("int").alias("minutes"), (2 - F.col("accuracy") / 100).alias("importance"))
-    return assessment.study_plan(topics, "user_id", 14, 60)
+    """Two weeks' plans of all brands over their sections."""
+    return assessment.study_plan(study_sections(spark, sf_dir), "document", 14, 60)
 
 
 @query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent_id FROM part), t AS (SELECT id, 0 AS depth, id::VARCHAR AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, t.depth + 1, t.path || '/' || n.id FROM n JOIN t ON n.parent_id = t.id) SELECT * FROM t""")

@@ -50,14 +50,22 @@ def first_in(df: DataFrame, keys: list[str], ttl: str = "1 hour") -> DataFrame:
 
 def trailing_counts(df: DataFrame, key: str, seconds: int) -> DataFrame:
     """Batch: with n, the key's rows in so many seconds up to each row."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("n", F.count("*").over(w))
+    w = Window.partitionBy(key, "__slice").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    return _sliced(df, seconds).withColumn("n", F.count("*").over(w)).where("not __lead").drop("__slice", "__lead")
+
+
+def _sliced(df: DataFrame, seconds: int) -> DataFrame:
+    """Each row in its slice of so many seconds, and as a lead in the next one: a key's rows are never all in one task."""
+    own = F.floor(F.unix_micros("ts") / (seconds * 1_000_000)).cast("long")
+    places = F.array(F.struct(own.alias("__slice"), F.lit(False).alias("__lead")), F.struct((own + 1).alias("__slice"), F.lit(True).alias("__lead")))
+    return df.select("*", F.inline(places))
 
 
 def cache_hits(df: DataFrame, keys: list[str], seconds: int = 3600) -> DataFrame:
     """Batch: with hit, whether the same key came at most so many seconds before."""
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    return df.withColumn("hit", F.coalesce(F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w) <= seconds * 1_000_000, F.lit(False)))
+    w = Window.partitionBy(*keys, "__slice").orderBy("ts", "event_id")
+    hit = F.coalesce(F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w) <= seconds * 1_000_000, F.lit(False))
+    return _sliced(df, seconds).withColumn("hit", hit).where("not __lead").drop("__slice", "__lead")
 
 
 def limited(df: DataFrame, key: str, per_minute: int = 15, per_day: int = 1000) -> DataFrame:
