@@ -10,6 +10,11 @@ def local_date(ts: Column | str, zone: Column | str | None = "UTC") -> Column:
     return F.to_date(F.from_utc_timestamp(F.col(ts) if isinstance(ts, str) else ts, F.coalesce(zone, F.lit("UTC"))))
 
 
+def day_start(day: str, zone: str) -> Column:
+    """When a local day began, in UTC; a null zone is UTC."""
+    return F.to_utc_timestamp(F.col(day).cast("timestamp"), F.coalesce(F.col(zone), F.lit("UTC")))
+
+
 def accuracy(answers: DataFrame, *keys: str) -> DataFrame:
     """(keys, attempts, correct, accuracy %): unanswered rows, of null is_correct, do not count."""
     n, correct = F.count("is_correct"), F.count_if("is_correct")

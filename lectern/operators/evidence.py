@@ -42,6 +42,29 @@ def grounding(turns: DataFrame, least: float = 0.65) -> DataFrame:
     return rows.select("conv_id", "turn", n.alias("sentences"), ok.alias("supported"), F.when(n == 0, 1.0).otherwise(F.round(ok / n, 6)).alias("score"))
 
 
+def best_chunks(turns: DataFrame, back: int, least: float = 0.65) -> DataFrame:
+    """(conv_id, turn, pos, chunk, overlap, supported) of the sentences of an assistant's turns: the number of the user's turn, among so many before, that holds the greatest share of a sentence's terms, the first of equals; null if none holds any.
+
+    The turns before are few, so all is within the row.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-back, -1)
+    chunks = F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(w)
+    rows = turns.withColumn("__c", chunks).where("role = 'assistant'").select("conv_id", "turn", F.transform("__c", lambda c: F.array_distinct(T.grounding_terms(c))).alias("c"), F.posexplode(T.grounding_sentences(F.col("text"))).alias("pos", "s")).where(F.size("c") > 0)
+    rows = rows.select("conv_id", "turn", F.col("pos").cast("long"), "c", F.array_distinct(T.grounding_terms(F.col("s"))).alias("t"))
+    share = lambda c: F.when(F.size("t") == 0, 0.0).otherwise(F.round(F.size(F.array_intersect("t", c)) / F.size("t"), 6))
+    best = F.array_min(F.transform("c", lambda c, i: F.struct((-share(c)).alias("o"), (i + 1).cast("long").alias("chunk"))))
+    out = rows.select("conv_id", "turn", "pos", best.alias("b"))
+    return out.select("conv_id", "turn", "pos", F.when(F.col("b.o") < 0, F.col("b.chunk")).alias("chunk"), F.abs("b.o").alias("overlap"), (F.col("b.o") <= -least).alias("supported"))
+
+
+def context_blocks(chunks: DataFrame, key: str, order: str, title: Column, page: Column, text: str) -> DataFrame:
+    """(key, block): a key's few chunks in order, each under its [title, p.page], with square brackets in the texts replaced by wide ones."""
+    plain = T.strip(F.translate(F.col(text), "[]", "［］"))
+    line = F.concat(F.lit("["), title, F.lit(", p."), page, F.lit("]\n"), plain)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"])
+    return chunks.groupBy(key).agg(F.array_join(parts, "\n").alias("block"))
+
+
 def sentence_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, n, sentence): the sentences of five words or more that end in . ! or ? and hold no placeholder, without a bullet, with their number."""
     plain = F.transform(T.summary_sentences(F.col(text_col)), lambda s: T.strip(F.regexp_replace(s, "^[-*•] ", "")))

@@ -23,6 +23,28 @@ def ranking(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
+def macro_ranking(per: DataFrame, *keys: str) -> DataFrame:
+    """(keys, questions, precision, recall, mrr, ndcg): the means of ranking()'s metrics over questions."""
+    mean = lambda c, name: F.round(F.avg(c) + 1e-9, 5).alias(name)
+    return per.groupBy(*keys).agg(F.count("*").alias("questions"), *(mean(c, n) for c, n in (("precision", "precision"), ("recall", "recall"), ("rr", "mrr"), ("ndcg", "ndcg"))))
+
+
+def entity_scores(truth: DataFrame, predicted: DataFrame, place: list[str]) -> DataFrame:
+    """(label, precision, recall, f1) of entities, which count if label and place are the same; 0 where a denominator is 0."""
+    side = lambda df, n: df.select("label", *place, F.lit(n).alias("side"))
+    per = side(truth, 1).unionByName(side(predicted, 2)).groupBy("label", *place).agg(F.count_if(F.col("side") == 1).alias("t"), F.count_if(F.col("side") == 2).alias("p"))
+    s = per.groupBy("label").agg(F.sum(F.least("t", "p")).alias("both"), F.sum("t").alias("t"), F.sum("p").alias("p"))
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return s.select("label", ratio("both", "p").alias("precision"), ratio("both", "t").alias("recall"), ratio(2 * F.col("both"), F.col("t") + F.col("p")).alias("f1"))
+
+
+def bleu(counts: DataFrame, lengths: DataFrame, orders: int = 4) -> DataFrame:
+    """(bleu,) in one row, 0 to 100: the geometric mean of clipped shares, less for a text shorter than the reference. counts are bleu_counts()', lengths (mine, theirs) in one row."""
+    one = counts.agg(F.avg(F.log(F.col("clipped") / F.col("total"))).alias("m"), F.min("clipped").alias("least"), F.count("*").alias("n")).crossJoin(lengths)
+    brief = F.when(F.col("mine") >= F.col("theirs"), 1.0).otherwise(F.exp(1 - F.col("theirs") / F.col("mine")))
+    return one.select(F.round(100 * F.when((F.col("least") == 0) | (F.col("n") < orders), 0.0).otherwise(F.exp("m") * brief), 4).alias("bleu"))
+
+
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return rows.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 

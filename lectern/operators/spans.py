@@ -33,6 +33,14 @@ def runs(rows: DataFrame, key: str, pos: str, label: str, text: str) -> DataFram
     return held.withColumn("island", island).groupBy(key, label, "island").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.array_join(words, " ").alias("text")).drop("island")
 
 
+def stride_windows(rows: DataFrame, key: str, n: str, length: int = 384, stride: int = 128) -> DataFrame:
+    """(key, window, first, last): windows of so many of n places, each beginning `stride` before the end of the one before; none of 0 places."""
+    step = length - stride
+    count = F.greatest(F.lit(0), F.ceil((F.col(n) - length) / step)).cast("long")
+    w = rows.where(F.col(n) > 0).select(key, n, F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("window"))
+    return w.select(key, "window", (F.col("window") * step).alias("first"), (F.least(F.col("window") * step + length, F.col(n)) - 1).alias("last"))
+
+
 def best_span(start: Column, end: Column, longest: int) -> Column:
     """struct(i, j, score) of the greatest start[i] + end[j], to six places, with i <= j < i + longest; the first of equals. Within the row."""
     from_ = F.sequence(F.lit(0), F.size(start) - 1)

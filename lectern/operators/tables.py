@@ -26,6 +26,22 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def cascade(rows: DataFrame, ref: str, gone: DataFrame, key: str) -> DataFrame:
+    """rows without those that refer to a deleted row."""
+    return rows.join(gone.select(F.col(key).alias("__gone")).distinct(), F.col(ref) == F.col("__gone"), "left_anti")
+
+
+def removed(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """The keys that a cascade took, for the tables that refer to them."""
+    return before.select(key).join(after.select(key).distinct(), key, "left_anti")
+
+
+def set_null(rows: DataFrame, ref: str, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose reference is null where it was to a deleted row."""
+    lost = gone.select(F.col(key).alias("__gone")).distinct()
+    return rows.join(lost, F.col(ref) == F.col("__gone"), "left").withColumn(ref, F.when(F.col("__gone").isNull(), F.col(ref))).drop("__gone")
+
+
 def tree(nodes: DataFrame, roots: str = "parent_id IS NULL") -> DataFrame:
     """(id, depth, path) of (id, parent_id): a recursive query."""
     return nodes.sparkSession.sql(f"""WITH RECURSIVE t(id, depth, path) AS (SELECT id, 0, CAST(id AS STRING) FROM {{nodes}} WHERE {roots}

@@ -67,6 +67,28 @@ def unknown_tokens(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame
     return held.groupBy(id_col).agg(F.count("*").alias("tokens"), F.count("known").alias("known"))
 
 
+def encoded(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, length: int, unknown: int = 1, pad: int = 0) -> DataFrame:
+    """(id, ids): the first `length` terms' ids in order, filled up with pad; a text without terms is all pad."""
+    t = docs.select(id_col, F.slice(T.terms(F.coalesce(F.col(text_col), F.lit(""))), 1, length).alias("t"))
+    rows = t.select(id_col, F.posexplode_outer("t").alias("pos", "token")).join(vocab.select("token", "token_id"), "token", "left")
+    held = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(unknown)).cast("long").alias("i"))))).alias("x"))
+    ids = F.transform("x", lambda x: x["i"])
+    return held.select(id_col, F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), F.lit(length) - F.size("x"))).alias("ids"))
+
+
+def decoded(encoded_: DataFrame, id_col: str, vocab: DataFrame, unknown: str = "<UNK>", pad: int = 0) -> DataFrame:
+    """(id, text): the ids' tokens in order, without pads."""
+    rows = encoded_.select(id_col, F.posexplode("ids").alias("pos", "token_id")).where(F.col("token_id") != pad).join(vocab.select("token_id", "token"), "token_id", "left")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("token")))), lambda x: x["token"])
+    return encoded_.select(id_col).join(rows.groupBy(id_col).agg(F.array_join(words, " ").alias("text")), id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def linear_analysis(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, token, tag, head): where there is no parser, every tag is X and a token hangs on the one before."""
+    t = docs.select(id_col, F.posexplode(T.tokens(F.col(text_col))).alias("pos", "token"))
+    return t.select(id_col, "pos", "token", F.lit("X").alias("tag"), (F.col("pos") - 1).alias("head"))
+
+
 def difficulty(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, flesch, rarity, sentence_length, technical, score): the weak difficulty score and its parts.
 
