@@ -181,3 +181,20 @@ def evidence_sentences(docs: DataFrame, id_col: str, text_col: str, terms: DataF
     best = F.min(F.struct((-defines).alias("d"), (-F.least(n, F.lit(400))).alias("l"), F.abs(n - 180).alias("g"), "pos", "sentence"))
     return held.groupBy(id_col, "term").agg(best.alias("b")).select(id_col, "term", "b.sentence")
 
+
+def graph_nodes(key_terms: DataFrame, entries: DataFrame, owner: str, most: int = 40) -> DataFrame:
+    """(owner, node_id, label, importance, rank): key terms (owner, term), each mention adding 1, and glossary entries (owner, term, importance), the greatest of which counts if it is more; the most important ones, ties by label."""
+    a = key_terms.select(owner, T.normalize_term(F.col("term")).alias("label"), F.lit(1.0).alias("more"), F.lit(0.0).alias("at_least"))
+    b = entries.select(owner, T.normalize_term(F.col("term")).alias("label"), F.lit(0.0).alias("more"), F.col("importance").alias("at_least"))
+    one = a.unionByName(b).groupBy(owner, "label").agg(F.round(F.greatest(F.sum("more"), F.max("at_least")), 4).alias("importance"))
+    rank = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("importance"), "label")).cast("long")
+    top = one.withColumn("rank", rank).where(F.col("rank") <= most)
+    return top.select(owner, F.concat(F.lit("node_"), F.substring(F.sha2("label", 256), 1, 16)).alias("node_id"), "label", "importance", "rank")
+
+
+def web_evidence(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """claims (id, url, quote) with valid: whether a result (url, snippet) of that address holds the quote, but for white space."""
+    held = results.select(F.col("url").alias("__url"), T.normalize_whitespace(F.col("snippet")).alias("__snippet"))
+    quote = T.normalize_whitespace(F.col("quote"))
+    both = claims.join(held, F.col("url") == F.col("__url"), "left")
+    return both.groupBy("id").agg(F.bool_or(F.coalesce((quote != "") & F.contains("__snippet", quote), F.lit(False))).alias("valid"))

@@ -123,39 +123,86 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 200, overlap
         raise ValueError("size must be positive and overlap between 0 and the size")
     parts = docs.select(F.col(id_col).alias("id"), T.sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s")).select("id", "s", F.transform("s", lambda x: F.size(T.tokens(x))).alias("n"))
 
-    def cut(sentences: Iterator[tuple[str, int]]) -> Iterator[tuple[str, int]]:
-        for s, n in sentences:
-            words = s.split()
-            if n <= size or len(words) < 2:
-                yield s, n
-            else:
-                step = max(1, len(words) * size // n)
-                for at in range(0, len(words), step):
-                    some = words[at : at + step]
-                    yield " ".join(some), max(1, n * len(some) // len(words))
-
-    def pack(s: list[str], n: list[int]) -> Iterator[tuple[str, int]]:
-        held: list[tuple[str, int]] = []
-        new = False
-        for one in cut(zip(s, n, strict=True)):
-            if held and sum(x[1] for x in held) + one[1] > size:
-                if new:
-                    yield " ".join(x[0] for x in held), sum(x[1] for x in held)
-                while held and (sum(x[1] for x in held) > overlap or sum(x[1] for x in held) + one[1] > size):
-                    held.pop(0)
-            held.append(one)
-            new = True
-        if held and new:
-            yield " ".join(x[0] for x in held), sum(x[1] for x in held)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, k, t, n) for i, s, c in zip(f.id, f.s, f.n, strict=True) for k, (t, n) in enumerate(pack(list(s), list(c)))]
+            rows = [(i, k, t, n) for i, s, c in zip(f.id, f.s, f.n, strict=True) for k, (t, n, *_) in enumerate(_packed([(x, y, 0, None) for x, y in zip(s, c, strict=True)], size, overlap))]
             yield pd.DataFrame(rows, columns=["id", "chunk", "text", "n_tokens"])
 
     return parts.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, chunk int, text string, n_tokens int").withColumnRenamed("id", id_col)
 
 
+def _cut(units: list[tuple[str, int, int, str | None]], size: int) -> Iterator[tuple[str, int, int, str | None]]:
+    """Units (text, tokens, page, section); those longer than the size cut between words."""
+    for s, n, *place in units:
+        words = s.split()
+        if n <= size or len(words) < 2:
+            yield (s, n, *place)
+        else:
+            step = max(1, len(words) * size // n)
+            for at in range(0, len(words), step):
+                some = words[at : at + step]
+                yield (" ".join(some), max(1, n * len(some) // len(words)), *place)
+
+
+def _packed(units: list[tuple[str, int, int, str | None]], size: int, overlap: int) -> Iterator[tuple[str, int, str | None, int, int]]:
+    """(text, tokens, section, first page, last page) of chunks of whole units; another section begins a chunk without overlap."""
+    held: list[tuple[str, int, int, str | None]] = []
+    new = False
+
+    def chunk() -> tuple[str, int, str | None, int, int]:
+        return " ".join(x[0] for x in held), sum(x[1] for x in held), held[0][3], min(x[2] for x in held), max(x[2] for x in held)
+
+    for one in _cut(units, size):
+        if held and one[3] != held[0][3]:
+            if new:
+                yield chunk()
+            held, new = [], False
+        if held and sum(x[1] for x in held) + one[1] > size:
+            if new:
+                yield chunk()
+            while held and (sum(x[1] for x in held) > overlap or sum(x[1] for x in held) + one[1] > size):
+                held.pop(0)
+        held.append(one)
+        new = True
+    if held and new:
+        yield chunk()
+
+
+def page_chunks(pages: DataFrame, key: str, size: int = 400, overlap: int = 50) -> DataFrame:
+    """(key, chunk, text, n_tokens, section, first_page, last_page) of (key, page, text, headings): chunks() over a document's pages in order.
+
+    A line that equals one of its page's headings, but for case, spaces and leading
+    marks, begins a section of that name (255 characters of it) and is left out; the
+    section goes on over pages. A document is packed by one task, which holds its
+    sentences.
+    """
+    if size < 1 or not 0 <= overlap < size:
+        raise ValueError("size must be positive and overlap between 0 and the size")
+    line = pages.select(key, "page", F.transform(F.coalesce("headings", F.array()), T.normalize_term).alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), T.LINE_END)).alias("pos", "raw")).select(key, "page", "pos", "h", T.strip(F.col("raw")).alias("line")).where("line <> ''")
+    title = T.strip(F.regexp_replace("line", r"^[# ]+", ""))
+    marked = line.withColumn("title", F.when(F.array_contains("h", T.normalize_term(title)), F.substring(title, 1, 255)))
+    carried = marked.withColumn("section", F.last("title", ignorenulls=True).over(Window.partitionBy(key).orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)))
+    s = carried.where("title IS NULL").select(F.col(key).alias("key"), F.col("page").cast("int"), "pos", "section", T.sentences(F.col("line")).alias("s")).select("*", F.transform("s", lambda x: F.size(T.tokens(x))).alias("n"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        units = [(t, int(n), r.page, r.section) for r in frame.sort_values(["page", "pos"]).itertuples() for t, n in zip(r.s, r.n, strict=True)]
+        return pd.DataFrame([(frame.key.iloc[0], k, *c) for k, c in enumerate(_packed(units, size, overlap))], columns=["key", "chunk", "text", "n_tokens", "section", "first_page", "last_page"])
+
+    return s.groupBy("key").applyInPandas(run, f"key {pages.schema[key].dataType.simpleString()}, chunk int, text string, n_tokens int, section string, first_page int, last_page int").withColumnRenamed("key", key)
+
+
+STEPS = {"normalize": T.normalize_text, "language": T.script_language, "sentences": T.sentences, "tokens": T.tokens, "words": lambda c: T.drop_punctuation(T.tokens(c)), "content": lambda c: T.drop_stop_words(T.drop_punctuation(T.tokens(c))), "bigrams": lambda c: T.ngrams(T.terms(c), 2)}
+
+
+def preprocessed(docs: DataFrame, id_col: str, text_col: str, steps: list[str], longest: int = 100_000) -> DataFrame:
+    """(id, a column for each step), in the order of STEPS whatever the order asked for; an unknown step and a text that is too long are errors. All steps but the first two work on the normalised text."""
+    if unknown := set(steps) - set(STEPS):
+        raise ValueError(f"unknown steps: {sorted(unknown)}")
+    text = F.when(F.length(text_col) > longest, F.raise_error(F.lit("text too long"))).otherwise(F.col(text_col))
+    held = docs.select(id_col, text.alias("__text")).withColumn("__norm", T.normalize_text(F.col("__text")))
+    return held.select(id_col, *(f(F.col("__text" if name in ("normalize", "language") else "__norm")).alias(name) for name, f in STEPS.items() if name in steps))
+
+
 def page_text(html: Column) -> Column:
     """The text of a page without scripts, styles, comments and tags."""
     c = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")

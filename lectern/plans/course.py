@@ -9,7 +9,9 @@ from lectern.plans.registry import query
 from lectern.plans.search import DENSE_SQL, hits, vector_queries
 from lectern.plans.study import EDGES_SQL, SROWS_SQL, TOP_SQL, edges, neighbours
 from lectern.plans.texts import HEADINGS_SQL, STOP_SQL, TFIDF_SQL, VOCAB_SQL, docs
+from lectern.sources import files
 from lectern.sources.tables import ANSWERS_SQL, answers, read
+from lectern.streaming import windows
 
 TERMS_SQL = "list_filter(regexp_extract_all(lower({}), '" + T.WORD.replace("{", "{{").replace("}", "}}") + "{{2,}}'), lambda x: NOT list_contains(" + STOP_SQL + ", x))"
 LINES_SQL = "ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), line AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM ls)"
@@ -316,3 +318,55 @@ def different_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def clean_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(T.clean_slides(F.col("text"))).alias("digest"))
+
+
+@query(f"""WITH {TOP_SQL}, n AS (SELECT source AS owner, lower(term) AS label, count(*)::DOUBLE AS importance FROM top JOIN documents USING (doc_id) WHERE rank <= 4 GROUP BY ALL)
+SELECT owner, 'node_' || substring(sha256(label), 1, 16) AS node_id, label, round(greatest(importance, CASE WHEN label LIKE 'a%' THEN 2.5 ELSE 0 END), 4) AS importance, row_number() OVER (PARTITION BY owner ORDER BY greatest(importance, CASE WHEN label LIKE 'a%' THEN 2.5 ELSE 0 END) DESC, label) AS rank FROM n QUALIFY rank <= 40""")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each source's graph; entries of words with a first letter a stand for a glossary."""
+    t = top_terms(spark, sf_dir, 4).join(docs(spark, sf_dir).select("doc_id", F.col("source").alias("owner")), "doc_id")
+    return evidence.graph_nodes(t, t.where("term LIKE 'a%'").select("owner", "term", F.lit(2.5).alias("importance")), "owner")
+
+
+@query(r"""WITH c AS (SELECT page_id AS id, url, substring(regexp_replace(html, '\s+', ' ', 'g'), 10 + page_id % 5, 30) || CASE WHEN page_id % 4 = 0 THEN '?' ELSE '' END AS quote FROM pages)
+SELECT id, bool_or(contains(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), regexp_replace(quote, '^\s+|\s+$', '', 'g'))) AS valid FROM c JOIN pages USING (url) GROUP BY id""")
+def web_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes from pages, every fourth one altered, against all pages of the address."""
+    p = read(spark, sf_dir, "pages")
+    quote = F.concat(F.substring(F.regexp_replace("html", r"\s+", " "), (F.col("page_id") % 5 + 10).cast("int"), F.lit(30)), F.when(F.col("page_id") % 4 == 0, "?").otherwise(""))
+    return evidence.web_evidence(p.select(F.col("page_id").alias("id"), "url", quote.alias("quote")), p.select("url", F.col("html").alias("snippet")))
+
+
+@query("SELECT vec_id, sha256('7:' || label || ':' || vec_id) AS id FROM embeddings")
+def vector_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").withColumn("owner", F.lit(7)).select("vec_id", files.vector_id("owner", "label", "vec_id").alias("id"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn AS number, role AS title, substring(text, 1, 40) AS body, string_split(substring(text, 1, 30), ' ') AS items FROM conversations), b AS (SELECT conv_id, number, unnest(range(2 + len(items))) AS k, unnest(list_concat([title, body], items)) AS text FROM s)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY number, k) - 1 AS pos, CASE k WHEN 0 THEN 'heading' WHEN 1 THEN 'paragraph' ELSE 'bullet' END AS kind, CASE k WHEN 0 THEN 2 ELSE 0 END AS level, text FROM b WHERE text <> ''""")
+def export_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as sections of a document to export."""
+    c = read(spark, sf_dir, "conversations")
+    return files.export_blocks(c.select("conv_id", F.col("turn").alias("number"), F.col("role").alias("title"), F.substring("text", 1, 40).alias("body"), F.split(F.substring("text", 1, 30), " ").alias("items")), "conv_id")
+
+
+@query("SELECT event_id, count(*) OVER w > 2 OR sum(event_id % 100) OVER w > 120 AS wait FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").withColumn("tokens", F.col("event_id") % 100)
+    return windows.token_budget(e, "event_type", "tokens", 2, 120).select("event_id", "wait")
+
+
+@query("""WITH s AS (SELECT user_id, ts, ['queued', 'extracting', 'processing', 'indexing', 'ready', 'failed'][event_id % 6 + 1] AS status, [0, 10, 40, 80, 100, 100][event_id % 6 + 1] AS progress FROM events WHERE event_id % 4 < 2)
+SELECT user_id, arg_max(status, (progress, ts, status)) AS status, max(progress) AS progress, max(progress) = 100 AS ended FROM s GROUP BY user_id""")
+def ingestion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, windows.STATES))
+    e = read(spark, sf_dir, "events").where("event_id % 4 < 2").select("user_id", "ts", F.element_at(names, (F.col("event_id") % 6 + 1).cast("int")).alias("status"))
+    return windows.ingestion_states(e, "user_id")
+
+
+@query()
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten lines as a page, lines of at most three words as headings."""
+    l = docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("l"))
+    p = l.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("CAST((size(l) - 1) div 10 AS INT)"))).alias("page"), "l").select("doc_id", "page", F.slice("l", F.col("page") * 10 + 1, F.lit(10)).alias("l"))
+    return text.page_chunks(p.select("doc_id", "page", F.array_join("l", "\n").alias("text"), F.filter("l", lambda x: F.size(F.split(x, " ")) <= 3).alias("headings")), "doc_id")

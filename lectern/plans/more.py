@@ -45,11 +45,11 @@ def symbol_clutter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.has_symbols(F.col("text")).alias("clutter"))
 
 
-@query(rf"""WITH {LINES_SQL} SELECT doc_id, pos, line FROM line WHERE length(line) <= 120 AND regexp_matches(line, '^[\p{{L}}\p{{N}}]') AND NOT regexp_matches(line, '[.!?]') AND NOT regexp_matches(lower(line), '\b(quiz|answer|question)')""")
+@query(rf"""WITH {LINES_SQL} SELECT doc_id, pos, line FROM line WHERE length(line) <= 120 AND regexp_matches(line, '^[\p{{L}}\p{{N}}]') AND NOT regexp_matches(line, '[.!?]') AND NOT regexp_matches(lower(line), '\b(quiz|answer|question)') AND NOT (len(regexp_split_to_array(line, '\s+')) >= 8 AND regexp_matches(lower(line), '{T.whole("is|are|was|est|ist|des")}'))""")
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that may be section titles."""
+    """Lines that may be section titles; a long one with a verb is none."""
     line = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
-    return line.where((F.length("line") <= 120) & F.col("line").rlike(r"^[\p{L}\p{N}]") & ~F.col("line").rlike("[.!?]") & ~F.lower("line").rlike(r"\b(quiz|answer|question)"))
+    return line.where((F.length("line") <= 120) & F.col("line").rlike(r"^[\p{L}\p{N}]") & ~F.col("line").rlike("[.!?]") & ~F.lower("line").rlike(r"\b(quiz|answer|question)") & ~((F.size(F.split("line", r"\s+")) >= 8) & F.lower("line").rlike(T.whole("is|are|was|est|ist|des"))))
 
 
 @query(f"""WITH {LINES_SQL}, term AS (SELECT doc_id, pos, unnest(list_filter(regexp_extract_all(lower(line), '{T.WORD}{{2,}}'), lambda x: x LIKE 'th%' AND NOT list_contains({STOP_SQL}, x))) AS term FROM line),

@@ -93,3 +93,47 @@ def limited(df: DataFrame, key: str, per_minute: int = 15, per_day: int = 1000)
         yield pd.DataFrame({key: [k[0]] * len(times), "ts": pd.to_datetime(times, unit="us"), "allowed": out})
 
     return df.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, allowed boolean", "log array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def first_hit_windows(df: DataFrame, key: str, seconds: int = 60, most: int = 10) -> DataFrame:
+    """Stream: (key, ts, n, allowed): a counter that begins with a key's first hit and starts anew with the first one after so many seconds; beyond `most` a hit is refused.
+
+    The state of a key is its window's start and count.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, n = state.get if state.exists else (None, 0)
+        times, counts = sorted(t for f in frames for t in f.ts.astype("datetime64[us]").astype("int64")), []
+        for t in times:
+            if start is None or t >= start + seconds * 1_000_000:
+                start, n = int(t), 0
+            n += 1
+            counts.append(n)
+        state.update((start, n))
+        state.setTimeoutDuration(max(1000, seconds * 1000))
+        yield pd.DataFrame({key: [k[0]] * len(times), "ts": pd.to_datetime(times, unit="us"), "n": counts, "allowed": [c <= most for c in counts]})
+
+    return df.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, n bigint, allowed boolean", "start bigint, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+# The states of an ingestion in their order, with the progress that each stands for.
+STATES = {"queued": 0, "extracting": 10, "processing": 40, "indexing": 80, "ready": 100, "failed": 100}
+
+
+def ingestion_states(df: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
+    """(key, status, progress, ended) of each key's furthest state: a stream may bring them in any order. Of ready and failed the later one counts; unknown states are ignored. An aggregate, which a stream updates."""
+    known = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
+    rows = _watermarked(df, late).withColumn("progress", F.try_element_at(known, "status")).where("progress IS NOT NULL")
+    best = F.max(F.struct("progress", "ts", "status"))
+    return rows.groupBy(key).agg(best.alias("b")).select(key, "b.status", "b.progress", (F.col("b.progress") == 100).alias("ended"))
+
+
+def token_budget(df: DataFrame, key: str, tokens: str, requests_a_minute: int, tokens_a_minute: int) -> DataFrame:
+    """Batch: with wait, whether a request would go beyond the key's requests or tokens of the minute up to it."""
+    w = Window.partitionBy(key, "__slice").orderBy(F.unix_micros("ts")).rangeBetween(-59_999_999, 0)
+    over = (F.count("*").over(w) > requests_a_minute) | (F.sum(tokens).over(w) > tokens_a_minute)
+    return _sliced(df, 60).withColumn("wait", over).where("not __lead").drop("__slice", "__lead")

@@ -157,3 +157,36 @@ def test_even_sample(spark):
         got = course.even_sample(df, "g", [F.col("k")], F.floor(F.col("k") / 8), total).collect()
         assert len(got) == min(total, 100)
     assert Counter(r.g for r in course.even_sample(df, "g", [F.col("k")], F.floor(F.col("k") / 8), 10).collect()) == {"a": 6, "b": 3, "c": 1}
+
+
+def test_page_chunks(spark):
+    pages = [(1, 1, "# Basics\nOne two three. Four five six.", ["basics"]), (1, 2, "Seven eight nine.\nNext  Part\nTen.", ["Next part"]), (2, 1, None, None)]
+    df = spark.createDataFrame(pages, "d long, page int, text string, headings array<string>")
+    got = [tuple(r)[1:] for r in text.page_chunks(df, "d", 10, 5).orderBy("d", "chunk").collect()]
+    assert got == [(0, "One two three. Four five six.", 8, "Basics", 1, 1), (1, "Four five six. Seven eight nine.", 8, "Basics", 1, 2), (2, "Ten.", 2, "Next  Part", 2, 2)]
+
+
+def test_preprocessed(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "Don't stop at 5 cells.")], "d long, t string")
+    row = text.preprocessed(docs, "d", "t", ["content", "normalize"]).first()
+    assert row.asDict() == {"d": 1, "normalize": "do not stop at <num> cells.", "content": ["do", "not", "stop", "<", "num", ">", "cells"]}
+    with pytest.raises(ValueError):
+        text.preprocessed(docs, "d", "t", ["nothing"])
+    with pytest.raises(Exception, match="too long"):
+        text.preprocessed(docs, "d", "t", ["tokens"], 5).collect()
+
+
+def test_file_store(spark, tmp_path):
+    import pytest
+    from lectern.sources import files
+
+    (tmp_path / "a.txt").write_text("x")
+    with pytest.raises(ValueError):
+        files.delete_from_store(spark, str(tmp_path), ["a.txt", "../b"])
+    assert files.delete_from_store(spark, str(tmp_path), ["a.txt", "none"]) == ["a.txt"] and not (tmp_path / "a.txt").exists()
+    v = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>")
+    assert files.checked_vectors(v.limit(1), "v", 2).count() == 1
+    with pytest.raises(Exception, match="must have 2"):
+        files.checked_vectors(v, "v", 2).collect()

@@ -60,3 +60,19 @@ def test_late_rows(spark):
     df = spark.createDataFrame(rows, "ts timestamp, started timestamp")
     assert windows.in_time(df, "started", 10).count() == 2
     assert df.where(F.col("ts").isNull()).count() == 0
+
+
+def test_first_hit_windows(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("u", at + dt.timedelta(seconds=s)) for s in (0, 10, 59, 60, 61, 200)] + [("v", at)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, "user_id string, ts timestamp").coalesce(1).write.parquet(path)
+    got = ran(windows.first_hit_windows(windows.read_stream(spark, path, "user_id string, ts timestamp"), "user_id", 60, 2), "append", tmp_path)
+    of = [(r.n, r.allowed) for r in got.where("user_id = 'u'").orderBy("ts").collect()]
+    assert of == [(1, True), (2, True), (3, False), (1, True), (2, True), (1, True)] and got.where("user_id = 'v'").count() == 1
+
+
+def test_ingestion_states(spark, sf, folder, tmp_path):
+    of = lambda d: d.selectExpr("user_id", "ts", "element_at(array('queued', 'extracting', 'ready', 'odd'), CAST(event_id % 4 + 1 AS INT)) AS status")
+    got = ran(windows.ingestion_states(of(windows.read_stream(spark, folder, SCHEMA)), "user_id", "40 days"), "complete", tmp_path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, windows.ingestion_states(of(read(spark, sf, "events")), "user_id").collect()))
