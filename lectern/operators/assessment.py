@@ -109,6 +109,18 @@ def exam_paper(questions: DataFrame, section: str, id_col: str, options: Column,
     return rows.select(section, "number", id_col, F.char(F.col("p") + 65).alias("option_letter"), "option", "marks", "section_marks")
 
 
+def marking_scheme(questions: DataFrame, section: str, id_col: str, answer: Column, marks: Column) -> DataFrame:
+    """(section, number, id, answer, marks, total_marks): a paper's answers, numbered as in exam_paper(), and the marks of the whole."""
+    q = ranked(questions.select(section, id_col, answer.alias("answer"), marks.alias("marks")), [section], F.floor(F.col(id_col) / SLICE), [F.col(id_col)], "number")
+    total = q.agg(F.sum("marks").alias("total_marks"))
+    return q.crossJoin(F.broadcast(total)).select(section, "number", id_col, "answer", "marks", "total_marks")  # one row
+
+
+def attempt_flags(attempts: DataFrame, questions: Column, limit_seconds: int, least_each: int = 3) -> DataFrame:
+    """attempts (attempt_id, elapsed_seconds, ...) with late, beyond the limit, and suspicious, in less than so many seconds a question."""
+    return attempts.withColumns({"late": F.col("elapsed_seconds") > limit_seconds, "suspicious": F.col("elapsed_seconds") < least_each * questions})
+
+
 def study_plan(topics: DataFrame, key: str, days: int, daily_minutes: int) -> DataFrame:
     """(key, day, seq, topic, activity, minutes) of (key, topic, weak, importance, minutes).
 

@@ -198,3 +198,27 @@ def web_evidence(claims: DataFrame, results: DataFrame) -> DataFrame:
     quote = T.normalize_whitespace(F.col("quote"))
     both = claims.join(held, F.col("url") == F.col("__url"), "left")
     return both.groupBy("id").agg(F.bool_or(F.coalesce((quote != "") & F.contains("__snippet", quote), F.lit(False))).alias("valid"))
+
+
+def term_sides(terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, term, side, pages_a, pages_b): each term of a pair of documents as shared, only_a or only_b, with the sorted pages of both. terms has (doc_id, term, page)."""
+    pages = terms.groupBy("doc_id", "term").agg(F.array_sort(F.collect_set("page")).alias("p"))
+    of = lambda c: pairs.join(pages, F.col(c) == F.col("doc_id")).select("a", "b", "term", *(F.when(F.lit(c == x), F.col("p")).alias(f"pages_{x}") for x in ("a", "b")))
+    both = of("a").unionByName(of("b")).groupBy("a", "b", "term").agg(F.max("pages_a").alias("pages_a"), F.max("pages_b").alias("pages_b"))
+    side = F.when(F.col("pages_b").isNull(), "only_a").when(F.col("pages_a").isNull(), "only_b").otherwise("shared")
+    text = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit(""))
+    return both.select("a", "b", "term", side.alias("side"), text("pages_a").alias("pages_a"), text("pages_b").alias("pages_b"))
+
+
+def kept_citations(cited: DataFrame, retrieved: DataFrame, key: str) -> DataFrame:
+    """(key, title, page): an answer's citations (key, title, page) that were retrieved for it, (key, title, page); an answer without any cites all that was retrieved."""
+    low = retrieved.select(key, F.lower("title").alias("title"), "page").distinct()
+    good = cited.select(key, F.lower("title").alias("title"), "page").distinct().join(low, [key, "title", "page"], "left_semi")
+    return good.unionByName(low.join(good.select(key).distinct(), key, "left_anti"))
+
+
+def citation_chunks(cited: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, title, page, chunk): the first chunk (title, chunk, first, last) whose pages hold each citation's page; null if there is none."""
+    low = chunks.select(F.lower("title").alias("__title"), "chunk", "first", "last")
+    at = F.col("page").between(F.col("first"), F.col("last")) & (F.lower("title") == F.col("__title"))
+    return cited.join(low, at, "left").groupBy("id", "title", "page").agg(F.min("chunk").alias("chunk"))

@@ -4,13 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import analytics, course, evidence, metrics, retrieval, spans, tables, text
+from lectern.operators import analytics, assessment, course, evidence, metrics, retrieval, spans, tables, text
 from lectern.plans.registry import query
 from lectern.plans.search import DENSE_SQL, hits, vector_queries
 from lectern.plans.study import EDGES_SQL, SROWS_SQL, TOP_SQL, edges, neighbours
 from lectern.plans.texts import HEADINGS_SQL, STOP_SQL, TFIDF_SQL, VOCAB_SQL, docs
 from lectern.sources import files
-from lectern.sources.tables import ANSWERS_SQL, answers, read
+from lectern.sources.tables import ANSWERS_SQL, ATTEMPTS_SQL, answers, attempts, read
 from lectern.streaming import windows
 
 TERMS_SQL = "list_filter(regexp_extract_all(lower({}), '" + T.WORD.replace("{", "{{").replace("}", "}}") + "{{2,}}'), lambda x: NOT list_contains(" + STOP_SQL + ", x))"
@@ -370,3 +370,44 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("l"))
     p = l.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("CAST((size(l) - 1) div 10 AS INT)"))).alias("page"), "l").select("doc_id", "page", F.slice("l", F.col("page") * 10 + 1, F.lit(10)).alias("l"))
     return text.page_chunks(p.select("doc_id", "page", F.array_join("l", "\n").alias("text"), F.filter("l", lambda x: F.size(F.split(x, " ")) <= 3).alias("headings")), "doc_id")
+
+
+@query(f"""WITH {TOP_SQL}, t AS (SELECT doc_id, left(term, 4) AS term, rank % 3 AS page FROM top), g AS (SELECT doc_id, term, string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) AS p FROM t GROUP BY ALL),
+n AS (SELECT doc_id AS a, lead(doc_id) OVER (ORDER BY doc_id) AS b FROM documents QUALIFY b IS NOT NULL), s AS (SELECT a, b, term, p AS pages_a, NULL AS pages_b FROM n JOIN g ON doc_id = a UNION ALL SELECT a, b, term, NULL, p FROM n JOIN g ON doc_id = b),
+m AS (SELECT a, b, term, max(pages_a) AS x, max(pages_b) AS y FROM s GROUP BY ALL) SELECT a, b, term, CASE WHEN y IS NULL THEN 'only_a' WHEN x IS NULL THEN 'only_b' ELSE 'shared' END AS side, coalesce(x, '') AS pages_a, coalesce(y, '') AS pages_b FROM m""")
+def term_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings of each document's best terms against the next document's; ranks stand for pages."""
+    t = top_terms(spark, sf_dir, 8).select("doc_id", F.substring("term", 1, 4).alias("term"), (F.col("rank") % 3).alias("page"))
+    return evidence.term_sides(t, neighbours(docs(spark, sf_dir)))
+
+
+CITED_SQL = "cited AS (SELECT conv_id, turn, 'T' || turn % 5 AS title, turn % 3 AS page FROM conversations WHERE turn % 2 = 1), found AS (SELECT conv_id, 't' || turn % 5 AS title, turn % 4 AS page FROM conversations WHERE turn % 2 = 0)"
+
+
+@query(f"""WITH {CITED_SQL}, c AS (SELECT DISTINCT conv_id, lower(title) AS title, page FROM cited), f AS (SELECT DISTINCT * FROM found), g AS (SELECT c.* FROM c SEMI JOIN f USING (conv_id, title, page)) SELECT * FROM g UNION ALL SELECT * FROM f WHERE conv_id NOT IN (SELECT conv_id FROM g)""")
+def kept_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd turns as citations, even ones as what was retrieved for the conversation."""
+    c = read(spark, sf_dir, "conversations")
+    of = lambda odd, mark, n: c.where(F.col("turn") % 2 == odd).select("conv_id", F.concat(F.lit(mark), (F.col("turn") % 5).cast("string")).alias("title"), (F.col("turn") % n).alias("page"))
+    return evidence.kept_citations(of(1, "T", 3), of(0, "t", 4), "conv_id")
+
+
+@query("""WITH c AS (SELECT event_id AS id, 'Doc' || user_id AS title, event_id % 40 AS page FROM events), k AS (SELECT 'doc' || d AS title, k AS chunk, 7 * k AS first, 7 * k + 9 AS last FROM range(1, 20000) t(d), range(5) u(k) WHERE d % 3 > 0)
+SELECT id, title, page, (SELECT min(chunk) FROM k WHERE k.title = lower(c.title) AND page BETWEEN first AND last) AS chunk FROM c""".replace("range(1, 20000)", "(SELECT DISTINCT user_id FROM events)"))
+def citation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learners' documents in five overlapping chunks of pages; every third learner has none."""
+    e = read(spark, sf_dir, "events")
+    cited = e.select(F.col("event_id").alias("id"), F.concat(F.lit("Doc"), "user_id").alias("title"), (F.col("event_id") % 40).alias("page"))
+    chunks = e.select("user_id").distinct().where("user_id % 3 > 0").select(F.concat(F.lit("doc"), "user_id").alias("title"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("chunk"))
+    return evidence.citation_chunks(cited, chunks.select("title", F.col("chunk").cast("long"), (7 * F.col("chunk")).alias("first"), (7 * F.col("chunk") + 9).alias("last")))
+
+
+@query("SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS number, p_partkey, p_type AS answer, p_size::BIGINT AS marks, sum(p_size) OVER ()::BIGINT AS total_marks FROM part")
+def marking_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessment.marking_scheme(read(spark, sf_dir, "part"), "p_brand", "p_partkey", F.col("p_type"), F.col("p_size").cast("long"))
+
+
+@query(f"WITH {ATTEMPTS_SQL}, n AS (SELECT l_orderkey, count(*) AS q FROM lineitem GROUP BY 1) SELECT attempt_id, elapsed_seconds > 3000 AS late, elapsed_seconds < 30 * q AS suspicious FROM attempts JOIN n ON l_orderkey = attempt_id")
+def attempt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("attempt_id")).agg(F.count("*").alias("q"))
+    return assessment.attempt_flags(attempts(spark, sf_dir).join(n, "attempt_id"), F.col("q"), 3000, 30).select("attempt_id", "late", "suspicious")
