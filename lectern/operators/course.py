@@ -141,6 +141,24 @@ def chapter_notes(terms: DataFrame, sentences: DataFrame, key: str, cue: str, n_
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def cheat_sheet(terms: DataFrame, sentences: DataFrame, lines: DataFrame, key: str, n_terms: int = 8, n_formulas: int = 6, n_facts: int = 5, longest: int = 160) -> DataFrame:
+    """(key, kind, number, text): terms with the beginning of the first sentence that holds them, short lines with operators, and the first sentences with a figure.
+
+    terms has (key, term, rank), sentences (key, pos, sentence), lines (key, pos, line).
+    """
+    padded = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("sentence"), F.lit(f"{T.WORD}+"), F.lit(0)), " "), F.lit(" "))
+    held = sentences.withColumn("__p", padded).join(terms.where(F.col("rank") <= n_terms), key).where(F.contains("__p", F.concat(F.lit(" "), "term", F.lit(" "))))
+    defined = held.groupBy(key, F.col("rank").alias("number"), "term").agg(F.min(F.struct("pos", "sentence")).alias("b"))
+    first = lambda rows, c, n: rows.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy("pos")).cast("long")).where(F.col("number") <= n).select(key, "number", F.col(c).alias("text"))
+    parts = {
+        "term": defined.select(key, "number", F.concat("term", F.lit(": "), F.substring("b.sentence", 1, longest)).alias("text")),
+        "formula": first(lines.where(F.col("line").rlike("[=+*/^]") & (F.length("line") <= longest)), "line", n_formulas),
+        "fact": first(sentences.where(F.col("sentence").rlike("[0-9]")), "sentence", n_facts),
+    }
+    named = [df.select(key, F.lit(kind).alias("kind"), "number", "text") for kind, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 def typed_edges(sentences: DataFrame, terms: DataFrame, key: str, relations: dict[str, str]) -> DataFrame:
     """(key, source, target, relation, weight, pos): terms that share sentences; typed where one stands before the other with a relation's words between, else related_to.
 

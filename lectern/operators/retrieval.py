@@ -111,6 +111,24 @@ def dense_top_k(items: DataFrame, queries: DataFrame, k: int, first: int | None
     return top_k(near, k)
 
 
+def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
+    """(id, embedding) by a built-in encoder: TF-IDF weights of a text's terms, summed by the terms' digest modulo the size and scaled to length 1.
+
+    Each different text is encoded once. A blank text is an error, as is a text without terms, whose vector would be zero.
+    """
+    blank = F.coalesce(F.trim(text_col), F.lit("")) == ""
+    keyed = docs.select(F.col(id_col), F.when(blank, F.raise_error(F.lit("blank text"))).otherwise(F.col(text_col)).alias("__text")).withColumn("__key", F.sha2("__text", 256))
+    texts = keyed.groupBy("__key").agg(F.min("__text").alias("__text"))
+    w, _, _ = tfidf_parts(texts, "__key", "__text")
+    place = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
+    cells = w.groupBy("__key", place.alias("place")).agg(F.sum("w").alias("v"))
+    held = cells.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))  # at most `size` cells a text
+    vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("norm"))
+    made = held.select("__key", vector.alias("embedding"))
+    out = keyed.join(made, "__key", "left")
+    return out.select(id_col, F.when(F.col("embedding").isNull(), F.raise_error(F.lit("a text without terms"))).otherwise(F.col("embedding")).alias("embedding"))
+
+
 def rrf(dense: DataFrame, lexical: DataFrame, weight: float = 0.5, k: int = 60) -> DataFrame:
     """(query_id, doc_id, score): weight / (k + rank) of the one ranking plus (1 - weight) / (k + rank) of the other; a missing leg adds 0."""
     a = dense.select("query_id", "doc_id", F.col("rank").alias("dense_rank"))

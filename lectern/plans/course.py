@@ -411,3 +411,22 @@ def marking_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attempt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("attempt_id")).agg(F.count("*").alias("q"))
     return assessment.attempt_flags(attempts(spark, sf_dir).join(n, "attempt_id"), F.col("q"), 3000, 30).select("attempt_id", "late", "suspicious")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents WHERE len({TERMS_SQL.format("text")}) > 0), u AS (SELECT text, min(doc_id) AS k FROM d GROUP BY text), t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest({TERMS_SQL.format("text")}) AS term FROM u) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term), w AS (SELECT k, ('0x' || substring(md5(term), 1, 8))::BIGINT % 64 AS place, sum(tf * (ln((1 + (SELECT count(*) FROM u)) / (1 + df)) + 1)) AS v FROM t JOIN f USING (term) GROUP BY ALL),
+n AS (SELECT k, sqrt(sum(v * v)) AS norm FROM w GROUP BY k) SELECT doc_id, place, round(v / norm, 6) AS value FROM d JOIN u USING (text) JOIN w USING (k) JOIN n USING (k) WHERE round(v / norm, 6) > 0""")
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that have terms by the built-in encoder, cell by cell."""
+    d = docs(spark, sf_dir).where(F.size(T.terms(F.col("text"))) > 0)
+    v = retrieval.hashed_vectors(d, "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("place", "value"))
+    return v.select("doc_id", F.col("place").cast("long"), F.round("value", 6).alias("value")).where("value > 0")
+
+
+@query(f"""WITH {TOP_SQL}, {SROWS_SQL}, de AS (SELECT doc_id, rank AS number, term, arg_min(sentence, pos) AS sentence FROM (SELECT * FROM top WHERE rank <= 8) JOIN sr USING (doc_id) WHERE contains(' ' || list_aggregate(regexp_extract_all(lower(sentence), '{T.WORD}+'), 'string_agg', ' ') || ' ', ' ' || term || ' ') GROUP BY doc_id, rank, term),
+ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), ln AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM ls), fo AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM ln WHERE regexp_matches(line, '[=+*/^]') AND length(line) <= 160 QUALIFY number <= 6),
+fa AS (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM sr WHERE regexp_matches(sentence, '[0-9]') QUALIFY number <= 5)
+SELECT doc_id, 'term' AS kind, number, term || ': ' || substring(sentence, 1, 160) AS text FROM de UNION ALL SELECT doc_id, 'formula', number, line FROM fo UNION ALL SELECT doc_id, 'fact', number, sentence FROM fa""")
+def cheat_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evidence.sentence_rows(docs(spark, sf_dir), "doc_id", "text")
+    return course.cheat_sheet(top_terms(spark, sf_dir, 8), s, lines(spark, sf_dir), "doc_id")
