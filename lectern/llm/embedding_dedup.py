@@ -30,6 +30,10 @@ from lectern.llm.graph import components, roots
 
 #: Added to distances, for the rounding of 2 - 2 cos.
 SLACK = 1e-6
+#: The rounding of cosines in single precision, which only decide what is looked at more closely.
+ROUGH = 1e-4
+#: Points are compared at once where their pairs are no more than so many times those of the next level's nodes.
+CLOSE = 4
 #: So many rows are multiplied at a time.
 TILE = 1024
 
@@ -42,14 +46,16 @@ class Tree:
     centres: np.ndarray
     radii: np.ndarray
 
-    def children(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each level (children in the order of their parents, where each parent's begin); the last level's children are the points."""
+    def levels(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level (children in the order of their parents, where each parent's begin, and likewise the points below); the last level's children are the points."""
         out, n = [], len(self.x)
         for k in range(self.centres.shape[1]):
-            below = np.unique(self.centres[:, k + 1]) if k + 1 < self.centres.shape[1] else np.arange(n)
-            parent = self.centres[below, k]
-            order = np.argsort(parent, kind="stable")
-            out.append((below[order], np.searchsorted(parent[order], np.arange(n + 1))))
+            lists = []
+            for below in (np.unique(self.centres[:, k + 1]) if k + 1 < self.centres.shape[1] else np.arange(n), np.arange(n)):
+                parent = self.centres[below, k]
+                order = np.argsort(parent, kind="stable")
+                lists += [below[order], np.searchsorted(parent[order], np.arange(n + 1))]
+            out.append(tuple(lists))
         return out
 
 
@@ -59,14 +65,15 @@ def _distance(dots: np.ndarray) -> np.ndarray:
 
 def _extended(x: np.ndarray, net: list[int], radius: float) -> list[int]:
     """The net with each row of x in turn that lies further than the radius from all of it."""
-    net = list(net)
-    for at in range(0, len(x), TILE):
-        part = x[at : at + TILE]
-        open_ = np.flatnonzero(np.concatenate([_distance(part @ x[net[k : k + TILE]].T).min(axis=1)[None] for k in range(0, len(net), TILE)]).min(axis=0) > radius)
+    net, near = list(net), 1 - radius**2 / 2  # the cosine at that distance
+    rest = np.delete(np.arange(len(x)), net)
+    for at in range(0, len(rest), TILE):
+        rows = rest[at : at + TILE]
+        open_ = rows[np.max([(x[rows] @ x[net[k : k + TILE]].T).max(axis=1) for k in range(0, len(net), TILE)], axis=0) < near]
         while len(open_):
             new, open_ = open_[0], open_[1:]
-            net.append(at + int(new))
-            open_ = open_[_distance(part[open_] @ part[new]) > radius]
+            net.append(int(new))
+            open_ = open_[x[open_] @ x[new] < near]
     return net
 
 
@@ -90,7 +97,7 @@ def tree(x: np.ndarray, low: float) -> Tree:
     for k in range(len(nets) - 1, -1, -1):
         net = np.array(nets[k])
         up = np.arange(len(x))
-        below = rows if k == len(nets) - 1 else np.array(nets[k + 1])
+        below = np.setdiff1d(rows if k == len(nets) - 1 else np.array(nets[k + 1]), net)
         up[below] = _nearest(x, below, net)
         up[net] = net
         parents = up[parents]
@@ -101,6 +108,18 @@ def tree(x: np.ndarray, low: float) -> Tree:
     return Tree(x, centres, radii)
 
 
+def _tiles(radii: np.ndarray, reach: float) -> Iterator[np.ndarray]:
+    """Places of nodes of like radii, at most TILE at a time, so that the greatest radius of a tile says enough about all of it."""
+    if len(radii) <= 64:
+        yield np.arange(len(radii))
+        return
+    kind = np.ceil(2 * np.log2(np.maximum(radii, reach / 8)))
+    for k in np.unique(kind):
+        places = np.flatnonzero(kind == k)
+        for at in range(0, len(places), TILE):
+            yield places[at : at + TILE]
+
+
 def close(a: Tree, b: Tree | None, cosine: float, levels: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows of a and b (without b: of a, i < j) of that cosine or more, and how many cosines were taken, by dual traversal.
 
@@ -108,42 +127,51 @@ def close(a: Tree, b: Tree | None, cosine: float, levels: int | None = None) ->
     """
     same, b = b is None, b or a
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
+    rough = [t.x.astype(np.float32) for t in ((a,) if same else (a, b))]
+    held = [t.levels() for t in ((a,) if same else (a, b))]
     depth = max(a.centres.shape[1], b.centres.shape[1]) if levels is None else levels
-    kids = [t.children() for t in ((a,) if same else (a, b))]
     p = q = np.zeros(1, np.int64)
-    tested = 0
+    done, tested = [(np.zeros(0, np.int64),) * 2], 0
     for k in range(depth):
-        last = levels is None and k + 1 == depth
         sides = []
-        for t, c in zip((a, b), (kids[0], kids[-1]), strict=True):  # a shallower tree's points stay as they are
-            own = t.centres.shape[1]
-            sides.append((*(c[k] if k < own else (np.arange(len(t.x)), np.arange(len(t.x) + 1))), t.radii[:, k + 1] if k + 1 < own else np.zeros(len(t.x))))
-        (mine_all, mine_at, mine_radius), (their_all, their_at, their_radius) = sides
+        for t, lists in zip((a, b), (held[0], held[-1]), strict=True):  # a shallower tree's points stay as they are
+            itself = (np.arange(len(t.x)), np.arange(len(t.x) + 1)) * 2
+            sides.append((*(lists[k] if k < len(lists) else itself), t.radii[:, k + 1] if k + 1 < len(lists) else np.zeros(len(t.x))))
+        left, right = sides
         order = np.argsort(p, kind="stable")
         p, q = p[order], q[order]
         firsts = np.flatnonzero(np.diff(p, prepend=-1, append=-1))
-        found_p, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = [(np.zeros(0, np.int64),) * 2]
         for first, end in zip(firsts[:-1], firsts[1:], strict=True):
             u, vs = p[first], q[first:end]
-            mine = mine_all[mine_at[u] : mine_at[u + 1]]
-            theirs = np.concatenate([their_all[their_at[v] : their_at[v + 1]] for v in vs])
-            own = np.repeat(vs == u, their_at[vs + 1] - their_at[vs]) if same else None
-            for x in range(0, len(mine), TILE):
-                m = mine[x : x + TILE]
-                for y in range(0, len(theirs), 4 * TILE):
-                    t = theirs[y : y + 4 * TILE]
-                    dots = a.x[m] @ b.x[t].T
-                    tested += dots.size
-                    ok = dots >= cosine if last else _distance(dots) <= mine_radius[m][:, None] + their_radius[t][None] + reach
+            below = lambda side, nodes, which: np.concatenate([side[which][side[which + 1][v] : side[which + 1][v + 1]] for v in nodes])
+            mine, theirs, kind = below(left, [u], 0), below(right, vs, 0), 0
+            points = levels is None and (k + 1 == depth or (right[3][vs + 1] - right[3][vs]).sum() * (left[3][u + 1] - left[3][u]) <= CLOSE * len(mine) * len(theirs))
+            if points:  # the next level's nodes are hardly more than single points
+                mine, theirs, kind = below(left, [u], 2), below(right, vs, 2), 2
+            own = np.repeat(vs == u, right[kind + 1][vs + 1] - right[kind + 1][vs]) if same else None
+            r, s = (np.zeros(len(mine)), np.zeros(len(theirs))) if points else (left[4][mine], right[4][theirs])
+            tiles = list(_tiles(s, reach))
+            for x in _tiles(r, reach):
+                m = mine[x]
+                for y in tiles:
+                    t = theirs[y]
+                    tested += len(m) * len(t)
+                    wide = r[x].max() + s[y].max() + reach
+                    i, j = np.nonzero(rough[0][m] @ rough[-1][t].T >= np.float32(1 - wide**2 / 2 - ROUGH))
                     if same:
-                        ok &= ~(own[y : y + 4 * TILE][None] & (m[:, None] >= t[None] if last else m[:, None] > t[None]))
-                    i, j = np.nonzero(ok)
-                    found_p.append(m[i])
-                    found_q.append(t[j])
-        p, q = np.concatenate(found_p), np.concatenate(found_q)
-    if same and levels is None:
-        p, q = np.minimum(p, q), np.maximum(p, q)
-    return p, q, tested
+                        new = ~(own[y][j] & (m[i] >= t[j] if points else m[i] > t[j]))
+                        i, j = i[new], j[new]
+                    for at in range(0, len(i), 16 * TILE):  # what the tile's bound leaves is tested pair by pair
+                        x_, y_ = x[i[at : at + 16 * TILE]], y[j[at : at + 16 * TILE]]
+                        dots = np.einsum("ij,ij->i", a.x[mine[x_]], b.x[theirs[y_]])
+                        ok = dots >= cosine if points else _distance(dots) <= r[x_] + s[y_] + reach
+                        (done if points else found).append((mine[x_[ok]], theirs[y_[ok]]))
+        p, q = (np.concatenate(part) for part in zip(*found, strict=True))
+    if levels is not None:
+        return p, q, tested
+    p, q = (np.concatenate(part) for part in zip(*done, strict=True))
+    return (np.minimum(p, q), np.maximum(p, q), tested) if same else (p, q, tested)
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -177,7 +205,7 @@ def _matrix(vectors: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, sample: int = 4096, max_leaves: int = 512, block: int = 8192, block_bytes: int = 16 << 20) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, sample: int = 4096, max_leaves: int = 512, block: int = 4096, block_bytes: int = 16 << 20) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of vectors.
 
     n_links counts the other rows linked directly, copies included. Vectors that
@@ -248,7 +276,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         for _, unit in _groups(batches, 1):
             side, node, copies = (unit.column(k).to_numpy() for k in (1, 2, 3))
             split = int((side == 0).sum())
-            t = [Tree(_matrix(part.column(4).to_pylist(), width), *(np.array(part.column(k).to_pylist()) for k in (5, 6))) for part in (unit.slice(0, split), unit.slice(split)) if part.num_rows]
+            t = [Tree(_matrix(part.column(4).to_pylist(), width), *(part.column(k).flatten().to_numpy().reshape(part.num_rows, -1) for k in (5, 6))) for part in (unit.slice(0, split), unit.slice(split)) if part.num_rows]
             i, j, _ = close(t[0], t[1] if len(t) > 1 else None, cosine)
             j = j + split if len(t) > 1 else j
             links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
