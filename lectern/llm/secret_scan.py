@@ -215,7 +215,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
 def _posted(low: Column, trigrams: list[str]) -> Column:
     """Whether a text has a posting of one of these."""
-    return reduce(Column.__or__, (F.contains(low, F.lit(t)) for t in trigrams))
+    return _let(low, lambda x: reduce(Column.__or__, (F.contains(x, F.lit(t)) for t in trigrams)))
 
 
 def joined(spans: Column) -> Column:
