@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import text
 from lectern.plans.registry import query
-from lectern.sources.tables import read
+from lectern.sources.tables import dealt, read
 
 
 def quoted(x: str) -> str:
@@ -22,7 +22,7 @@ SENTENCES_SQL = r"list_filter(list_transform(string_split(regexp_replace(text, '
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    return dealt(spark, sf_dir, "documents")
 
 
 @query()
