@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import embedding_dedup, fingerprints, language_id, licenses, minhash_dedup, packing, quality, secret_scan, tokens
+from lectern.llm import embedding_dedup, fingerprints, language_id, licenses, minhash_dedup, packing, pieces, quality, secret_scan, tokens
 from lectern.llm._shared import table
 
 
@@ -46,6 +46,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -59,6 +63,7 @@ QUERIES = {
         op8_language_id,
         op9_minhash_dedup,
         op10_embedding_dedup,
+        op11_piece_round_trip,
     )
 }
 ORACLE_SQL = {"op1_secret_scan": secret_scan.oracle_sql()}
