@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import embedding_dedup, fingerprints, language_id, licenses, minhash_dedup, packing, pieces, quality, secret_scan, tokens
+from lectern.llm import centroids, embedding_dedup, fingerprints, language_id, licenses, minhash_dedup, packing, pieces, quality, secret_scan, tokens
 from lectern.llm._shared import table
 
 
@@ -50,6 +50,10 @@ def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +68,7 @@ QUERIES = {
         op9_minhash_dedup,
         op10_embedding_dedup,
         op11_piece_round_trip,
+        op12_centroid_clusters,
     )
 }
 ORACLE_SQL = {"op1_secret_scan": secret_scan.oracle_sql()}
