@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import centroids, embedding_dedup, fingerprints, language_id, licenses, minhash_dedup, packing, pieces, quality, secret_scan, tokens
+from lectern.llm import centroids, embedding_dedup, fingerprints, language_id, licenses, minhash_dedup, packing, pieces, quality, secret_scan, target_resampling, tokens
 from lectern.llm._shared import table
 
 
@@ -54,6 +54,10 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES = {
         op10_embedding_dedup,
         op11_piece_round_trip,
         op12_centroid_clusters,
+        op13_target_resampling,
     )
 }
 ORACLE_SQL = {"op1_secret_scan": secret_scan.oracle_sql()}
