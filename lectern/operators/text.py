@@ -249,3 +249,59 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     mark = F.regexp_extract("line", r"^(#+)\s", 1)
     kind = F.when(mark != "", "heading").when(F.col("line").rlike(r"^[-*•]\s"), "bullet").otherwise("paragraph")
     return line.select(id_col, "pos", kind.alias("kind"), F.least(F.length(mark), F.lit(3)).cast("long").alias("level"), T.strip(F.regexp_replace("line", r"^(?:#+|[-*•])\s", "")).alias("text"))
+
+
+def yake(docs: DataFrame, id_col: str, text_col: str, longest: int = 3, top: int = 10, alike: float = 0.9, stop: list[str] = T.STOP_WORDS) -> DataFrame:
+    """(id, phrase, score, rank): the keyphrases of each text by its own statistics alone, the lowest scores first.
+
+    A word's score sets its spread over sentences and its frequency against how freely
+    it combines with its neighbours and how late it stands; a phrase's score
+    multiplies its words' and divides by its frequency. A stop word within a phrase
+    counts by how fixed it is between its neighbours. Phrases hold letters only and
+    neither begin nor end with a stop word. One that is closer than `alike` (1 less the
+    edit distance over the longer length) to a better phrase is left out. Ties go by
+    phrase; texts without phrases, null or empty, give no row.
+    """
+    said = docs.select(F.col(id_col).alias("id"), F.posexplode(T.sentences(F.col(text_col))).alias("s", "sentence")).select("id", "s", T.tokens(F.col("sentence")).alias("t"))
+    place = said.select("id", "s", F.inline(F.transform("t", lambda x, i: F.struct(i.alias("p"), x.alias("w"), F.lower(F.get("t", i - 1)).alias("left"), F.lower(F.get("t", i + 1)).alias("right")))))
+    word = lambda c: F.when(F.col(c).rlike(rf"^{T.WORD}"), F.col(c))
+    place = place.where(F.col("w").rlike(rf"^{T.WORD}")).select("id", "s", "p", "w", F.lower("w").alias("word"), word("left").alias("left"), word("right").alias("right"))
+    acronym = F.col("w").rlike(r"^\p{Lu}{2,}$")
+    spread = lambda c: F.when(F.count(c) > 0, F.size(F.collect_set(c)) / F.count(c)).otherwise(0.0)
+    words = place.groupBy("id", "word").agg(
+        F.count("*").alias("tf"), F.count_if(acronym).alias("upper"), F.count_if(~acronym & F.col("w").rlike(r"^\p{Lu}") & (F.col("p") > 0)).alias("capital"), F.percentile("s", 0.5).alias("middle"), F.size(F.collect_set("s")).alias("sf"), (spread("left") + spread("right")).alias("free")
+    )
+    content = ~F.col("word").isin(stop)
+    tf = F.when(content, F.col("tf"))
+    about = words.groupBy("id").agg(F.max("tf").alias("most"), F.count(tf).alias("n"), F.sum(tf).alias("one"), F.sum(tf * tf).alias("two")).join(said.groupBy("id").agg(F.count("*").alias("sentences")), "id")
+    mean = F.col("one") / F.col("n")
+    usual = mean + F.sqrt(F.greatest(F.lit(0.0), F.col("two") / F.col("n") - mean * mean))
+    case = F.greatest("upper", "capital") / (1 + F.log("tf"))
+    relate = 1 + F.col("free") * F.col("tf") / F.col("most")
+    score = F.col("relate") * F.log(F.log(3 + F.col("middle"))) / (case + F.col("tf") / usual / F.col("relate") + F.col("sf") / F.col("sentences") / F.col("relate"))
+    scored = words.join(about.where("n > 0"), "id").withColumn("relate", relate).select("id", "word", "tf", content.alias("content"), score.alias("h"))
+
+    plain = F.transform("t", lambda x: F.when(x.rlike(r"^[\p{L}'’]+$"), F.lower(x)).otherwise("|"))
+    runs = said.select("id", plain.alias("t")).select("id", F.explode(F.concat(*(T.ngrams(F.col("t"), n) for n in range(1, longest + 1)))).alias("phrase"))
+    parts = F.split("phrase", " ")
+    phrases = runs.where(~F.contains("phrase", F.lit("|")) & ~F.get(parts, F.lit(0)).isin(stop) & ~F.element_at(parts, -1).isin(stop)).groupBy("id", "phrase").agg(F.count("*").alias("kf"))
+    each = phrases.select("id", "phrase", "kf", parts.alias("t")).select("id", "phrase", "kf", F.inline(F.transform("t", lambda x, i: F.struct(x.alias("word"), F.get("t", i - 1).alias("left"), F.get("t", i + 1).alias("right")))))
+    plainly = each.join(scored.where("content").select("id", "word", "h"), ["id", "word"]).select("id", "phrase", "kf", F.col("h").alias("times"), F.col("h").alias("plus"))
+    pairs = place.where("right IS NOT NULL").groupBy("id", "word", "right").agg(F.count("*").alias("n"))
+    of = scored.select("id", F.col("word").alias("outer"), F.col("tf").alias("outer_tf"))
+    before = pairs.select("id", F.col("word").alias("left"), F.col("right").alias("word"), F.col("n").alias("n_left"))
+    after = pairs.select("id", "word", "right", F.col("n").alias("n_right"))
+    inner = each.where(F.col("word").isin(stop)).join(before, ["id", "left", "word"]).join(after, ["id", "word", "right"])
+    inner = inner.join(of.withColumnsRenamed({"outer": "left", "outer_tf": "left_tf"}), ["id", "left"]).join(of.withColumnsRenamed({"outer": "right", "outer_tf": "right_tf"}), ["id", "right"])
+    loose = 1 - F.col("n_left") / F.col("left_tf") * F.col("n_right") / F.col("right_tf")
+    all_ = plainly.unionByName(inner.select("id", "phrase", "kf", (1 + loose).alias("times"), (-loose).alias("plus")))
+    ranked_ = all_.groupBy("id", "phrase").agg(F.round(F.product("times") / (F.max("kf") * (1 + F.sum("plus"))), 9).alias("score"))
+
+    def kept(best: Column, x: Column) -> Column:
+        near = F.exists(best, lambda b: 1 - F.levenshtein(b["phrase"], x["phrase"]) / F.greatest(F.length(b["phrase"]), F.length(x["phrase"])) > alike)
+        return F.when((F.size(best) >= top) | near, best).otherwise(F.concat(best, F.array(x)))
+
+    order = F.array_sort(F.collect_list(F.struct("score", "phrase")))
+    best = F.aggregate("all", F.array().cast("array<struct<score:double,phrase:string>>"), kept)
+    chosen = ranked_.groupBy("id").agg(order.alias("all")).select("id", best.alias("best"))
+    return chosen.select("id", F.posexplode("best").alias("k", "x")).select(F.col("id").alias(id_col), "x.phrase", "x.score", (F.col("k") + 1).cast("long").alias("rank"))

@@ -73,6 +73,34 @@ def rake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.rake(docs(spark, sf_dir), "doc_id", "text")
 
 
+YAKE_SQL = rf"""WITH sn AS (SELECT doc_id, unnest({SENTENCES_SQL}) AS sentence, unnest(range(len({SENTENCES_SQL}))) AS s FROM documents),
+tk AS (SELECT doc_id, s, regexp_extract_all(sentence, {quoted(T.TOKEN)}) AS t FROM sn),
+pl AS (SELECT doc_id, s, t, unnest(t) AS w, unnest(range(len(t))) AS p FROM tk),
+pw AS (SELECT doc_id, s, p, w, lower(w) AS word, CASE WHEN p > 0 AND regexp_matches(t[p], '^{T.WORD}') THEN lower(t[p]) END AS l, CASE WHEN regexp_matches(t[p + 2], '^{T.WORD}') THEN lower(t[p + 2]) END AS r FROM pl WHERE regexp_matches(w, '^{T.WORD}')),
+wd AS (SELECT doc_id, word, NOT list_contains({STOP_SQL}, word) AS content, count(*) AS tf, count(*) FILTER (regexp_matches(w, '^\p{{Lu}}{{{{2,}}}}$')) AS upper, count(*) FILTER (NOT regexp_matches(w, '^\p{{Lu}}{{{{2,}}}}$') AND regexp_matches(w, '^\p{{Lu}}') AND p > 0) AS capital, median(s) AS middle, count(DISTINCT s) AS sf,
+coalesce(count(DISTINCT l) / nullif(count(l), 0), 0) + coalesce(count(DISTINCT r) / nullif(count(r), 0), 0) AS free FROM pw GROUP BY doc_id, word),
+ab AS (SELECT doc_id, max(tf) AS most, count(*) FILTER (content) AS n, sum(tf) FILTER (content) AS one, sum(tf * tf) FILTER (content) AS two FROM wd GROUP BY doc_id),
+sc AS (SELECT doc_id, word, tf, content, 1 + free * tf / most AS relate, greatest(upper, capital) / (1 + ln(tf)) AS casing, ln(ln(3 + middle)) AS pos, one / n + sqrt(greatest(0, two / n - (one / n) * (one / n))) AS usual, sf / (SELECT count(*) FROM sn WHERE sn.doc_id = wd.doc_id) AS dif FROM wd JOIN ab USING (doc_id) WHERE n > 0),
+h AS (SELECT doc_id, word, tf, content, relate * pos / (casing + tf / usual / relate + dif / relate) AS h FROM sc),
+mk AS (SELECT doc_id, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[\p{{L}}''’]+$') THEN lower(x) ELSE '|' END) AS t FROM tk),
+ng AS (SELECT doc_id, unnest(t) AS phrase FROM mk UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM mk UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM mk),
+ph AS (SELECT doc_id, phrase, string_split(phrase, ' ') AS t, count(*) AS kf FROM ng WHERE NOT contains(phrase, '|') AND NOT list_contains({STOP_SQL}, string_split(phrase, ' ')[1]) AND NOT list_contains({STOP_SQL}, string_split(phrase, ' ')[-1]) GROUP BY doc_id, phrase),
+ea AS (SELECT doc_id, phrase, kf, t, unnest(t) AS word, unnest(range(len(t))) AS i FROM ph),
+bi AS (SELECT doc_id, word, r, count(*) AS n FROM pw WHERE r IS NOT NULL GROUP BY ALL),
+al AS (SELECT doc_id, phrase, kf, h AS times, h AS plus FROM ea JOIN h USING (doc_id, word) WHERE content
+UNION ALL SELECT e.doc_id, phrase, kf, 1 + (1 - a.n / x.tf * b.n / y.tf), -(1 - a.n / x.tf * b.n / y.tf) FROM ea e JOIN bi a ON a.doc_id = e.doc_id AND a.word = e.t[e.i] AND a.r = e.word JOIN bi b ON b.doc_id = e.doc_id AND b.word = e.word AND b.r = e.t[e.i + 2]
+JOIN h x ON x.doc_id = e.doc_id AND x.word = e.t[e.i] JOIN h y ON y.doc_id = e.doc_id AND y.word = e.t[e.i + 2] WHERE e.i > 0 AND list_contains({STOP_SQL}, e.word)),
+rk AS (SELECT doc_id, phrase, round(product(times) / (max(kf) * (1 + sum(plus))), 9) AS score FROM al GROUP BY doc_id, phrase),
+li AS (SELECT doc_id, list([{{{{'score': score, 'phrase': phrase}}}}] ORDER BY score, phrase) AS l FROM rk GROUP BY doc_id),
+be AS (SELECT doc_id, list_reduce(l, lambda b, x: CASE WHEN len(b) >= 10 OR len(list_filter(b, lambda y: 1 - levenshtein(y.phrase, x[1].phrase) / greatest(length(y.phrase), length(x[1].phrase)) > 0.9)) > 0 THEN b ELSE list_concat(b, x) END) AS b FROM li)
+SELECT doc_id, unnest(b).phrase AS phrase, unnest(b).score AS score, unnest(range(1, len(b) + 1)) AS rank FROM be""".replace("{{", "{").replace("}}", "}")
+
+
+@query(YAKE_SQL)
+def yake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.yake(docs(spark, sf_dir), "doc_id", "text")
+
+
 VOCAB_SQL = f"""vocab AS (SELECT token, count(*) AS n FROM (SELECT unnest({TERMS_SQL}) AS token FROM documents) GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 19998)"""
 
 
