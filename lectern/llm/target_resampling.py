@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import _text
-from lectern.llm._shared import save
+from lectern.llm._shared import discard, save
 
 BUCKETS, HEAD, PAIRS = 10_000, 1 << 14, 1 << 15
 _WORD = np.zeros(256, bool)
@@ -180,10 +180,18 @@ def buckets_of(words: Words, head: Head, slots: np.ndarray, orders: int, buckets
         yield out[inside], total[np.minimum(words.bounds, len(inside))]
 
 
-def _top(counts: DataFrame, n: int) -> list:
-    """The n most frequent keys; their choice changes no result, but ties are broken so that it can be repeated."""
+def _top(counts: DataFrame, most: int) -> list:
+    """Keys seen more than once, the most frequent ones, as many as whole bins of the logarithm of the count hold without passing `most`: so many rows and one a bin reach the driver. The choice changes no result."""
     keys = [c for c in counts.columns if c != "n"]
-    return counts.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), *keys).limit(n).collect()
+    total = save(counts.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 1").withColumn("bin", F.floor(F.log2("n") * 64)), "counts")
+    rows, least = 0, None
+    for r in sorted(total.groupBy("bin").agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["bin"]):
+        if (rows := rows + r.rows) > most:
+            break
+        least = r["bin"]
+    found = total.where(F.col("bin") >= least).collect() if least is not None else []
+    discard(total)
+    return found
 
 
 def head_of(texts: DataFrame, orders: int = 1, buckets: int = BUCKETS, size: int = HEAD, pairs: int = PAIRS) -> Head:
