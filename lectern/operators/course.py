@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.ranks import ranked
+from lectern.operators.spans import within
 
 
 def owned(rows: DataFrame, asked: DataFrame, owner: str, id_col: str) -> DataFrame:
@@ -16,18 +17,18 @@ def owned(rows: DataFrame, asked: DataFrame, owner: str, id_col: str) -> DataFra
     return asked.select(owner, id_col).distinct().join(have, [owner, id_col], "left").select(owner, id_col, F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def pages_by_label(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(label, pages): the different (document, page) of each topic, section and key term, sorted, as 'document:page' strings.
+def pages_by_label(rows: DataFrame, terms: DataFrame, width: int = 64) -> DataFrame:
+    """(label, document, page): the different pages of each topic, section and key term, a row each, as a label may have any number.
 
     rows has (topic, section, document, page, first, last, text), terms (document,
     term, page): a term counts where its page lies within the row's and the text
-    holds it, whatever its case. Null labels are none.
+    holds it, whatever its case. Terms meet only rows whose pages are near theirs.
+    Null labels are none.
     """
     plain = [rows.select(F.col(c).alias("label"), "document", "page") for c in ("topic", "section")]
-    held = rows.join(terms.select("document", "term", F.col("page").alias("__at")), "document").where(F.col("__at").between(F.col("first"), F.col("last")) & F.contains(F.lower("text"), F.lower("term")))
-    every = plain[0].unionByName(plain[1]).unionByName(held.select(F.col("term").alias("label"), "document", "page")).where("label IS NOT NULL").distinct()
-    pages = F.transform(F.array_sort(F.collect_list(F.struct("document", "page"))), lambda x: F.concat_ws(":", x["document"], x["page"]))
-    return every.groupBy("label").agg(F.array_join(pages, ",").alias("pages"))
+    near = within(rows.select("document", "page", "first", "last", F.lower("text").alias("text")), terms.select("document", "term", F.col("page").alias("at")), "document", "at", "first", "last", width)
+    held = near.where(F.contains("text", F.lower("term")))
+    return plain[0].unionByName(plain[1]).unionByName(held.select(F.col("term").alias("label"), "document", "page")).where("label IS NOT NULL").distinct()
 
 
 def syllabus_analytics(topics: DataFrame, answers: DataFrame, least: int = 3, good: float = 70.0) -> DataFrame:

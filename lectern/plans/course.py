@@ -35,7 +35,7 @@ def ownership_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOP_SQL}, r AS (SELECT doc_id, lang AS topic, CASE WHEN doc_id % 3 > 0 THEN source END AS section, doc_id % 50 AS document, doc_id AS page, doc_id - 20 AS first, doc_id + 20 AS last, text FROM documents),
 k AS (SELECT doc_id % 50 AS document, term, doc_id AS page FROM top WHERE rank <= 2),
 e AS (SELECT topic AS label, document, page FROM r UNION SELECT section, document, page FROM r UNION SELECT term, r.document, r.page FROM r JOIN k ON r.document = k.document AND k.page BETWEEN first AND last AND contains(lower(text), lower(term)))
-SELECT label, string_agg(document || ':' || page, ',' ORDER BY document, page) AS pages FROM e WHERE label IS NOT NULL GROUP BY label""")
+SELECT * FROM e WHERE label IS NOT NULL""")
 def topic_source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages as topics, sources as sections, and each document's two best terms."""
     d = docs(spark, sf_dir)

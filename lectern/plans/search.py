@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import metrics, retrieval
+from lectern.operators import answers, metrics, retrieval
 from lectern.plans.registry import query
-from lectern.plans.texts import STOP_SQL, TFIDF_SQL, docs
+from lectern.plans.texts import SENTENCES_SQL, STOP_SQL, TFIDF_SQL, docs
 from lectern.sources.tables import read
 
 QTERMS_SQL = f"""qt AS (SELECT item_id AS query_id, term, count(*) AS q FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '{T.WORD}{{2,}}'), lambda x: NOT list_contains({STOP_SQL}, x))) AS term FROM benchmark) GROUP BY ALL)"""
@@ -67,6 +67,38 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(joined, f1, 5, most=10).drop("question", "words")
 
 
+_NEAR = "len(list_filter(asked[greatest(1, i - 8):i + 8], lambda x: x))"
+_BASE = f"0.5 * {_NEAR} + CASE WHEN NOT asked[i] AND NOT list_contains({STOP_SQL}, lower(words[i].txt)) THEN 1.0 ELSE -2.0 END + CASE WHEN regexp_matches(words[i].txt, '^[\\p{{Lu}}\\p{{N}}]') THEN 0.5 ELSE 0.0 END"
+_TOP = lambda field: f"list_sort(list_transform(tokens, lambda t, i: {{'s': -t.{field}, 'i': i - 1}}))[1:20]"
+_SHARE = lambda field, at: f"exp(tokens[{at} + 1].{field} - list_max(list_transform(tokens, lambda t: t.{field}))) / list_sum(list_transform(tokens, lambda t: exp(t.{field} - list_max(list_transform(tokens, lambda u: u.{field})))))"
+ANSWERS_SQL = rf"""{BM25_SQL}, few AS (SELECT query_id, doc_id, rank FROM bm25 WHERE rank <= 3), qv AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY query_id),
+se AS (SELECT doc_id, {SENTENCES_SQL} AS s FROM documents JOIN (SELECT DISTINCT doc_id FROM few) USING (doc_id)), pa AS (SELECT doc_id, unnest(range((len(s) + 7) // 8)) AS passage, s FROM se),
+pc AS (SELECT query_id, doc_id, rank, passage, terms, array_to_string(s[passage * 8 + 1:passage * 8 + 8], ' ') AS context FROM few JOIN pa USING (doc_id) JOIN qv USING (query_id)),
+pi AS (SELECT *, regexp_extract_all(context, '{answers.PIECE}') AS pieces FROM pc),
+pw AS (SELECT *, list_filter(list_transform(pieces, lambda p, i: {{'txt': p, 'start': length(array_to_string(pieces[1:i - 1], '')), 'tail': coalesce(pieces[i + 1], '')}}), lambda x: regexp_matches(x.txt, '^{T.WORD}')) AS words FROM pi),
+pq AS (SELECT *, list_transform(words, lambda w: list_contains(terms, lower(w.txt))) AS asked FROM pw),
+tk AS (SELECT query_id, doc_id, rank, passage, context, list_transform(range(1, len(words) + 1), lambda i: {{'start': words[i].start, 'stop': words[i].start + length(words[i].txt), 's': 4.0 * ({_BASE}), 'f': 4.0 * ({_BASE} + CASE WHEN words[i].tail = ' ' THEN 0.0 ELSE 0.25 END)}}) AS tokens FROM pq WHERE len(words) > 0),
+tp AS (SELECT *, {_TOP("s")} AS a, {_TOP("f")} AS b FROM tk),
+sp AS (SELECT *, list_max(flatten(list_transform(a, lambda x: list_transform(list_filter(b, lambda y: y.i >= x.i AND y.i - x.i < 30), lambda y: {{'score': -x.s - y.s, 'i': x.i, 'j': y.i}})))) AS best FROM tp),
+an AS (SELECT query_id, doc_id, rank, passage, round({_SHARE("s", "best.i")} * {_SHARE("f", "best.j")}, 6) AS confidence, tokens[best.i + 1].start AS starts, tokens[best.j + 1].stop AS stops, substring(context, tokens[best.i + 1].start + 1, tokens[best.j + 1].stop - tokens[best.i + 1].start) AS answer FROM sp WHERE best IS NOT NULL),
+be AS (SELECT * FROM an WHERE confidence >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, rank, doc_id, passage) = 1)"""
+
+
+@query(f"""WITH {ANSWERS_SQL} SELECT item_id AS query_id, be.query_id IS NOT NULL AS found, coalesce(answer, '{answers.NOT_FOUND}') AS answer, confidence, starts AS begins, stops AS ends, doc_id, passage,
+CASE WHEN be.query_id IS NULL THEN '{answers.NOT_FOUND}' ELSE answer || ' [doc_' || doc_id || ', p.' || (passage + 1) || ']' END AS reply FROM benchmark LEFT JOIN be ON be.query_id = item_id""")
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to the benchmark items from the passages of the three best documents by BM25, with a lexical reader."""
+    d, q = docs(spark, sf_dir), questions(spark, sf_dir)
+    few = retrieval.top_k(retrieval.bm25(d, q), 3).select("query_id", "doc_id", "rank")
+    terms = q.select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("terms"))
+    parts = answers.passages(d.join(few.select("doc_id").distinct(), "doc_id"), "doc_id", "text")
+    rows = parts.join(few, "doc_id").join(terms, "query_id")
+    read_ = rows.select("query_id", "context", F.struct("rank", "doc_id", "passage").alias("place"), answers.lexical_reader(F.col("context"), F.col("terms")).alias("tokens"))
+    out = answers.extract(q, read_)
+    reply = F.when(F.col("found"), F.concat("answer", F.lit(" [doc_"), "doc_id", F.lit(", p."), F.col("passage") + 1, F.lit("]"))).otherwise(F.col("answer"))
+    return out.select("query_id", "found", "answer", "confidence", F.col("begin").alias("begins"), F.col("end").alias("ends"), "place.doc_id", "place.passage").withColumn("reply", reply)
+
+
 DENSE_SQL = """q AS (SELECT vec_id AS query_id, embedding AS e, label AS q_label FROM embeddings WHERE vec_id % 50 = 0),
 ds AS (SELECT query_id, q_label, vec_id AS doc_id, label, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> query_id),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds WHERE score > 0)"""
