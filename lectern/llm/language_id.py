@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.llm import _text
 
@@ -127,13 +128,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     hits = np.diff(np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])[bounds])
                     shares[:, k] = np.clip((hits / n - rate) / (1 - rate), 0, 1)
                 best[first:last], share[first:last] = shares.argmax(1), shares.max(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(m.languages, object)[best], pa.string()), pa.array(share), pa.array(total)], ["row", "lang_pred", "score", "n_grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(m.languages, object)[best], pa.string()), pa.array(share), pa.array(total)], ["given", "lang_pred", "score", "n_grams"])
 
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters")).alias("row"), F.col(text_col).alias("text"))
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    given = docs.select(F.struct(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), letters).alias("given"), F.col(text_col).alias("text"))
     if not model.languages:
-        return given.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_grams"))
-    out = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_grams bigint")
-    return out.select("row", F.when(F.col("row.__letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("row.__letters"), F.col("score")).otherwise(0.0).alias("score"), "n_grams")
+        return given.select("given.row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_grams"))
+    out = given.mapInArrow(run, StructType([given.schema["given"]]).add("lang_pred", "string").add("score", "double").add("n_grams", "long"))
+    return out.select("given.row", F.when(F.col("given.letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("given.letters"), F.col("score")).otherwise(0.0).alias("score"), "n_grams")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -299,6 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their group."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of docs, with all their columns, that are the first of their group. Rows without an id stay, as do repeated rows of one that stays."""
+    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col).where("not kept").select(F.col(id_col).alias("gone")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.llm import _text
 from lectern.llm._shared import save
@@ -98,7 +99,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums)], ["row", "n_grams", "units"])
 
     given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    out = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, n_grams bigint, units bigint")
+    out = given.mapInArrow(run, StructType([given.schema["row"]]).add("n_grams", "long").add("units", "long"))
     weight = F.when(F.col("n_grams") > 0, F.col("units") / F.lit(UNIT))
     return out.select("row", "n_grams", weight.alias("log_weight"), (weight + _gumbel(F.col(f"row.`{id_col}`"), seed)).alias("gumbel_key"))
 

@@ -3,6 +3,7 @@
 import __spark_entry__ as entry
 import corpus_pipeline
 from lectern.llm import language_id, packing, quality, secret_scan
+from pyspark.sql import functions as F
 from test_near_duplicates import joined, shingles
 from test_secret_scan import brute
 
@@ -52,6 +53,33 @@ def test_stage_by_stage(spark, sf):
     assert language_id.UNKNOWN not in {r.lang for r in safe.collect()}
 
 
+CLASHES = ("__gone", "__letters", "gone", "letters", "row", "id", "text2", "found", "given", "score", "n", "a.b", "lang_pred", "kept")
+
+
+def test_nulls_repeats_empty_tables_and_clashing_columns(spark, sf):
+    """Each stage on rows without id, text or language, repeated rows, and columns named as the operators name theirs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    odd = spark.createDataFrame([(None, docs.first().text, None, None, 5), (None, None, "en", "s", None), (5001, None, None, None, None), (5002, "", "fr", "s", 0), (5003, " ... ", "fr", "s", 5)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(docs.limit(3)).unionByName(odd)
+    more = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHES))).cache()
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, docs, sf), stage(spark, more, sf)
+        assert plain.columns == docs.columns and wide.columns == more.columns, name
+        want = rows(plain)
+        assert rows(wide.select(*docs.columns)) == want, name
+        assert rows(wide.select(*(F.col(f"`{c}`") for c in CLASHES)).distinct()) == [tuple(range(len(CLASHES)))], name
+        assert rows(stage(spark, docs.limit(0), sf)) == [], name
+        if name != "secrets":
+            assert set(want) <= set(rows(docs)), name
+    ids = [r.doc_id for r in corpus_pipeline.keep_one(spark, docs, sf).collect()]
+    assert ids.count(None) == 4 and ids.count(5001) == ids.count(5002) == 2
+    assert not {5001, 5002, 5003} & {r.doc_id for r in corpus_pipeline.keep_identified(spark, docs, sf).collect()}
+    assert corpus_pipeline.pack(spark, docs.limit(0), sf).count() == 0
+    lengths = corpus_pipeline.pack(spark, docs, sf).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r.n == r.end <= 1024 for r in lengths)
+
+
 def test_registered():
     names = list(entry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
