@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import language_id, minhash_dedup, packing, quality, secret_scan
-from lectern.llm._shared import save, table
+from lectern.llm._shared import discard, save, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's table is removed when the next one's is written; the result is read from what pack() wrote."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*before)
+        before = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return out
