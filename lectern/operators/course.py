@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.similar import ratio
 from lectern.operators.ranks import ranked
 from lectern.operators.spans import within
 
@@ -120,6 +121,28 @@ def chunk_fingerprint(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return chunks.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(text, 256))), "\n"), 256).alias("fingerprint"))
 
 
+def closest_labels(queries: DataFrame, labels: DataFrame, most: int = 3, spelling: float = 0.25) -> DataFrame:
+    """(query_id, label, score, rank, place): for each query (query_id, text) the best of the labels (label, place) that share a word with it.
+
+    The score is the share of a label's words that the query has, plus `spelling` times
+    the likeness of both lists of words in alphabetical order. Words are runs of a-z
+    and 0-9 in lower case; a label has three characters or more. Labels that differ in
+    case are one, with the smallest spelling and place. Only labels that can still be among the best are compared by
+    letters. Ties go by label.
+    """
+    words = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))))
+    named = labels.where(F.length(T.strip(F.col("label"))) >= 3).groupBy(F.lower(T.strip(F.col("label"))).alias("key")).agg(F.min(T.strip(F.col("label"))).alias("label"), F.min("place").alias("place")).withColumn("words", words(F.col("key")))
+    asked = queries.select("query_id", words(F.col("text")).alias("asked"))
+    shared = asked.select("query_id", F.explode("asked").alias("word")).join(named.select("key", F.size("words").alias("n"), F.explode("words").alias("word")), "word")
+    overlap = shared.groupBy("query_id", "key", "n").agg((F.count("*") / F.col("n")).alias("overlap"))
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "key"))
+    least = overlap.withColumn("number", number).where(F.col("number") <= most).groupBy("query_id").agg(F.when(F.max("number") == most, F.min("overlap")).otherwise(0.0).alias("least"))
+    near = overlap.join(least, "query_id").where(F.col("overlap") + spelling >= F.col("least")).join(asked, "query_id").join(named, "key")
+    scored = near.withColumn("score", F.round(F.col("overlap") + spelling * ratio(F.array_join("words", " "), F.array_join("asked", " ")), 6))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key")).cast("long")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "label", "score", "rank", "place")
+
+
 def nearest_labels(queries: DataFrame, labels: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, label, score, rank): the labels that hold the greatest share of a query's terms. queries has (query_id, term), labels (label, term), once each."""
     size = queries.groupBy("query_id").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.similar import close_spellings
 from lectern.operators import analytics, assessment, course, evidence, metrics, retrieval, spans, tables, text
 from lectern.plans.registry import query
 from lectern.plans.search import DENSE_SQL, hits, vector_queries
@@ -128,6 +129,20 @@ def nearest_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course.nearest_labels(words(read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text"), words(labels, "label", "title"))
 
 
+@query()
+def closest_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' headings nearest to each benchmark item by words and spelling, and the first page of each."""
+    labels = text.headings(read(spark, sf_dir, "pages")).select(F.col("title").alias("label"), F.col("page_id").alias("place"))
+    return course.closest_labels(read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), labels)
+
+
+@query()
+def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close spellings, from the documents' words that occur five times or more, of words of the conversations that are none of these."""
+    words = lambda df, least: df.select(F.explode(T.terms(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return close_spellings(words(read(spark, sf_dir, "conversations"), 1), words(docs(spark, sf_dir), 5))
+
+
 @query(f"""WITH {TOP_SQL}, {SROWS_SQL}, o AS (SELECT doc_id, sentence, min(pos) AS pos FROM sr GROUP BY doc_id, sentence), p AS (SELECT doc_id, 'point' AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number, sentence AS text FROM o QUALIFY number <= 3),
 e AS (SELECT doc_id, 'example' AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number, sentence AS text FROM o WHERE regexp_matches(lower(sentence), '{T.whole("est|ist|was|son")}') QUALIFY number <= 3)
 SELECT doc_id, 'term' AS kind, rank AS number, term AS text FROM top WHERE rank <= 5 UNION ALL SELECT * FROM p UNION ALL SELECT * FROM e""")
