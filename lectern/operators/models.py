@@ -1,6 +1,7 @@
 """Stems, word vectors, projections: what needs a model or a rule engine."""
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -61,12 +62,89 @@ def porter(word: str) -> str:
     return word[:-1] if measure(word) > 1 and double(word) and word.endswith("l") else word
 
 
-def stemmed(terms: DataFrame, col: str) -> DataFrame:
+# The word lists and suffix rules of the published English Snowball algorithm.
+WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+AS_THEY_ARE = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+LONG_STARTS = ("gener", "commun", "arsen")
+SNOWBALL_2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
+SNOWBALL_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+SNOWBALL_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
+_SHORT = re.compile("(?:^|.*[^aeiouy])[aeiouy][^aeiouywxY]$|^[aeiouy][^aeiouy]$")
+
+
+def _end(word: str, ends: Iterable[str]) -> str:
+    """The longest of the ends that the word has, or none."""
+    return max((e for e in ends if word.endswith(e)), key=len, default="")
+
+
+def snowball(word: str) -> str:
+    """The English Snowball stem (Porter's second algorithm) of a lower-case word. Words of other letters, or of two letters or fewer, are their own."""
+    word = word.replace("\u2019", "'")
+    if not re.fullmatch("[a-z']{3,}", word):
+        return word
+    word = word.removeprefix("'")
+    if word in WHOLE:
+        return WHOLE[word]
+    word = re.sub("(^|[aeiouy])y", r"\1Y", word)
+
+    def after(begin: int) -> int:
+        """Where the region begins that follows the first non-vowel after a vowel."""
+        m = re.compile("[aeiouy][^aeiouy]").search(word, begin)
+        return m.end() if m else len(word)
+
+    start = next((len(p) for p in LONG_STARTS if word.startswith(p)), None)
+    r1 = after(0) if start is None else start
+    r2 = after(r1)
+    holds = lambda end, region: len(word) - len(end) >= region
+
+    word = word.removesuffix(_end(word, ("'", "'s", "'s'")))
+    match _end(word, ("sses", "ied", "ies", "us", "ss", "s")):
+        case "sses":
+            word = word[:-2]
+        case "ied" | "ies":
+            word = word[:-2] if len(word) > 4 else word[:-1]
+        case "s" if re.search("[aeiouy].", word[:-1]):
+            word = word[:-1]
+    if word in AS_THEY_ARE:
+        return word
+    end = _end(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if end.startswith("eed"):
+        if holds(end, r1):
+            word = word.removesuffix(end) + "ee"
+    elif end and re.search("[aeiouy]", word.removesuffix(end)):
+        word = word.removesuffix(end)
+        if word.endswith(("at", "bl", "iz")):
+            word += "e"
+        elif word.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
+            word = word[:-1]
+        elif len(word) <= r1 and _SHORT.match(word):
+            word += "e"
+    if re.search(".[^aeiouy][yY]$", word):
+        word = word[:-1] + "i"
+    end = _end(word, SNOWBALL_2)
+    if end and holds(end, r1) and (end != "ogi" or word.endswith("logi")) and (end != "li" or word[-3] in "cdeghkmnrt"):
+        word = word.removesuffix(end) + SNOWBALL_2[end]
+    end = _end(word, SNOWBALL_3)
+    if end and holds(end, r2 if end == "ative" else r1):
+        word = word.removesuffix(end) + SNOWBALL_3[end]
+    end = _end(word, SNOWBALL_4)
+    if end and holds(end, r2) and (end != "ion" or word.endswith(("sion", "tion"))):
+        word = word.removesuffix(end)
+    if word.endswith("e") and (holds("e", r2) or holds("e", r1) and not _SHORT.match(word[:-1])) or word.endswith("ll") and holds("l", r2):
+        word = word[:-1]
+    return word.replace("Y", "y")
+
+
+STEMMERS = {"porter": porter, "snowball": snowball}
+
+
+def stemmed(terms: DataFrame, col: str, algorithm: str = "porter") -> DataFrame:
     """With stem, by an Arrow-batched function over the (distinct) terms."""
+    of = STEMMERS[algorithm]
 
     @F.pandas_udf("string")
     def stem(words: pd.Series) -> pd.Series:
-        return words.map(porter)
+        return words.map(of, na_action="ignore")
 
     return terms.withColumn("stem", stem(col))
 

@@ -111,6 +111,46 @@ def dense_top_k(items: DataFrame, queries: DataFrame, k: int, first: int | None
     return top_k(near, k)
 
 
+def dense_top_k_within(items: DataFrame, queries: DataFrame, k: int, owner: str = "owner", document: str = "document", query_rows: int = 4096, item_rows: int = 65_536) -> DataFrame:
+    """(query_id, doc_id, score, rank) by cosine among the query's owner's items alone, and among its documents where it names some.
+
+    items has (vec_id, owner, document, embedding), queries (query_id, owner, documents
+    array or null, embedding). An owner's items and queries are cut into blocks by
+    hash, as many as the owner has need of, and a task compares one block of each; a
+    query is never compared with other owners' items. Ties go by item; null vectors
+    and owners find nothing.
+    """
+
+    def best(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(f):
+            x = np.array([np.asarray(v, float) for v in f.embedding])
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            ids, of = f.vec_id.to_numpy(), f.document.to_numpy()
+            for query, documents, v in zip(q.query_id, q.documents, q.embedding, strict=True):
+                v = np.asarray(v, float)
+                may = ids != query if documents is None else (ids != query) & np.isin(of, documents)
+                s = np.round(x[may] @ (v / max(np.linalg.norm(v), 1e-300)), 6)
+                order = np.lexsort((ids[may], -s))[:k]
+                out.append(pd.DataFrame({"query_id": query, "doc_id": ids[may][order], "score": s[order]}))
+        return pd.concat(out)
+
+    held = items.where(f"embedding IS NOT NULL AND {owner} IS NOT NULL").select(F.col("vec_id").alias("vec_id"), F.col(owner).alias("of"), F.col(document).alias("document"), F.col("embedding").alias("embedding"))
+    asked = queries.where(f"embedding IS NOT NULL AND {owner} IS NOT NULL").select(F.col("query_id").alias("query_id"), F.col(owner).alias("of"), F.col("documents").alias("documents"), F.col("embedding").alias("embedding"))
+    blocks = lambda df, rows, n: df.groupBy("of").agg(F.ceil(F.count("*") / rows).cast("int").alias(n))
+    sizes = blocks(held, item_rows, "ni").join(blocks(asked, query_rows, "nq"), "of")
+    cut = lambda df, key, own, n, other, m: df.join(sizes, "of").withColumn(own, F.pmod(F.xxhash64(key), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("ni", "nq")
+    q, i = cut(asked, "query_id", "qb", "nq", "ib", "ni"), cut(held, "vec_id", "ib", "ni", "qb", "nq")
+    near = q.groupBy("of", "qb", "ib").cogroup(i.groupBy("of", "qb", "ib")).applyInPandas(best, "query_id bigint, doc_id bigint, score double")
+    return top_k(near, k)
+
+
+def latest(rows: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
+    """(key, at, ...): each key's row of the latest time, such as the last saved model of a document; of several at once the one of the greatest columns. Rows without a time count as the oldest."""
+    best = F.max(F.struct(F.col(at), *columns))
+    return rows.groupBy(key).agg(best.alias("__b")).select(key, *(F.col(f"__b.{c}") for c in (at, *columns)))
+
+
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
     """(id, embedding) by a built-in encoder: TF-IDF weights of a text's terms, summed by the terms' digest modulo the size and scaled to length 1.
 

@@ -33,6 +33,19 @@ def runs(rows: DataFrame, key: str, pos: str, label: str, text: str) -> DataFram
     return held.withColumn("island", island).groupBy(key, label, "island").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.array_join(words, " ").alias("text")).drop("island")
 
 
+def aligned_labels(pieces: DataFrame, words: DataFrame, key: str, ignored: int = -100, width: int = 1024) -> DataFrame:
+    """(key, pos, label): a word's label on the first of the pieces that begin within it, `ignored` on its others and on pieces outside words.
+
+    pieces has (key, pos, begin, end), words (key, begin, end, label), in places of the
+    key's text, ends exclusive; a piece that begins with blanks gives the place after
+    them. Pieces meet only words near them. A null label, or a piece of no length, is ignored.
+    """
+    held = words.where("end > begin AND label IS NOT NULL").select(key, F.col("begin").alias("__first"), (F.col("end") - 1).alias("__last"), "label")
+    met = within(held, pieces.where("end > begin").select(key, "pos", "begin"), key, "begin", "__first", "__last", width)
+    first = met.groupBy(key, "__first").agg(F.min(F.struct("begin", "pos", "label")).alias("b")).select(key, F.col("b.pos").alias("pos"), "b.label")
+    return pieces.select(key, "pos").join(first, [key, "pos"], "left").select(key, "pos", F.coalesce("label", F.lit(ignored)).alias("label"))
+
+
 def stride_windows(rows: DataFrame, key: str, n: str, length: int = 384, stride: int = 128) -> DataFrame:
     """(key, window, first, last): windows of so many of n places, each beginning `stride` before the end of the one before; none of 0 places."""
     step = length - stride

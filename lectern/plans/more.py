@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import metrics, models, ranks, spans, text
+from lectern.operators import answers, metrics, models, ranks, spans, text
 from lectern.plans.registry import query
 from lectern.plans.texts import STOP_SQL, docs
 from lectern.sources.tables import read
@@ -135,3 +135,28 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PCA to two dimensions and KMeans."""
     return models.project(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def snowball_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Snowball stem of each term of all documents, by its frequency."""
+    t = docs(spark, sf_dir).select(F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return models.stemmed(t, "term", "snowball")
+
+
+ALIGNED_SQL = rf"""WITH t AS (SELECT conv_id * 1000 + turn AS key, regexp_extract_all(text, '{T.WORD}+|[^a-zA-Z0-9_\p{{L}}\p{{N}}]+') AS p FROM conversations),
+x AS (SELECT key, unnest(list_transform(p, lambda w, i: {{'word': w, 'begin': coalesce(length(array_to_string(p[1:i - 1], '')), 0)}}), recursive := true) FROM t),
+w AS (SELECT key, word, "begin", CASE WHEN regexp_matches(word, '^[\p{{Lu}}]') THEN 1 WHEN regexp_matches(word, '^[\p{{N}}]') THEN 2 ELSE 0 END AS label FROM x WHERE regexp_matches(word, '^{T.WORD}')),
+c AS (SELECT key, unnest(range((length(word) + 3) // 4)) AS k, word, "begin", label FROM w)
+SELECT key, "begin" + 4 * k AS pos, CASE WHEN k = 0 THEN label ELSE -100 END AS label FROM c"""
+
+
+@query(ALIGNED_SQL)
+def aligned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns' words, labelled by their first letter, and pieces of up to four letters of them."""
+    t = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.regexp_extract_all("text", F.lit(answers.PIECE), F.lit(0)).alias("p"))
+    each = t.select("key", F.inline(F.transform("p", lambda w, i: F.struct(w.alias("word"), F.length(F.array_join(F.slice("p", F.lit(1), i), "")).alias("begin")))))
+    label = F.when(F.col("word").rlike(r"^\p{Lu}"), 1).when(F.col("word").rlike(r"^\p{N}"), 2).otherwise(0)
+    words = each.where(F.col("word").rlike(rf"^{T.WORD}")).select("key", F.col("begin").cast("long"), (F.col("begin") + F.length("word")).cast("long").alias("end"), label.alias("label"))
+    pieces = words.select("key", "end", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(4).cast("long"))).alias("begin")).select("key", F.col("begin").alias("pos"), "begin", F.least(F.col("begin") + 4, "end").alias("end"))
+    return spans.aligned_labels(pieces, words, "key")

@@ -115,6 +115,22 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_top_k(e, q, 10)
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, label AS owner, CASE WHEN vec_id % 100 = 0 THEN [vec_id % 7, (vec_id + 1) % 7] END AS documents, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings ON label = owner AND vec_id <> query_id AND (documents IS NULL OR list_contains(documents, vec_id % 7)))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def owned_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search among the vectors of the query's label, and for every other query in two of seven documents."""
+    e = read(spark, sf_dir, "embeddings").withColumnsRenamed({"label": "owner"}).withColumn("document", F.col("vec_id") % 7)
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "owner", F.when(F.col("vec_id") % 100 == 0, F.array(F.col("vec_id") % 7, (F.col("vec_id") + 1) % 7)).alias("documents"), "embedding")
+    return retrieval.dense_top_k_within(e, q, 10)
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_type, event_id)) AS event_type, arg_max(event_id, (ts, event_type, event_id)) AS event_id FROM events GROUP BY user_id")
+def latest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each learner's latest event, as the latest model of a document."""
+    return retrieval.latest(read(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id")
+
+
 def hits(e: DataFrame, q: DataFrame, ranked: DataFrame) -> DataFrame:
     labels = e.select(F.col("vec_id").alias("doc_id"), "label")
     return ranked.join(labels, "doc_id").join(q.select("query_id", F.col("label").alias("q_label")), "query_id").withColumn("hit", F.col("label") == F.col("q_label"))
