@@ -120,6 +120,49 @@ def first_hit_windows(df: DataFrame, key: str, seconds: int = 60, most: int = 10
     return df.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, n bigint, allowed boolean", "start bigint, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def provider_gate(df: DataFrame, key: str, tokens: str, requests_a_minute: int | None = None, tokens_a_minute: int | None = None, seconds: int = 60) -> DataFrame:
+    """Stream: (key, ts, tokens, decision): each request is sent, refused for the limit, or skipped while the key cools down.
+
+    A counter of requests and tokens begins with a key's first request and anew with
+    the first one after so many seconds. A request that would go beyond either limit
+    is a `limit` and is not counted; it makes the key cool down for what is left of
+    the counter's time, in whole seconds and one at least, in which all requests are
+    `cooldown`. The state of a key is its counter and the end of its cool-down, which
+    outlives the batch and the counter. Null tokens count 0. Requests of a batch are
+    taken in the order of their times, so a stream that brings them in order gives
+    what one batch gives.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    unit = 1_000_000
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, requests, used, until = state.get if state.exists else (None, 0, 0, 0)
+        rows = pd.concat(list(frames))
+        rows = rows.assign(at=rows.ts.astype("datetime64[us]").astype("int64"), n=rows[tokens].fillna(0).astype("int64")).sort_values(["at", "n"], kind="stable")
+        said = []
+        for t, n in zip(rows["at"].tolist(), rows["n"].tolist(), strict=True):
+            if t < until:
+                said.append("cooldown")
+                continue
+            if start is None or t - start >= seconds * unit:
+                start, requests, used = t, 0, 0
+            if (requests_a_minute and requests >= requests_a_minute) or (tokens_a_minute and used + n > tokens_a_minute):
+                until = t + max(1, seconds - (t - start) // unit) * unit
+                said.append("limit")
+            else:
+                requests, used = requests + 1, used + n
+                said.append("sent")
+        state.update((start, requests, used, until))
+        state.setTimeoutDuration(2 * max(1, seconds) * 1000)
+        yield pd.DataFrame({key: [k[0]] * len(rows), "ts": pd.to_datetime(rows["at"], unit="us"), "tokens": rows["n"], "decision": said})
+
+    asked = df.select(key, "ts", tokens)
+    return asked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, tokens bigint, decision string", "start bigint, requests bigint, used bigint, until bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 # The states of an ingestion in their order, with the progress that each stands for.
 STATES = {"queued": 0, "extracting": 10, "processing": 40, "indexing": 80, "ready": 100, "failed": 100}
 

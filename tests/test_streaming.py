@@ -76,3 +76,40 @@ def test_ingestion_states(spark, sf, folder, tmp_path):
     of = lambda d: d.selectExpr("user_id", "ts", "element_at(array('queued', 'extracting', 'ready', 'odd'), CAST(event_id % 4 + 1 AS INT)) AS status")
     got = ran(windows.ingestion_states(of(windows.read_stream(spark, folder, SCHEMA)), "user_id", "40 days"), "complete", tmp_path)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, windows.ingestion_states(of(read(spark, sf, "events")), "user_id").collect()))
+
+
+def gate(rows, requests, tokens, seconds=60):
+    """The gate over (seconds, tokens) of one key, plainly."""
+    start, n, used, until, out = None, 0, 0, 0, []
+    for t, k in sorted(rows):
+        if t < until:
+            out.append("cooldown")
+            continue
+        if start is None or t - start >= seconds:
+            start, n, used = t, 0, 0
+        if (requests and n >= requests) or (tokens and used + k > tokens):
+            until = t + max(1, seconds - int(t - start))
+            out.append("limit")
+        else:
+            n, used = n + 1, used + k
+            out.append("sent")
+    return out
+
+
+@pytest.mark.parametrize(("requests", "tokens"), [(4, 90)])
+def test_gate_with_cooldown_is_the_same_over_batches(spark, tmp_path, requests, tokens):
+    import random
+
+    r = random.Random(requests or 0)
+    path, begin = str(tmp_path / "in"), dt.datetime(2024, 1, 1)
+    rows = {key: [(at, r.choice((5, 30, 80, 120))) for at in sorted(r.sample(range(600), 60))] for key in range(3)}
+    every = sorted((at, key, n) for key, x in rows.items() for at, n in x)
+    for part in range(2):  # two files in the order of time, one a batch
+        mine = [(begin + dt.timedelta(seconds=at), key, n if n != 5 else None) for at, key, n in every if part * 300 <= at < (part + 1) * 300]
+        spark.createDataFrame(mine, "ts timestamp, provider long, tokens long").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("ts timestamp, provider bigint, tokens bigint").option("maxFilesPerTrigger", 1).parquet(path)
+    got = ran(windows.provider_gate(stream, "provider", "tokens", requests, tokens), "append", tmp_path)
+    for key, x in rows.items():
+        want = gate([(at, 0 if n == 5 else n) for at, n in x], requests, tokens)
+        assert [y.decision for y in got.where(f"provider = {key}").orderBy("ts").collect()] == want
+        assert {"sent", "limit", "cooldown"} <= set(want)
