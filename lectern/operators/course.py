@@ -53,6 +53,34 @@ def attempt_results(answers: DataFrame) -> DataFrame:
     return per.join(whole, "attempt_id")
 
 
+def source_topics(questions: DataFrame, terms: DataFrame, width: int = 64) -> DataFrame:
+    """(question_id, topic): a question's topic by its source: the section, else the longest key term of the document whose page lies within the chunk's and that the chunk holds (the last of equals), else the question's own, else General.
+
+    questions has (question_id, topic, section, document, first, last, text), with
+    nulls where there is no chunk, terms (document, term, page). Terms meet only chunks whose pages are near theirs.
+    """
+    section = F.nullif(T.strip(F.col("section")), F.lit(""))
+    open_ = questions.where(section.isNull() & F.col("text").isNotNull()).select("question_id", "document", "first", "last", F.lower("text").alias("text"))
+    met = within(open_, terms.select("document", "term", F.col("page").alias("at")), "document", "at", "first", "last", width).where(F.contains("text", F.lower("term")))
+    longest = met.groupBy("question_id").agg(F.max(F.struct(F.length("term").alias("n"), F.lower("term").alias("low"), "term")).alias("b")).select("question_id", F.col("b.term").alias("found"))
+    out = questions.select("question_id", section.alias("section"), F.nullif("topic", F.lit("")).alias("own")).join(longest, "question_id", "left")
+    return out.select("question_id", F.coalesce("section", "found", "own", F.lit("General")).alias("topic"))
+
+
+def submitted(answers: DataFrame, topics: DataFrame) -> DataFrame:
+    """(attempt_id, topic, asked, right, total, correct, score): each attempt's totals and its share of right answers, by source topic.
+
+    answers has (attempt_id, question_id, is_correct, at): of several answers to one
+    question the last counts, as it replaces the one before; a null grade is wrong.
+    topics has (question_id, topic), once each.
+    """
+    last = answers.groupBy("attempt_id", "question_id").agg(F.max(F.struct("at", F.coalesce("is_correct", F.lit(False)).alias("ok"))).alias("b"))
+    graded = last.join(topics, "question_id").select("attempt_id", "topic", F.col("b.ok").alias("ok"))
+    per = graded.groupBy("attempt_id", "topic").agg(F.count("*").alias("asked"), F.count_if("ok").alias("right"))
+    whole = per.groupBy("attempt_id").agg(F.sum("asked").alias("total"), F.sum("right").alias("correct"))
+    return per.join(whole, "attempt_id").withColumn("score", F.round(F.col("correct") / F.col("total"), 6))
+
+
 def retake(answers: DataFrame) -> DataFrame:
     """(attempt_id, question_id) of what was answered wrongly: the questions of a retake."""
     return answers.where(~F.col("is_correct")).select("attempt_id", "question_id").distinct()

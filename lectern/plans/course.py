@@ -61,6 +61,21 @@ def attempt_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course.attempt_results(answers(spark, sf_dir))
 
 
+@query(f"""WITH {TOP_SQL}, {ANSWERS_SQL}, d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ' ' ELSE ' ' END AS section, doc_id % 50 AS document, doc_id - 60 AS first, doc_id + 60 AS last, text FROM documents), k AS (SELECT doc_id % 50 AS document, term, doc_id AS page FROM top WHERE rank <= 2),
+m AS (SELECT d.doc_id, arg_max(term, (length(term), lower(term), term)) AS found FROM d JOIN k ON d.document = k.document AND k.page BETWEEN first AND last AND contains(lower(text), lower(term)) WHERE trim(section) = '' GROUP BY d.doc_id),
+q AS (SELECT p_partkey AS question_id, coalesce(nullif(trim(section), ''), found, p_type, 'General') AS topic FROM part LEFT JOIN d ON d.doc_id = p_partkey % (SELECT count(*) FROM documents) LEFT JOIN m USING (doc_id)),
+l AS (SELECT attempt_id, question_id, arg_max(coalesce(is_correct, false), (answered_at, coalesce(is_correct, false))) AS ok FROM answers GROUP BY ALL), p AS (SELECT attempt_id, topic, count(*) AS asked, count(*) FILTER (ok) AS "right" FROM l JOIN q USING (question_id) GROUP BY ALL),
+tot AS (SELECT attempt_id, sum(asked)::BIGINT AS total, sum("right")::BIGINT AS correct FROM p GROUP BY attempt_id) SELECT *, round(correct / total, 6) AS score FROM p JOIN tot USING (attempt_id)""")
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' questions are asked of documents; a third of these have a section, the others go by their key terms."""
+    d, at = docs(spark, sf_dir), F.col("doc_id")
+    n = d.agg(F.count("*").alias("n"))  # a row
+    chunk = d.select("doc_id", F.when(at % 3 == 0, F.concat("source", F.lit(" "))).otherwise(" ").alias("section"), (at % 50).alias("document"), (at - 60).alias("first"), (at + 60).alias("last"), "text")
+    asked = read(spark, sf_dir, "part").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("topic"), (F.col("p_partkey") % F.col("n")).alias("doc_id")).join(chunk, "doc_id", "left")
+    topics = course.source_topics(asked, top_terms(spark, sf_dir, 2).select((at % 50).alias("document"), "term", at.alias("page")))
+    return course.submitted(answers(spark, sf_dir).withColumnRenamed("answered_at", "at"), topics)
+
+
 @query(f"WITH {ANSWERS_SQL} SELECT DISTINCT attempt_id, question_id FROM answers WHERE NOT is_correct")
 def retake_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course.retake(answers(spark, sf_dir))

@@ -32,6 +32,17 @@ def test_different_questions(spark, sf):
     assert got == want and (1, 1) not in got and (2, 0) in got
 
 
+def test_source_topics_and_submissions(spark):
+    q = [(1, "t", " Walls ", 1, 4, 6, "cell wall"), (2, "t", "", 1, 4, 6, "The Cell WALL and root"), (3, "t", None, 1, 4, 6, "nothing"), (4, None, None, None, None, None, None), (5, "t", "  ", 2, 4, 6, "cell wall"), (6, "", " ", 1, 300, 400, "x leaf")]
+    terms = [(1, "wall", 5), (1, "Cell Wall", 6), (1, "root", 4), (1, "the cell wall", 7), (1, "leaf", 350), (1, "LEAF", 351)]
+    topics = course.source_topics(spark.createDataFrame(q, "question_id long, topic string, section string, document long, first long, last long, text string"), spark.createDataFrame(terms, "document long, term string, page long"))
+    got = {r.question_id: r.topic for r in topics.collect()}
+    assert got == {1: "Walls", 2: "Cell Wall", 3: "t", 4: "General", 5: "t", 6: "leaf"}
+    answers = [(7, 1, False, 1), (7, 1, True, 2), (7, 2, None, 1), (7, 3, True, 1), (7, 5, False, 1), (8, 4, True, 1)]
+    rows = course.submitted(spark.createDataFrame(answers, "attempt_id long, question_id long, is_correct boolean, at long"), topics).collect()
+    assert {(r.attempt_id, r.topic, r.asked, r.right, r.total, r.correct, r.score) for r in rows} == {(7, "Walls", 1, 1, 4, 2, 0.5), (7, "Cell Wall", 1, 0, 4, 2, 0.5), (7, "t", 2, 1, 4, 2, 0.5), (8, "General", 1, 1, 1, 1, 1.0)}
+
+
 def test_match_sections(spark):
     scores = [("p", 0, 0, 0.9), ("p", 0, 1, 0.95), ("p", 1, 1, 0.94), ("p", 1, 0, 0.61), ("p", 2, 2, 0.59), ("q", 0, 0, 0.6), ("q", 1, 0, 0.6)]
     got = {(r.k, r.a, r.b) for r in course.match_sections(spark.createDataFrame(scores, "k string, a long, b long, score double"), "k").collect()}
