@@ -12,6 +12,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters encoded in one go, symbols of a word that goes through rounds with others, words remembered.
-PART, LONG, REMEMBERED = 1 << 20, 256, 1 << 17
+PART, LONG, REMEMBERED = 1 << 20, 256, 1 << 19
 _NONE = np.iinfo(np.int32).max
 _PROBES = ("", " ", "a", "  two   blanks ", "ﬁ  \t\n\r\n x▁y", "日本語 \U0001f600 é <s></s><unk><0x41>", "=" * 40 + " " * 40 + "hushushus")
 
@@ -262,14 +263,16 @@ class Pieces:
 
     def ids_of(self, parts: list[str]) -> list[array]:
         """The ids of each part. Words that are not remembered are encoded together."""
-        words = [self.words.findall(p) for p in parts]
-        fresh = list({w for ws in words for w in ws if w not in self.seen})
-        new = dict(zip(fresh, self.learn(fresh), strict=True)) if fresh else {}
-        seen = self.seen
-        out = [array("I", [i for w in ws for i in (seen.get(w) or new[w])]) for ws in words]
+        words, seen = [self.words.findall(p) for p in parts], self.seen
+        fresh = list(set().union(*words).difference(seen))
+        seen.update(zip(fresh, self.learn(fresh) if fresh else (), strict=True))
+        out = [array("I", chain.from_iterable(map(seen.__getitem__, ws))) for ws in words]
         if len(seen) > REMEMBERED:
             seen.clear()
-        seen.update((w, i) for w, i in new.items() if len(w) <= 32)
+        else:
+            for w in fresh:
+                if len(w) > 32:
+                    del seen[w]
         return out
 
     def encode(self, text: str) -> array:
