@@ -36,14 +36,31 @@ def _longest_run(a: np.ndarray, b: np.ndarray, rare: np.ndarray) -> tuple[int, i
     return i, j, n
 
 
+def _short_run(a: str, b: str) -> tuple[int, int, int]:
+    """_longest_run() of short strings, of which all characters may begin a block."""
+    best, before = (0, 0, 0), [0] * (len(b) + 1)
+    for i, c in enumerate(a):
+        now = [0] * (len(b) + 1)
+        for j, d in enumerate(b):
+            if c == d:
+                n = now[j + 1] = before[j] + 1
+                if n > best[2]:
+                    best = (i - n + 1, j - n + 1, n)
+        before = now
+    return best
+
+
 def matching(a: str, b: str) -> int:
     """How many characters lie in matching blocks: the longest common run, and those on its left and on its right in turn."""
-    x, y = _codes(a), _codes(b)
-    rare = ~np.isin(y, _popular(y))
+    short = len(b) < 200 and len(a) < 200
+    x, y = (a, b) if short else (_codes(a), _codes(b))
+    rare = None if short else ~np.isin(y, _popular(y))
     total, todo = 0, [(0, len(x), 0, len(y))]
     while todo:
         i0, i1, j0, j1 = todo.pop()
-        i, j, n = _longest_run(x[i0:i1], y[j0:j1], rare[j0:j1])
+        if i0 == i1 or j0 == j1:
+            continue
+        i, j, n = _short_run(x[i0:i1], y[j0:j1]) if short else _longest_run(x[i0:i1], y[j0:j1], rare[j0:j1])
         if n:
             total += n
             todo += [(i0, i0 + i, j0, j0 + j), (i0 + i + n, i1, j0 + j + n, j1)]
