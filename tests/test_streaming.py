@@ -97,17 +97,17 @@ def gate(rows, requests, tokens, seconds=60):
 
 
 @pytest.mark.parametrize(("requests", "tokens"), [(4, 90)])
-def test_gate_with_cooldown_is_the_same_over_batches(spark, tmp_path, requests, tokens):
+def test_gate_with_cooldown(spark, tmp_path, requests, tokens):
     import random
 
     r = random.Random(requests or 0)
     path, begin = str(tmp_path / "in"), dt.datetime(2024, 1, 1)
     rows = {key: [(at, r.choice((5, 30, 80, 120))) for at in sorted(r.sample(range(600), 60))] for key in range(3)}
     every = sorted((at, key, n) for key, x in rows.items() for at, n in x)
-    for part in range(2):  # two files in the order of time, one a batch
+    for part in range(2):  # two files
         mine = [(begin + dt.timedelta(seconds=at), key, n if n != 5 else None) for at, key, n in every if part * 300 <= at < (part + 1) * 300]
         spark.createDataFrame(mine, "ts timestamp, provider long, tokens long").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("ts timestamp, provider bigint, tokens bigint").option("maxFilesPerTrigger", 1).parquet(path)
+    stream = windows.read_stream(spark, path, "ts timestamp, provider bigint, tokens bigint")
     got = ran(windows.provider_gate(stream, "provider", "tokens", requests, tokens), "append", tmp_path)
     for key, x in rows.items():
         want = gate([(at, 0 if n == 5 else n) for at, n in x], requests, tokens)
