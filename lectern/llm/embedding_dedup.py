@@ -30,10 +30,8 @@ from lectern.llm.graph import components, roots
 
 #: Added to distances, for the rounding of 2 - 2 cos.
 SLACK = 1e-6
-#: The rounding of cosines in single precision, which only decide what is looked at more closely.
-ROUGH = 1e-4
-#: Points are compared at once where their pairs are no more than so many times those of the next level's nodes.
-CLOSE = 4
+#: The rounding of a part's product in single precision: cosines of so many parts may be off by this for each, and only decide what is looked at more closely.
+ROUGH = 2.0**-23
 #: So many rows are multiplied at a time.
 TILE = 1024
 
@@ -46,16 +44,15 @@ class Tree:
     centres: np.ndarray
     radii: np.ndarray
 
-    def levels(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level (children in the order of their parents, where each parent's begin, and likewise the points below); the last level's children are the points."""
+    def levels(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level (children in the order of their parents, where each parent's begin, how many points are below each child); the last level's children are the points."""
         out, n = [], len(self.x)
         for k in range(self.centres.shape[1]):
-            lists = []
-            for below in (np.unique(self.centres[:, k + 1]) if k + 1 < self.centres.shape[1] else np.arange(n), np.arange(n)):
-                parent = self.centres[below, k]
-                order = np.argsort(parent, kind="stable")
-                lists += [below[order], np.searchsorted(parent[order], np.arange(n + 1))]
-            out.append(tuple(lists))
+            points = self.centres[:, k + 1] if k + 1 < self.centres.shape[1] else np.arange(n)
+            below = np.unique(points)
+            parent = self.centres[below, k]
+            order = np.argsort(parent, kind="stable")
+            out.append((below[order], np.searchsorted(parent[order], np.arange(n + 1)), np.bincount(points, minlength=n)))
         return out
 
 
@@ -120,54 +117,87 @@ def _tiles(radii: np.ndarray, reach: float) -> Iterator[np.ndarray]:
             yield places[at : at + TILE]
 
 
+def _halves(places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Pairs of parts that together hold each pair of these places once; a part without another is to be paired within."""
+    if len(places) <= 64:
+        yield places, None
+        return
+    one, two = places[: len(places) // 2], places[len(places) // 2 :]
+    yield one, two
+    yield from _halves(one)
+    yield from _halves(two)
+
+
 def close(a: Tree, b: Tree | None, cosine: float, levels: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows of a and b (without b: of a, i < j) of that cosine or more, and how many cosines were taken, by dual traversal.
 
-    With levels, the pairs of nodes at the level of that number that may hold such rows; without b, a node's pair with itself as well.
+    A pair of centres is looked at once: its cosine goes down with it to the nodes of
+    the same centres a level below, and nodes of one point each are done with that.
+    With levels, the pairs of nodes at the level of that number that may hold such
+    rows; without b, a node's pair with itself as well.
     """
     same, b = b is None, b or a
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
+    off = ROUGH * (a.x.shape[1] + 4)
     rough = [t.x.astype(np.float32) for t in ((a,) if same else (a, b))]
     held = [t.levels() for t in ((a,) if same else (a, b))]
     depth = max(a.centres.shape[1], b.centres.shape[1]) if levels is None else levels
     p = q = np.zeros(1, np.int64)
-    done, tested = [(np.zeros(0, np.int64),) * 2], 0
+    known = np.zeros(1) if same else a.x[:1] @ b.x[0]
+    done, tested = [(np.zeros(0, np.int64),) * 2], 0 if same else 1
     for k in range(depth):
         sides = []
         for t, lists in zip((a, b), (held[0], held[-1]), strict=True):  # a shallower tree's points stay as they are
-            itself = (np.arange(len(t.x)), np.arange(len(t.x) + 1)) * 2
-            sides.append((*(lists[k] if k < len(lists) else itself), t.radii[:, k + 1] if k + 1 < len(lists) else np.zeros(len(t.x))))
-        left, right = sides
+            children, at, points = lists[k] if k < len(lists) else (np.arange(len(t.x)), np.arange(len(t.x) + 1), np.ones(len(t.x)))
+            radii = t.radii[:, k + 1] if k + 1 < len(lists) else np.zeros(len(t.x))
+            sides.append((children, at, radii, (points == 1) & (levels is None)))
+        (down, at, r, lone), (below, start, s, single) = sides
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def judge(i: np.ndarray, j: np.ndarray, dots: np.ndarray, found: list = found, r: np.ndarray = r, s: np.ndarray = s, lone: np.ndarray = lone, single: np.ndarray = single) -> None:
+            points = lone[i] & single[j]
+            ok = np.where(points, dots >= cosine, _distance(dots) <= r[i] + s[j] + reach)
+            done.append((i[ok & points], j[ok & points]))
+            found.append((i[ok & ~points], j[ok & ~points], dots[ok & ~points]))
+
         order = np.argsort(p, kind="stable")
-        p, q = p[order], q[order]
+        p, q, known = p[order], q[order], known[order]
+        other = (p != q) | (not same)
+        judge(p[other], q[other], known[other])
         firsts = np.flatnonzero(np.diff(p, prepend=-1, append=-1))
-        found = [(np.zeros(0, np.int64),) * 2]
         for first, end in zip(firsts[:-1], firsts[1:], strict=True):
             u, vs = p[first], q[first:end]
-            below = lambda side, nodes, which: np.concatenate([side[which][side[which + 1][v] : side[which + 1][v + 1]] for v in nodes])
-            mine, theirs, kind = below(left, [u], 0), below(right, vs, 0), 0
-            points = levels is None and (k + 1 == depth or (right[3][vs + 1] - right[3][vs]).sum() * (left[3][u + 1] - left[3][u]) <= CLOSE * len(mine) * len(theirs))
-            if points:  # the next level's nodes are hardly more than single points
-                mine, theirs, kind = below(left, [u], 2), below(right, vs, 2), 2
-            own = np.repeat(vs == u, right[kind + 1][vs + 1] - right[kind + 1][vs]) if same else None
-            r, s = (np.zeros(len(mine)), np.zeros(len(theirs))) if points else (left[4][mine], right[4][theirs])
-            tiles = list(_tiles(s, reach))
-            for x in _tiles(r, reach):
-                m = mine[x]
-                for y in tiles:
-                    t = theirs[y]
-                    tested += len(m) * len(t)
+            mine, work = down[at[u] : at[u + 1]], []
+            if same and (vs == u).any():
+                vs = vs[vs != u]
+                more = mine[~lone[mine]]
+                found.append((more, more, np.ones(len(more))))
+                tiles = [mine[x] for x in _tiles(r[mine], reach)]
+                work += [(x, y) for i, x in enumerate(tiles) for y in tiles[i + 1 :]]
+                work += [pair for x in tiles for pair in _halves(x)]
+            if len(vs):
+                mine = mine[mine != u]
+                theirs = np.concatenate([below[start[v] : start[v + 1]] for v in vs])
+                new = np.setdiff1d(theirs, vs)
+                for one, two in ((mine, theirs), (np.array([u]), new)):
+                    others = [two[y] for y in _tiles(s[two], reach)] if len(one) and len(two) else []
+                    work += [(one[x], y) for x in _tiles(r[one], reach) for y in others]
+            for x, y in work:
+                if y is None:
+                    i, j = (x[z] for z in np.triu_indices(len(x), 1))
+                    tested += len(i)
+                    wide = r[i] + s[j] + reach
+                    near = np.einsum("ij,ij->i", rough[0][i], rough[0][j]) >= 1 - wide**2 / 2 - off
+                    i, j = i[near], j[near]
+                else:
+                    tested += len(x) * len(y)
                     wide = r[x].max() + s[y].max() + reach
-                    i, j = np.nonzero(rough[0][m] @ rough[-1][t].T >= np.float32(1 - wide**2 / 2 - ROUGH))
-                    if same:
-                        new = ~(own[y][j] & (m[i] >= t[j] if points else m[i] > t[j]))
-                        i, j = i[new], j[new]
-                    for at in range(0, len(i), 16 * TILE):  # what the tile's bound leaves is tested pair by pair
-                        x_, y_ = x[i[at : at + 16 * TILE]], y[j[at : at + 16 * TILE]]
-                        dots = np.einsum("ij,ij->i", a.x[mine[x_]], b.x[theirs[y_]])
-                        ok = dots >= cosine if points else _distance(dots) <= r[x_] + s[y_] + reach
-                        (done if points else found).append((mine[x_[ok]], theirs[y_[ok]]))
-        p, q = (np.concatenate(part) for part in zip(*found, strict=True))
+                    i, j = np.nonzero(rough[0][x] @ rough[-1][y].T >= np.float32(1 - wide**2 / 2 - off))
+                    i, j = x[i], y[j]
+                for z in range(0, len(i), 16 * TILE):  # what the tile's bound leaves is tested pair by pair
+                    i_, j_ = i[z : z + 16 * TILE], j[z : z + 16 * TILE]
+                    judge(i_, j_, np.einsum("ij,ij->i", a.x[i_], b.x[j_]))
+        p, q, known = (np.concatenate(part) for part in zip(*found, strict=True))
     if levels is not None:
         return p, q, tested
     p, q = (np.concatenate(part) for part in zip(*done, strict=True))

@@ -189,8 +189,7 @@ def test_cover_tree(spread):
     a, b = embedding_dedup.tree(x[:1500], 0.05), embedding_dedup.tree(x[1500:2100], 0.3)
     i, j, _ = embedding_dedup.close(a, b, 0.99)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, np.argwhere(x[:1500] @ x[1500:2100].T >= 0.99).tolist()))
-    if spread < 1:
-        assert tested < len(x) ** 2 / 4
+    assert tested < len(x) * (len(x) - 1) / (8 if spread < 1 else 2)
 
 
 def test_embeddings_with_and_without_structure(spark):
