@@ -128,6 +128,22 @@ def _halves(places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]
     yield from _halves(two)
 
 
+def _across(x: np.ndarray, y: np.ndarray, r: np.ndarray, s: np.ndarray, reach: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tiles that together hold each pair of the nodes x and y once."""
+    others = [y[k] for k in _tiles(s[y], reach)] if len(x) and len(y) else []
+    return [(x[k], z) for k in _tiles(r[x], reach) for z in others]
+
+
+def _by(key: np.ndarray, value: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of each key, of the pairs marked."""
+    key, value = key[which], value[which]
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    firsts = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
+    for first, end in zip(firsts[:-1], firsts[1:], strict=True):
+        yield int(key[first]), value[first:end]
+
+
 def close(a: Tree, b: Tree | None, cosine: float, levels: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows of a and b (without b: of a, i < j) of that cosine or more, and how many cosines were taken, by dual traversal.
 
@@ -143,8 +159,9 @@ def close(a: Tree, b: Tree | None, cosine: float, levels: int | None = None) ->
     held = [t.levels() for t in ((a,) if same else (a, b))]
     depth = max(a.centres.shape[1], b.centres.shape[1]) if levels is None else levels
     p = q = np.zeros(1, np.int64)
-    known = np.zeros(1) if same else a.x[:1] @ b.x[0]
-    done, tested = [(np.zeros(0, np.int64),) * 2], 0 if same else 1
+    known = np.zeros(1, np.float32) if same else rough[0][:1] @ rough[1][0]
+    none = np.zeros(0, np.int64)
+    done, tested = [(none, none)], 0 if same else 1
     for k in range(depth):
         sides = []
         for t, lists in zip((a, b), (held[0], held[-1]), strict=True):  # a shallower tree's points stay as they are
@@ -152,51 +169,52 @@ def close(a: Tree, b: Tree | None, cosine: float, levels: int | None = None) ->
             radii = t.radii[:, k + 1] if k + 1 < len(lists) else np.zeros(len(t.x))
             sides.append((children, at, radii, (points == 1) & (levels is None)))
         (down, at, r, lone), (below, start, s, single) = sides
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found = [(none, none, np.zeros(0, np.float32))]
 
         def judge(i: np.ndarray, j: np.ndarray, dots: np.ndarray, found: list = found, r: np.ndarray = r, s: np.ndarray = s, lone: np.ndarray = lone, single: np.ndarray = single) -> None:
+            """Cut pairs of nodes off by their own bound; of single points take the cosine in double precision."""
             points = lone[i] & single[j]
-            ok = np.where(points, dots >= cosine, _distance(dots) <= r[i] + s[j] + reach)
-            done.append((i[ok & points], j[ok & points]))
-            found.append((i[ok & ~points], j[ok & ~points], dots[ok & ~points]))
-
-        order = np.argsort(p, kind="stable")
-        p, q, known = p[order], q[order], known[order]
-        other = (p != q) | (not same)
-        judge(p[other], q[other], known[other])
-        firsts = np.flatnonzero(np.diff(p, prepend=-1, append=-1))
-        for first, end in zip(firsts[:-1], firsts[1:], strict=True):
-            u, vs = p[first], q[first:end]
-            mine, work = down[at[u] : at[u + 1]], []
-            if same and (vs == u).any():
-                vs = vs[vs != u]
-                more = mine[~lone[mine]]
-                found.append((more, more, np.ones(len(more))))
+            near = dots >= np.where(points, cosine, 1 - (r[i] + s[j] + reach) ** 2 / 2) - off
+            found.append(tuple(x[near & ~points] for x in (i, j, dots)))
+            i, j = i[near & points], j[near & points]
+            for z in range(0, len(i), 16 * TILE):
+                i_, j_ = i[z : z + 16 * TILE], j[z : z + 16 * TILE]
+                ok = np.einsum("ij,ij->i", a.x[i_], b.x[j_]) >= cosine
+                done.append((i_[ok], j_[ok]))
+
+        itself = (p == q) & same
+        judge(p[~itself], q[~itself], known[~itself])
+        work = []
+        for u in p[itself]:
+            mine = down[at[u] : at[u + 1]]
+            again = mine[~lone[mine]]
+            found.append((again, again, np.ones(len(again), np.float32)))
+            if len(mine) > 1:
                 tiles = [mine[x] for x in _tiles(r[mine], reach)]
                 work += [(x, y) for i, x in enumerate(tiles) for y in tiles[i + 1 :]]
                 work += [pair for x in tiles for pair in _halves(x)]
-            if len(vs):
-                mine = mine[mine != u]
-                theirs = np.concatenate([below[start[v] : start[v + 1]] for v in vs])
-                new = np.setdiff1d(theirs, vs)
-                for one, two in ((mine, theirs), (np.array([u]), new)):
-                    others = [two[y] for y in _tiles(s[two], reach)] if len(one) and len(two) else []
-                    work += [(one[x], y) for x in _tiles(r[one], reach) for y in others]
-            for x, y in work:
-                if y is None:
-                    i, j = (x[z] for z in np.triu_indices(len(x), 1))
-                    tested += len(i)
-                    wide = r[i] + s[j] + reach
-                    near = np.einsum("ij,ij->i", rough[0][i], rough[0][j]) >= 1 - wide**2 / 2 - off
-                    i, j = i[near], j[near]
-                else:
-                    tested += len(x) * len(y)
-                    wide = r[x].max() + s[y].max() + reach
-                    i, j = np.nonzero(rough[0][x] @ rough[-1][y].T >= np.float32(1 - wide**2 / 2 - off))
-                    i, j = x[i], y[j]
-                for z in range(0, len(i), 16 * TILE):  # what the tile's bound leaves is tested pair by pair
-                    i_, j_ = i[z : z + 16 * TILE], j[z : z + 16 * TILE]
-                    judge(i_, j_, np.einsum("ij,ij->i", a.x[i_], b.x[j_]))
+        many, more = np.diff(at) > 1, np.diff(start) > 1  # nodes with children besides their own centre
+        for u, vs in _by(p, q, ~itself & many[p]):
+            mine = down[at[u] : at[u + 1]]
+            full = vs[more[vs]]
+            new = np.concatenate([none, *(below[start[v] : start[v + 1]] for v in full)])
+            new = new[~np.isin(new, full)]
+            work += _across(mine[mine != u], np.concatenate([vs, new]), r, s, reach)
+            work += _across(np.array([u]), new, r, s, reach)
+        for v, us in _by(q, p, ~itself & ~many[p] & more[q]):
+            theirs = below[start[v] : start[v + 1]]
+            work += _across(us, theirs[theirs != v], r, s, reach)
+        for x, y in work:
+            if y is None:
+                i, j = (x[z] for z in np.triu_indices(len(x), 1))
+                tested += len(i)
+                judge(i, j, np.einsum("ij,ij->i", rough[0][i], rough[0][j]))
+            else:
+                tested += len(x) * len(y)
+                wide = r[x].max() + s[y].max() + reach
+                dots = rough[0][x] @ rough[-1][y].T
+                i, j = np.nonzero(dots >= np.float32(1 - wide**2 / 2 - 2 * off))
+                judge(x[i], y[j], dots[i, j])
         p, q, known = (np.concatenate(part) for part in zip(*found, strict=True))
     if levels is not None:
         return p, q, tested
