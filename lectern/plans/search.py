@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, metrics, retrieval
+from lectern.operators import answers, metrics, retrieval, word_vectors
 from lectern.plans.registry import query
 from lectern.plans.texts import SENTENCES_SQL, STOP_SQL, TFIDF_SQL, docs
 from lectern.sources.tables import read
@@ -213,3 +213,10 @@ def analogy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = x.select(F.col("vec_id").alias("query_id"), F.transform(F.arrays_zip("a", "b", "c"), lambda v: d(v["a"]) - d(v["b"]) + d(v["c"])).alias("embedding"))
     near = retrieval.dense_top_k(e, q, 8).where("doc_id - query_id NOT BETWEEN 0 AND 2")
     return retrieval.top_k(near.drop("rank"), 5)
+
+
+@query()
+def word2vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents nearest to each question by mean CBOW vectors, a model for each language."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return word_vectors.top_k(d, questions(spark, sf_dir), word_vectors.cbow(d, "text", "lang"), 5, "lang")
