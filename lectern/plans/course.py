@@ -358,6 +358,21 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.graph_nodes(t, t.where("term LIKE 'a%'").select("owner", "term", F.lit(2.5).alias("importance")), "owner")
 
 
+NODES_SQL = f"""{TOP_SQL}, n AS (SELECT source AS owner, lower(term) AS label, count(*)::DOUBLE AS importance FROM top JOIN documents USING (doc_id) WHERE rank <= 4 GROUP BY ALL),
+nodes AS (SELECT owner, label FROM n QUALIFY row_number() OVER (PARTITION BY owner ORDER BY greatest(importance, CASE WHEN label LIKE 'a%' THEN 2.5 ELSE 0 END) DESC, label) <= 40)"""
+
+
+@query(rf"""WITH {NODES_SQL}, m AS (SELECT owner, label, doc_id AS page FROM nodes JOIN documents ON source = owner WHERE regexp_matches(regexp_replace(lower(text), '\s+', ' ', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])' || label || '(?:$|[^\p{{L}}\p{{N}}_])')
+UNION SELECT owner, label, doc_id FROM nodes JOIN documents ON source = owner JOIN top USING (doc_id) WHERE rank <= 4 AND lower(term) = label)
+SELECT owner, 'node_' || substring(sha256(label), 1, 16) AS node_id, label, page FROM m""")
+def graph_node_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a source that mention or hold each node of its graph."""
+    d = docs(spark, sf_dir).select("doc_id", F.col("source").alias("owner"), "text")
+    t = top_terms(spark, sf_dir, 4).join(d.select("doc_id", "owner"), "doc_id")
+    nodes = evidence.graph_nodes(t, t.where("term LIKE 'a%'").select("owner", "term", F.lit(2.5).alias("importance")), "owner")
+    return evidence.graph_pages(nodes, t.select("owner", "term", F.col("doc_id").alias("page")), d.select("owner", F.col("doc_id").alias("page"), "text"), "owner")
+
+
 @query(r"""WITH c AS (SELECT page_id AS id, url, substring(regexp_replace(html, '\s+', ' ', 'g'), 10 + page_id % 5, 30) || CASE WHEN page_id % 4 = 0 THEN '?' ELSE '' END AS quote FROM pages)
 SELECT id, bool_or(contains(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), regexp_replace(quote, '^\s+|\s+$', '', 'g'))) AS valid FROM c JOIN pages USING (url) GROUP BY id""")
 def web_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

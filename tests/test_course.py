@@ -193,3 +193,14 @@ def test_file_store(spark, tmp_path):
     assert files.checked_vectors(v.limit(1), "v", 2).count() == 1
     with pytest.raises(Exception, match="must have 2"):
         files.checked_vectors(v, "v", 2).collect()
+
+
+def test_pages_of_graph_nodes(spark):
+    from lectern.operators import evidence
+
+    terms = spark.createDataFrame([("o", "C++", 1), ("o", "new  york", 9), ("o", "art", 2), ("p", "art", 2)], "owner string, term string, page long")
+    nodes = evidence.graph_nodes(terms, terms.limit(0).select("owner", "term", F.lit(1.0).alias("importance")), "owner")
+    pages = [("o", 1, "nothing"), ("o", 2, "New\n York, and c++."), ("o", 3, "start of partly c+++"), ("o", 4, "(ART)"), ("o", 4, "art"), ("o", 5, None), ("o", 6, "c++x"), ("p", 2, ""), ("q", 1, "art")]
+    got = evidence.graph_pages(nodes, terms, spark.createDataFrame(pages, "owner string, page long, text string"), "owner").collect()
+    assert sorted((r.owner, r.label, r.page) for r in got) == [("o", "art", 2), ("o", "art", 4), ("o", "c++", 1), ("o", "c++", 2), ("o", "c++", 3), ("o", "new york", 2), ("p", "art", 2)]
+    assert evidence.graph_pages(nodes.limit(0), terms, spark.createDataFrame(pages, "owner string, page long, text string"), "owner").count() == 0
