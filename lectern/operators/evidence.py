@@ -211,6 +211,25 @@ def graph_pages(nodes: DataFrame, mentions: DataFrame, pages: DataFrame, owner:
     return own.select(owner, "node_id", "label", "page").unionByName(found).distinct()
 
 
+def topic_query(c: Column) -> Column:
+    """What of a question goes to a web search: its first eight words, at most 120 characters."""
+    return F.substring(F.array_join(F.slice(F.split(T.normalize_whitespace(c), " "), 1, 8), " "), 1, 120)
+
+
+def web_rows(results: DataFrame, query: str, position: str = "position", most: int = 5) -> DataFrame:
+    """(query, position, title, url, domain, snippet): of each query's first `most` results (title, url, content) those of an https address with a host and some content.
+
+    Titles are cut at 200 characters, snippets, with their white space made single,
+    at 300. Results at one place are taken by address. The first results are chosen
+    before any is left out, as a search gives no more than so many.
+    """
+    first = F.row_number().over(Window.partitionBy(query).orderBy(position, "url"))
+    few = results.withColumn("__first", first).where(F.col("__first") <= most)
+    host = F.lower(F.regexp_extract("url", "^https://(?:[^/?#@]*@)?([^/:?#@]+)", 1))
+    out = few.select(query, position, F.substring(F.coalesce("title", F.lit("")), 1, 200).alias("title"), "url", host.alias("domain"), F.substring(T.normalize_whitespace(F.col("content")), 1, 300).alias("snippet"))
+    return out.where((F.col("domain") != "") & (F.col("snippet") != ""))
+
+
 def web_evidence(claims: DataFrame, results: DataFrame) -> DataFrame:
     """claims (id, url, quote) with valid: whether a result (url, snippet) of that address holds the quote, but for white space."""
     held = results.select(F.col("url").alias("__url"), T.normalize_whitespace(F.col("snippet")).alias("__snippet"))

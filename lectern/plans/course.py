@@ -382,6 +382,16 @@ def web_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.web_evidence(p.select(F.col("page_id").alias("id"), "url", quote.alias("quote")), p.select("url", F.col("html").alias("snippet")))
 
 
+@query(r"""WITH r AS (SELECT page_id // 8 AS query_id, page_id AS position, regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content, substring(html, 1, 200) AS title, CASE WHEN page_id % 3 = 0 THEN replace(url, 'https://', 'http://') ELSE replace(url, 'http://', 'https://') END AS url FROM pages),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position, url) <= 5)
+SELECT query_id, position, title, url, lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) AS domain, substring(content, 1, 300) AS snippet FROM f WHERE url LIKE 'https://%' AND content <> ''""")
+def web_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight pages as the results of a search, every third one without https."""
+    url = F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("https://"), F.lit("http://"))).otherwise(F.replace("url", F.lit("http://"), F.lit("https://")))
+    r = read(spark, sf_dir, "pages").select(F.expr("page_id div 8").alias("query_id"), F.col("page_id").alias("position"), F.col("html").alias("title"), url.alias("url"), F.col("html").alias("content"))
+    return evidence.web_rows(r, "query_id")
+
+
 @query("SELECT vec_id, sha256('7:' || label || ':' || vec_id) AS id FROM embeddings")
 def vector_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").withColumn("owner", F.lit(7)).select("vec_id", files.vector_id("owner", "label", "vec_id").alias("id"))

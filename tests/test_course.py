@@ -204,3 +204,12 @@ def test_pages_of_graph_nodes(spark):
     got = evidence.graph_pages(nodes, terms, spark.createDataFrame(pages, "owner string, page long, text string"), "owner").collect()
     assert sorted((r.owner, r.label, r.page) for r in got) == [("o", "art", 2), ("o", "art", 4), ("o", "c++", 1), ("o", "c++", 2), ("o", "c++", 3), ("o", "new york", 2), ("p", "art", 2)]
     assert evidence.graph_pages(nodes.limit(0), terms, spark.createDataFrame(pages, "owner string, page long, text string"), "owner").count() == 0
+
+
+def test_rows_of_a_web_search(spark):
+    from lectern.operators import evidence
+
+    rows = [("q", 1, "t", "http://a.org/x", "plain"), ("q", 2, None, "https://B.org:8/x?y", " two \n words "), ("q", 3, "t" * 300, "https://u@c.org", "c" * 400), ("q", 4, "t", "https://d.org", " \n"), ("q", 5, "t", "https:///x", "no host"), ("q", 6, "t", "https://f.org", "beyond"), ("r", 1, "t", None, "x"), ("r", 2, "t", "https://g.org", None)]
+    got = evidence.web_rows(spark.createDataFrame(rows, "query string, position long, title string, url string, content string"), "query").orderBy("position").collect()
+    assert [tuple(r)[1:] for r in got] == [(2, "", "https://B.org:8/x?y", "b.org", "two words"), (3, "t" * 200, "https://u@c.org", "c.org", "c" * 300)]
+    assert column(spark, evidence.topic_query, " one\n two three  four five six seven eight nine", "x" * 200, "", None) == ["one two three four five six seven eight", "x" * 120, "", None]
