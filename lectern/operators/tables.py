@@ -1,5 +1,8 @@
 """Changes of tables as rewrites: replace by key, upsert, uniqueness, trees."""
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,19 @@ def set_null(rows: DataFrame, ref: str, gone: DataFrame, key: str) -> DataFrame:
 
 
 def tree(nodes: DataFrame, roots: str = "parent_id IS NULL") -> DataFrame:
-    """(id, depth, path) of (id, parent_id): a recursive query."""
-    return nodes.sparkSession.sql(f"""WITH RECURSIVE t(id, depth, path) AS (SELECT id, 0, CAST(id AS STRING) FROM {{nodes}} WHERE {roots}
-        UNION ALL SELECT n.id, t.depth + 1, concat(t.path, '/', CAST(n.id AS STRING)) FROM {{nodes}} n JOIN t ON n.parent_id = t.id) SELECT id, depth, path FROM t""", nodes=nodes)
+    """(id, depth, path) of (id, parent_id), from the roots down: a join for each level, whatever the number of rows.
+
+    A node of several parents, or below several roots, comes once for each path; one
+    that is below itself and a root is an error. Each level is made at once and held
+    on the executors' disks for the session, as the next one and the result read it.
+    """
+    start = nodes.where(roots).select("id", F.lit(0).alias("depth"), F.array("id").alias("up"))
+    children = nodes.select(F.col("id").alias("child"), "parent_id")
+    again = F.when(F.array_contains("up", F.col("child")), F.raise_error(F.lit("a node is below itself")))
+    below = lambda level: level.join(children, F.col("parent_id") == F.col("id")).select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("up", F.coalesce(again.cast(start.schema["up"].dataType), F.array("child"))).alias("up"))
+    levels = [start.persist(StorageLevel.DISK_ONLY)]
+    while levels[-1].count():
+        levels.append(below(levels[-1]).persist(StorageLevel.DISK_ONLY))
+    levels.pop().unpersist()
+    path = F.array_join(F.transform("up", lambda x: x.cast("string")), "/").alias("path")
+    return reduce(DataFrame.unionAll, levels or [start]).select("id", "depth", path)

@@ -215,6 +215,19 @@ def test_replace_upsert_tree(spark):
     assert {r.id: (r.depth, r.path) for r in tables.tree(nodes).collect()} == {1: (0, "1"), 2: (1, "1/2"), 3: (2, "1/2/3")}
 
 
+def test_tree_of_more_rows_than_a_recursive_query_may_have(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 50)
+    try:
+        nodes = spark.range(1, 101).selectExpr("id", "CASE WHEN id >= 10 THEN id div 10 END AS parent_id")
+        assert tables.tree(nodes).groupBy("depth").count().orderBy("depth").collect() == [(0, 9), (1, 90), (2, 1)]
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    below = spark.createDataFrame([(1, None), (2, 1), (3, 2), (2, 3)], "id int, parent_id int")
+    with pytest.raises(Exception, match="below itself"):
+        tables.tree(below)
+    assert tables.tree(nodes.where("id < 0")).collect() == []
+
+
 def test_confusion(spark):
     m = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 1, 2), (2, 1, 1)], "truth int, predicted int, n long")
     got = {r.label: (r.precision, r.recall) for r in metrics.per_class(m).collect()}
