@@ -1,6 +1,5 @@
 """Evidence: citations, follow-ups, grounding, summaries, co-occurrence, comparison, coverage, glossaries."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,64 +64,95 @@ def context_blocks(chunks: DataFrame, key: str, order: str, title: Column, page:
     return chunks.groupBy(key).agg(F.array_join(parts, "\n").alias("block"))
 
 
+def sentence_array(text: Column) -> Column:
+    """The sentences of sentence_rows() as an array."""
+    plain = F.transform(T.summary_sentences(text), lambda s: T.strip(F.regexp_replace(s, "^[-*•] ", "")))
+    return F.filter(plain, lambda s: s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) >= 5) & ~s.rlike(T.PLACEHOLDER))
+
+
 def sentence_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, n, sentence): the sentences of five words or more that end in . ! or ? and hold no placeholder, without a bullet, with their number."""
-    plain = F.transform(T.summary_sentences(F.col(text_col)), lambda s: T.strip(F.regexp_replace(s, "^[-*•] ", "")))
-    ok = F.filter(plain, lambda s: s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) >= 5) & ~s.rlike(T.PLACEHOLDER))
-    return docs.select(id_col, ok.alias("s")).select(id_col, F.size("s").alias("n"), F.posexplode("s").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+    return docs.select(id_col, sentence_array(F.col(text_col)).alias("s")).select(id_col, F.size("s").alias("n"), F.posexplode("s").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def _term_sums(terms: Column) -> Column:
+    """Of each of a text's n sentences, arrays of terms, struct (w, len, n): the sum of tf tf (ln((n + 1) / (df + 1)) + 1) over its different terms, and their number."""
+    import pyarrow as pa
+
+    @F.arrow_udf("array<struct<w:double,len:bigint,n:bigint>>")
+    def sums(x: pa.Array) -> pa.Array:
+        from collections import Counter
+        from math import log
+
+        def one(text: list[list[str]]) -> list[dict]:
+            counts = [Counter(t) for t in text]
+            df = Counter(w for c in counts for w in c)
+            idf = {w: log((len(text) + 1) / (k + 1)) + 1 for w, k in df.items()}
+            return [{"w": sum(k * k * idf[w] for w, k in c.items()), "len": c.total(), "n": len(text)} for c in counts]
+
+        # one text's terms at a time are Python objects
+        return pa.array((None if not v.is_valid else one(v.as_py()) for v in x), pa.list_(pa.struct([("w", pa.float64()), ("len", pa.int64()), ("n", pa.int64())])))
+
+    return sums(terms)
+
+
+def scored_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs' (id) with arrays s of sentence_rows() and, in the same order, terms and score (null without terms): all within the row, so that no word is shuffled."""
+    rows = docs.select(id_col, sentence_array(F.col(text_col)).alias("s")).select(id_col, "s", F.transform("s", T.summary_terms).alias("terms"))
+    summed = rows.select(id_col, "s", "terms", _term_sums(F.col("terms")).alias("sums"))
+    score = lambda x, pos: F.when(x["len"] > 0, F.round(x["w"] / F.pow(x["len"].cast("double"), F.lit(0.8)) * (1 + 0.4 * (1 - pos / x["n"])), 6))
+    return summed.select(id_col, "s", "terms", F.transform("sums", score).alias("score"))
 
 
 def sentence_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, sentence, score): over a sentence's words the sum of tf (ln((n + 1) / (df + 1)) + 1), over length ** 0.8, times 1 + 0.4 (1 - pos / n).
+    """(id, pos, score): over a sentence's words the sum of tf (ln((n + 1) / (df + 1)) + 1), over length ** 0.8, times 1 + 0.4 (1 - pos / n).
 
     tf is a word's count in the sentence, df the number of the text's sentences that
-    hold it. Texts are dealt by id once; all that follows stays within a document.
+    hold it. A text is scored within its row; ids are taken to be unique.
     """
-    rows = sentence_rows(docs.select(id_col, text_col).repartition(id_col), id_col, text_col)
-    t = rows.select(id_col, "pos", "n", F.explode(T.summary_terms(F.col("sentence"))).alias("term")).groupBy(id_col, "pos", "n", "term").agg(F.count("*").alias("tf"))
-    df = F.count("*").over(Window.partitionBy(id_col, "term"))
-    weight = F.col("tf") * F.col("tf") * (F.log((F.col("n") + 1) / (df + 1)) + 1)
-    sums = t.withColumn("weight", weight).groupBy(id_col, "pos", "n").agg(F.sum("weight").alias("w"), F.sum("tf").alias("len"))
-    score = F.round(F.col("w") / F.pow(F.col("len").cast("double"), F.lit(0.8)) * (1 + 0.4 * (1 - F.col("pos") / F.col("n"))), 6)
-    return sums.select(id_col, "pos", score.alias("score"))
+    # an outer one, as Spark would work all out once more to leave out rows without elements
+    rows = scored_sentences(docs, id_col, text_col).select(id_col, F.posexplode_outer("score").alias("pos", "score"))
+    return rows.where("score IS NOT NULL").withColumn("pos", F.col("pos").cast("long"))
 
 
 def summary(docs: DataFrame, id_col: str, text_col: str, target: int = 5, most_alike: float = 0.55) -> DataFrame:
     """(id, pos, sentence): greedily the best sentences that are not too alike (by Jaccard of words), in the text's order.
 
-    All scored sentences of a document are weighed until there are `target`; a document of no more candidates keeps them all.
+    All scored sentences of a document are weighed until there are `target`; a document
+    of no more candidates keeps them all. A text is weighed within its row.
     """
-    sentences = sentence_rows(docs, id_col, text_col)
-    few = sentences.where(F.col("n") <= target).select(id_col, "pos", "sentence")
-    many = sentence_scores(docs, id_col, text_col).join(sentences.where(F.col("n") > target).select(id_col, "pos", "sentence"), [id_col, "pos"])
-    rows = many.select(F.col(id_col).alias("id"), "pos", "score", "sentence", T.summary_terms(F.col("sentence")).alias("t"))
+    rows = scored_sentences(docs, id_col, text_col)
+    one = F.transform("score", lambda x, i: F.struct((-x).alias("o"), i.alias("pos"), F.array_distinct(F.get("terms", i)).alias("t")))
+    ordered = F.array_sort(F.filter(one, lambda x: x["o"].isNotNull()))
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for r in frame.sort_values(["score", "pos"], ascending=[False, True]).itertuples():
-            if len(kept) == target:
-                break
-            t = set(r.t)
-            if all(len(t & k[2]) <= most_alike * len(t | k[2]) for k in kept):
-                kept.append((r.pos, r.sentence, t))
-        return pd.DataFrame([(frame.id.iloc[0], p, s) for p, s, _ in sorted(kept, key=lambda k: k[0])], columns=["id", "pos", "sentence"])
+    def weigh(kept: Column, x: Column) -> Column:
+        alike = F.exists(kept, lambda k: F.size(F.array_intersect(x["t"], k["t"])) > most_alike * F.size(F.array_union(x["t"], k["t"])))
+        return F.when((F.size(kept) >= target) | alike, kept).otherwise(F.concat(kept, F.array(F.struct(x["pos"].alias("pos"), x["t"].alias("t")))))
 
-    return rows.groupBy("id").applyInPandas(pick, f"id {docs.schema[id_col].dataType.simpleString()}, pos long, sentence string").withColumnRenamed("id", id_col).unionByName(few)
+    best = F.aggregate(ordered, F.array().cast("array<struct<pos:int,t:array<string>>>"), weigh, lambda kept: F.array_sort(F.transform(kept, lambda k: k["pos"])))
+    every = F.transform("s", lambda x, i: i)
+    chosen = rows.select(id_col, "s", F.when(F.size("s") <= target, every).otherwise(best).alias("at"))
+    # an outer one, as in sentence_scores()
+    return chosen.select(id_col, F.inline_outer(F.transform("at", lambda i: F.struct(i.cast("long").alias("pos"), F.get("s", i).alias("sentence"))))).where("pos IS NOT NULL")
 
 
 def two_level_summary(sections: DataFrame, id_col: str, text_col: str, each: int = 3, whole: int = 4) -> DataFrame:
     """(id, pos, sentence): `each` sentences of each section, and of all those put together the `whole` best. sections has (id, section, text); sections are in order."""
     keyed = sections.select(F.struct(id_col, "section").alias("part"), F.col(text_col).alias("text"))
-    first = summary(keyed.withColumn("key", F.to_json("part")), "key", "text", each).select(F.from_json("key", keyed.schema["part"].dataType).alias("part"), "pos", "sentence")
+    first = summary(keyed, "part", "text", each)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("part.section", "pos", "sentence"))), lambda x: x["sentence"])
     joined = first.groupBy(F.col(f"part.{id_col}").alias(id_col)).agg(F.array_join(lines, "\n").alias("text"))
     return summary(joined, id_col, "text", whole)
 
 
 def cooccurrence(sentences: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
-    """(id, a, b, weight): terms a < b of a document that share sentences, with how many. terms has (id, term), a few for each document."""
-    t = sentences.select(id_col, "pos", F.explode(F.array_distinct(T.terms(F.col("sentence")))).alias("term")).join(terms.select(id_col, "term"), [id_col, "term"], "left_semi")
-    per = t.groupBy(id_col, "pos").agg(F.array_sort(F.collect_set("term")).alias("ts")).where(F.size("ts") > 1)
+    """(id, a, b, weight): terms a < b of a document that share sentences, with how many. terms has (id, term), a few for each document.
+
+    A document's terms go to its sentences as one array, so that no sentence's words are shuffled.
+    """
+    few = terms.groupBy(id_col).agg(F.collect_set("term").alias("few"))
+    held = sentences.join(few, id_col).select(id_col, "pos", F.array_intersect("few", T.terms(F.col("sentence"))).alias("ts")).where(F.size("ts") > 0)
+    per = held.groupBy(id_col, "pos").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("ts")).where(F.size("ts") > 1)
     pairs = F.flatten(F.transform("ts", lambda x: F.transform(F.filter("ts", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return per.select(id_col, F.inline(pairs)).groupBy(id_col, "a", "b").agg(F.count("*").alias("weight"))
 

@@ -228,6 +228,14 @@ def test_tree_of_more_rows_than_a_recursive_query_may_have(spark):
     assert tables.tree(nodes.where("id < 0")).collect() == []
 
 
+def test_summaries_stay_within_rows(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"Word{i} thing{i} item{i % 7} stone{i % 3} river runs deep." for i in range(40)))], "doc_id long, text string")
+    for out in (evidence.sentence_scores(docs, "doc_id", "text"), evidence.summary(docs, "doc_id", "text")):
+        plan = out._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "FlatMapGroups" not in plan
+    assert evidence.summary(docs, "doc_id", "text").count() == 5
+
+
 def test_confusion(spark):
     m = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 1, 2), (2, 1, 1)], "truth int, predicted int, n long")
     got = {r.label: (r.precision, r.recall) for r in metrics.per_class(m).collect()}
