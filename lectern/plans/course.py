@@ -36,7 +36,7 @@ def ownership_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOP_SQL}, r AS (SELECT doc_id, lang AS topic, CASE WHEN doc_id % 3 > 0 THEN source END AS section, doc_id % 50 AS document, doc_id AS page, doc_id - 20 AS first, doc_id + 20 AS last, text FROM documents),
 k AS (SELECT doc_id % 50 AS document, term, doc_id AS page FROM top WHERE rank <= 2),
 e AS (SELECT topic AS label, document, page FROM r UNION SELECT section, document, page FROM r UNION SELECT term, r.document, r.page FROM r JOIN k ON r.document = k.document AND k.page BETWEEN first AND last AND contains(lower(text), lower(term)))
-SELECT * FROM e WHERE label IS NOT NULL""")
+SELECT *, row_number() OVER (PARTITION BY label ORDER BY document, page) AS number FROM e WHERE label IS NOT NULL""")
 def topic_source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages as topics, sources as sections, and each document's two best terms."""
     d = docs(spark, sf_dir)
@@ -71,8 +71,10 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, at = docs(spark, sf_dir), F.col("doc_id")
     n = d.agg(F.count("*").alias("n"))  # a row
     chunk = d.select("doc_id", F.when(at % 3 == 0, F.concat("source", F.lit(" "))).otherwise(" ").alias("section"), (at % 50).alias("document"), (at - 60).alias("first"), (at + 60).alias("last"), "text")
-    asked = read(spark, sf_dir, "part").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("topic"), (F.col("p_partkey") % F.col("n")).alias("doc_id")).join(chunk, "doc_id", "left")
-    topics = course.source_topics(asked, top_terms(spark, sf_dir, 2).select((at % 50).alias("document"), "term", at.alias("page")))
+    asked = read(spark, sf_dir, "part").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("topic"), (F.col("p_partkey") % F.col("n")).alias("doc_id"))
+    # a document's term is found once, whatever the number of questions that are asked of it
+    found = course.longest_terms(chunk.where("trim(section) = ''"), "doc_id", top_terms(spark, sf_dir, 2).select((at % 50).alias("document"), "term", at.alias("page")))
+    topics = course.topics_of(asked.join(chunk.select("doc_id", "section").join(found, "doc_id", "left"), "doc_id", "left"))
     return course.submitted(answers(spark, sf_dir).withColumnRenamed("answered_at", "at"), topics)
 
 

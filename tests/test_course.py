@@ -213,3 +213,24 @@ def test_rows_of_a_web_search(spark):
     got = evidence.web_rows(spark.createDataFrame(rows, "query string, position long, title string, url string, content string"), "query").orderBy("position").collect()
     assert [tuple(r)[1:] for r in got] == [(2, "", "https://B.org:8/x?y", "b.org", "two words"), (3, "t" * 200, "https://u@c.org", "c.org", "c" * 300)]
     assert column(spark, evidence.topic_query, " one\n two three  four five six seven eight nine", "x" * 200, "", None) == ["one two three four five six seven eight", "x" * 120, "", None]
+
+
+def test_typed_edges_shuffle_a_sentence_once(spark):
+    sentences = spark.createDataFrame([(1, 0, "Rust uses iron and the iron uses Rust.")], "doc_id long, pos long, sentence string")
+    terms = spark.createDataFrame([(1, "rust"), (1, "iron")], "doc_id long, term string")
+    out = course.typed_edges(sentences, terms, "doc_id", {"uses": "uses"})
+    assert [tuple(r) for r in out.collect()] == [(1, "iron", "rust", "uses", 1, 0)]
+    assert "explode(array_distinct(regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_by_label_are_numbered(spark):
+    rows = spark.createDataFrame([("t", None, d, p, p - 1, p + 1, "An Oak") for d, p in ((2, 1), (1, 9), (1, 3))], "topic string, section string, document long, page long, first long, last long, text string")
+    terms = spark.createDataFrame([(1, "oak", 4), (1, "elm", 4)], "document long, term string, page long")
+    got = course.pages_by_label(rows, terms).orderBy("label", "number").collect()
+    assert [tuple(r) for r in got] == [("oak", 1, 3, 1), ("t", 1, 3, 1), ("t", 1, 9, 2), ("t", 2, 1, 3)]
+
+
+def test_longest_terms_by_chunk(spark):
+    chunks = spark.createDataFrame([(7, 1, 0, 5, "the Oak tree and Elm"), (8, 1, 50, 60, "oak"), (9, 1, 0, 5, None)], "doc_id long, document long, first long, last long, text string")
+    terms = spark.createDataFrame([(1, "elm", 1), (1, "oak", 2), (1, "tree", 9)], "document long, term string, page long")
+    assert [tuple(r) for r in course.longest_terms(chunks, "doc_id", terms).collect()] == [(7, "oak")]
