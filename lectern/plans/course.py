@@ -122,7 +122,7 @@ def hash_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TFIDF_SQL}, t AS (SELECT doc_id, term, tf, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS number FROM tf QUALIFY number <= 2), p AS (SELECT term, count(*) AS relevant FROM tf GROUP BY term)
 SELECT doc_id, number, replace(['What is {{}}?', 'How does {{}} work?', 'Why does {{}} matter?'][(doc_id * 2 + number - 1) % 3 + 1], '{{}}', term) AS question, relevant FROM t JOIN p USING (term)""")
 def draft_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return course.draft_questions(text.term_counts(docs(spark, sf_dir), "doc_id", "text"), ["What is {}?", "How does {} work?", "Why does {} matter?"])
+    return course.draft_questions(docs(spark, sf_dir), ["What is {}?", "How does {} work?", "Why does {} matter?"])
 
 
 @query(f"WITH {TOP_SQL}, n AS (SELECT doc_id, max(rank) AS n FROM top WHERE rank <= 4 GROUP BY doc_id), s AS (SELECT doc_id, n, unnest(range(6)) AS slot FROM n) SELECT doc_id, slot, term FROM s JOIN top USING (doc_id) WHERE rank = slot % n + 1")
