@@ -154,10 +154,10 @@ def latest(rows: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
     """(id, embedding) by a built-in encoder: TF-IDF weights of a text's terms, summed by the terms' digest modulo the size and scaled to length 1.
 
-    Each different text is encoded once. A blank text is an error, as is a text without terms, whose vector would be zero.
+    Each different text is encoded once; half its digest stands for it in the postings. A blank text is an error, as is a text without terms, whose vector would be zero.
     """
     blank = F.coalesce(F.trim(text_col), F.lit("")) == ""
-    keyed = docs.select(F.col(id_col), F.when(blank, F.raise_error(F.lit("blank text"))).otherwise(F.col(text_col)).alias("__text")).withColumn("__key", F.sha2("__text", 256))
+    keyed = docs.select(F.col(id_col), F.when(blank, F.raise_error(F.lit("blank text"))).otherwise(F.col(text_col)).alias("__text")).withColumn("__key", F.substring(F.unhex(F.sha2("__text", 256)), 1, 16))
     texts = keyed.groupBy("__key").agg(F.min("__text").alias("__text"))
     w, _, _ = tfidf_parts(texts, "__key", "__text")
     place = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
