@@ -330,14 +330,8 @@ def grounding_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def section_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one matches of the ten-line sections of each document and the next by cosine of their term counts."""
-    line = lines(spark, sf_dir).select("doc_id", F.expr("pos div 10").alias("section"), F.explode(T.terms(F.col("line"))).alias("term"))
-    tf = line.groupBy("doc_id", "section", "term").agg(F.count("*").alias("tf"))
-    norm = tf.groupBy("doc_id", "section").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    w = tf.join(norm, ["doc_id", "section"]).select("doc_id", "section", "term", (F.col("tf") / F.col("norm")).alias("w"))
-    pair = neighbours(docs(spark, sf_dir)).withColumn("pair", F.concat_ws(":", "a", "b"))
-    left = pair.join(w, F.col("a") == F.col("doc_id")).select("pair", F.col("section").alias("a"), "term", F.col("w").alias("x"))
-    right = pair.join(w, F.col("b") == F.col("doc_id")).select("pair", F.col("section").alias("b"), "term", F.col("w").alias("y"))
-    scores = left.join(right, ["pair", "term"]).groupBy("pair", "a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
+    d = docs(spark, sf_dir)
+    scores = course.section_scores(d, neighbours(d), 10, 0.6)
     return course.match_sections(scores, "pair", 0.6)
 
 
