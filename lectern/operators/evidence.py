@@ -222,12 +222,13 @@ def graph_nodes(key_terms: DataFrame, entries: DataFrame, owner: str, most: int
     return top.select(owner, F.concat(F.lit("node_"), F.substring(F.sha2("label", 256), 1, 16)).alias("node_id"), "label", "importance", "rank")
 
 
-def graph_pages(nodes: DataFrame, mentions: DataFrame, pages: DataFrame, owner: str) -> DataFrame:
+def graph_pages(nodes: DataFrame, mentions: DataFrame, pages: DataFrame, owner: str, parts: int = 128) -> DataFrame:
     """(owner, node_id, label, page): the pages of each node, those of its mentions (owner, term, page) and those whose text holds the label as a whole, whatever the case and white space.
 
     Only pages of (owner, page, text) count; a page is there once for a node. An
-    owner's nodes, as few as a graph shows, go as one row to each of its pages, so
-    that texts are read once and only matches are shuffled. Null texts hold nothing.
+    owner's nodes, as few as a graph shows, go as one row to each of the `parts` that
+    its pages are dealt to, so that a text is shuffled once and no task has all of a
+    large owner's. Null texts hold nothing.
     """
     named = mentions.select(owner, T.normalize_term(F.col("term")).alias("label"), "page")
     own = named.join(nodes.select(owner, "node_id", "label"), [owner, "label"]).join(pages.select(owner, "page").distinct(), [owner, "page"], "left_semi")
@@ -235,7 +236,9 @@ def graph_pages(nodes: DataFrame, mentions: DataFrame, pages: DataFrame, owner:
     before, after = T.whole("label").split("label")
     pattern = F.concat(F.lit(before), literal, F.lit(after))
     few = nodes.groupBy(owner).agg(F.collect_list(F.struct("node_id", "label", pattern.alias("pattern"))).alias("nodes"))
-    texts = pages.join(few, owner).select(owner, "page", T.normalize_term(F.col("text")).alias("low"), "nodes")
+    dealt = pages.withColumn("__part", F.pmod(F.xxhash64("page"), F.lit(parts)))
+    met = dealt.select(owner, "__part").distinct().join(few, owner)
+    texts = dealt.join(met, [owner, "__part"]).select(owner, "page", T.normalize_term(F.col("text")).alias("low"), "nodes")
     held = F.filter("nodes", lambda n: F.contains(F.col("low"), n["label"]) & F.regexp_like(F.col("low"), n["pattern"]))
     found = texts.select(owner, "page", F.explode(held).alias("n")).select(owner, "n.node_id", "n.label", "page")
     return own.select(owner, "node_id", "label", "page").unionByName(found).distinct()
