@@ -34,7 +34,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25. A negative idf is epsilon times the mean idf of all terms, made positive. Only documents that share a term appear.
 
-    The postings keep the queries' terms alone; the document frequencies cover all and are counted with partial sums.
+    Postings are counted within a document's row and keep the queries' terms alone; the document frequencies cover all and are counted with partial sums.
     """
     t = docs.select("doc_id", T.terms(F.col("text")).alias("t"))
     df = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -43,7 +43,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     mean = idf.agg(F.avg("raw").alias("mean"))
     q = query_terms(queries)
     wanted = idf.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", (F.col("all") / F.col("N")).alias("avgdl"), F.when(F.col("raw") < 0, F.abs(epsilon * F.col("mean"))).otherwise(F.col("raw")).alias("idf"))
-    tf = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = t.select("doc_id", F.size("t").alias("dl"), F.inline(T.counts(F.col("t")))).join(q.select("term").distinct(), "term", "left_semi")
     found = tf.join(q.join(wanted, "term"), "term")
     part = F.col("q") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return found.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

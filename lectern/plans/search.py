@@ -91,8 +91,10 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = docs(spark, sf_dir), questions(spark, sf_dir)
     few = retrieval.top_k(retrieval.bm25(d, q), 3).select("query_id", "doc_id", "rank")
     terms = q.select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("terms"))
-    parts = answers.passages(d.join(few.select("doc_id").distinct(), "doc_id"), "doc_id", "text")
-    rows = parts.join(few, "doc_id").join(terms, "query_id")
+    asked = few.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "rank")).alias("asked"))  # joined once: the ranking is not worked out again
+    parts = answers.passages(d.select("doc_id", "text").join(asked, "doc_id").select(F.struct("doc_id", "asked").alias("of"), "text"), "of", "text")
+    met = parts.select("of.doc_id", F.inline("of.asked"), "passage", "context").join(terms, "query_id")
+    rows = met.repartition(spark.sparkContext.defaultParallelism * 4)  # a passage's bytes are few, but it takes long to read
     read_ = rows.select("query_id", "context", F.struct("rank", "doc_id", "passage").alias("place"), answers.lexical_reader(F.col("context"), F.col("terms")).alias("tokens"))
     out = answers.extract(q, read_)
     reply = F.when(F.col("found"), F.concat("answer", F.lit(" [doc_"), "doc_id", F.lit(", p."), F.col("passage") + 1, F.lit("]"))).otherwise(F.col("answer"))
