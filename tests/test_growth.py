@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from lectern.operators import course, evidence, text
+import numpy as np
+
+from lectern.operators import course, evidence, text, word_vectors
 from lectern.plans import QUERIES
 
 
@@ -53,3 +55,14 @@ def test_graph_pages_deals_an_owners_texts(spark):
 
 def test_extractive_answers_ranks_once(spark, sf):
     assert plan(QUERIES["extractive_answers"](spark, sf)).count("documents.parquet") <= 7
+
+
+def test_word_vectors_are_trained_once(spark):
+    docs = spark.createDataFrame([(k, f"apple pear plum{k % 2} plum{k % 2}", "m") for k in range(40)], "doc_id long, text string, owner string")
+    made = word_vectors.cbow(docs, "text", "owner", size=4, rounds=1, passes=1)
+    assert made.storageLevel.useDisk
+    means = word_vectors.mean_vectors(docs, "doc_id", "text", made, "owner")
+    of = {r.word: np.array(r.vector) for r in made.collect()}
+    for r in means.collect():
+        assert np.allclose(r.embedding, (of["apple"] + of["pear"] + 2 * of[f"plum{r.doc_id % 2}"]) / 4)
+    assert means.count() == 40 and "CoGroup" in plan(means)
