@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, metrics, retrieval, word_vectors
+from lectern.operators import answers, fusion, metrics, retrieval, word_vectors
 from lectern.plans.registry import query
 from lectern.plans.texts import SENTENCES_SQL, STOP_SQL, TFIDF_SQL, docs
 from lectern.sources.tables import read
@@ -38,15 +38,9 @@ FROM cosine c FULL JOIN bm25 b USING (query_id, doc_id)),
 rrf AS (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM fused)"""
 
 
-def fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    d, q = docs(spark, sf_dir), questions(spark, sf_dir)
-    legs = [retrieval.all_ranks(f(d, q)) for f in (retrieval.tfidf_cosine, retrieval.bm25)]
-    return retrieval.top_k(retrieval.rrf(*legs).select("query_id", "doc_id", "score"), k)
-
-
 @query(f"WITH {RRF_SQL} SELECT * FROM rrf WHERE rank <= 10")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(spark, sf_dir, 10)
+    return fusion.fused_top_k(docs(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, max(score) AS best, max(score) >= 40 AS answered FROM bm25 GROUP BY query_id")
