@@ -72,7 +72,8 @@ def sentence_array(text: Column) -> Column:
 
 def sentence_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, n, sentence): the sentences of five words or more that end in . ! or ? and hold no placeholder, without a bullet, with their number."""
-    return docs.select(id_col, sentence_array(F.col(text_col)).alias("s")).select(id_col, F.size("s").alias("n"), F.posexplode("s").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+    once = docs.select(id_col, F.explode(F.array(sentence_array(F.col(text_col)))).alias("s"))  # a filter of the next step stays above this one
+    return once.select(id_col, F.size("s").alias("n"), F.posexplode("s").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _term_sums(terms: Column) -> Column:

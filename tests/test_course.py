@@ -234,3 +234,33 @@ def test_longest_terms_by_chunk(spark):
     chunks = spark.createDataFrame([(7, 1, 0, 5, "the Oak tree and Elm"), (8, 1, 50, 60, "oak"), (9, 1, 0, 5, None)], "doc_id long, document long, first long, last long, text string")
     terms = spark.createDataFrame([(1, "elm", 1), (1, "oak", 2), (1, "tree", 9)], "document long, term string, page long")
     assert [tuple(r) for r in course.longest_terms(chunks, "doc_id", terms).collect()] == [(7, "oak")]
+
+
+def test_typed_edges_try_pairs_beside_a_relation(spark):
+    said = ["Oak of the elm and oak", "the elm  of oak of elm", "of oak, of elm of the oak", "elm of of the oak of", "elm-of oak; oak of elms", "oak\tof\nelm", "élm of oak of élm", "oak of elm" * 2, "elm", None]
+    rows = [(d, k, x) for d in (1, 2) for k, x in enumerate(said)] * 2
+    terms = [(1, "oak"), (1, "elm"), (1, "élm"), (1, "elm-of"), (2, "oak")]
+    rel = {"of": "of|of\\s+the|of\\s+of\\s+the", "and": "and"}
+    want = {}
+    for k, x in enumerate(said):
+        s = (x or "").lower()
+        held = sorted({"oak", "elm", "élm"} & set(re.findall(r"\w+", s)))
+        for i, a in enumerate(held):
+            for b in held[i + 1 :]:
+                hits = [(p, q, r) for r, w in rel.items() for p, q in ((a, b), (b, a)) if re.search(rf"(?:^|\W){p}\s+(?:{w})\s+{q}(?:$|\W)", s)]
+                want.setdefault((hits or [(a, b, "related_to")])[0], []).append(k)
+    want = {e: (len(ks), min(ks)) for e, ks in want.items() if e[2] != "related_to" or not any((*e[:2], r) in want for r in rel)}
+    out = course.typed_edges(spark.createDataFrame(rows, "d long, pos long, sentence string"), spark.createDataFrame(terms, "d long, term string"), "d", rel)
+    assert {(r.source, r.target, r.relation): (r.weight, r.pos) for r in out.collect()} == want and len(want) == 3
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(before" in text and "first(" not in text and text.count("LogicalRDD") == 2
+    none = course.typed_edges(spark.createDataFrame(rows, "d long, pos long, sentence string"), spark.createDataFrame(terms, "d long, term string"), "d", {})
+    assert {r.relation for r in none.collect()} == {"related_to"}
+
+
+def test_sentences_are_found_once(spark):
+    from lectern.operators import evidence
+
+    rows = evidence.sentence_rows(spark.createDataFrame([(1, "One two three four five. No."), (2, ""), (3, None)], "d long, t string"), "d", "t")
+    assert [tuple(r) for r in rows.collect()] == [(1, 1, 0, "One two three four five.")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == rows._jdf.queryExecution().analyzed().toString().count("split(")
